@@ -34,6 +34,15 @@ def explodable(cells_col: str = "_cells") -> Column:
     return F.expr(f"forall(`{cells_col}`, c -> c.kind IS NOT NULL AND (c.kind NOT IN ({kinds}) OR c.source IS NOT NULL))")
 
 
+def explodable_raw(raw_col: str = "raw") -> Column:
+    """A notebook text that parses and would not raise in the cell loop."""
+    kinds = ", ".join(f"'{k}'" for k in CELL_KINDS)
+    cells = parsed_cells(raw_col)
+    ok = F.forall(F.coalesce(cells, F.array()), lambda c: c["kind"].isNotNull()
+                  & (~c["kind"].isin(*CELL_KINDS) | c["source"].isNotNull()))
+    return F.try_parse_json(F.col(raw_col)).isNotNull() & ok
+
+
 def explode_cells(notebooks: DataFrame, id_col: str = "notebook_id", raw_col: str = "raw",
                   carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per kept cell: (id, position, type, content, metadata, *carry).

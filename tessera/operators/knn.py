@@ -29,7 +29,7 @@ def _blocks(n: int, block_rows: int) -> int:
 
 
 def _local_topk(metric: str, k: int):
-    def fn(key, corpus: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+    def fn(key, corpus, queries):
         if corpus.empty or queries.empty:
             return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"),
                                  "dist": pd.Series([], dtype="float64")})

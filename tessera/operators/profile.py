@@ -14,6 +14,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ from tessera.session import checked_broadcast
 
 GRID = 512          # cut points per refinement round
 FINAL_MAX = 100_000  # a bucket this small is ordered directly
+MAX_ROUNDS = 30      # after this many refinements an interval is ordered directly
 
 
 def unpivot(df: DataFrame, cols: Sequence[str], value_type: str = "double") -> DataFrame:
@@ -68,6 +71,7 @@ def exact_quantiles(long_df: DataFrame, probs: Sequence[float], key_col: str = "
     for r in head:
         frontier[(r["k"], None, None)] = (sorted(set(r["cuts"] or [])), counts[r["k"]])
     pending = {t: (r["k"], None, None, 0) for t in wanted for r in head if r["k"] == t[0]}
+    rounds = 0
     while pending:
         # Intervals small enough are finished by ordering their rows directly.
         small = {iv for iv, (cuts, n) in frontier.items() if n <= FINAL_MAX}
@@ -94,11 +98,16 @@ def exact_quantiles(long_df: DataFrame, probs: Sequence[float], key_col: str = "
         sel = _in_intervals(vals, ivs)
         cut_rows = [(k, _iv_id(k, lo, hi), frontier[(k, lo, hi)][0]) for (k, lo, hi) in ivs]
         cut_df = spark.createDataFrame(cut_rows, "k " + _key_type(vals) + ", _iv string, cuts array<double>")
-        b = F.expr("array_position(transform(cuts, x -> x >= v), true)")
+        # Bucket ids: 2p-2 = open gap below cut p, 2p-1 = exactly cut p, 2*len = above the last cut.
+        pos = F.expr("CAST(array_position(transform(cuts, x -> x >= v), true) AS INT)")
+        at_cut = F.expr("element_at(cuts, greatest(CAST(array_position(transform(cuts, x -> x >= v), true) AS INT), 1)) = v")
+        bid = (F.when(pos == 0, 2 * F.size("cuts"))
+               .when(at_cut, 2 * pos - 1).otherwise(2 * pos - 2))
         hist = (sel.join(F.broadcast(cut_df), ["k", "_iv"])
-                .withColumn("_b", F.when(b == 0, F.size("cuts") + 1).otherwise(b))
+                .withColumn("_b", bid)
                 .groupBy("k", "_iv", "_b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
                 .collect())
+        rounds += 1
         by_iv = {}
         for r in hist:
             by_iv.setdefault((r["k"], r["_iv"]), []).append((r["_b"], r["n"], r["lo"], r["hi"]))
@@ -113,10 +122,11 @@ def exact_quantiles(long_df: DataFrame, probs: Sequence[float], key_col: str = "
                         wanted[t] = vmin
                         del pending[t]
                     else:
-                        nlo = cuts[bkt - 2] if bkt >= 2 else lo
-                        nhi = cuts[bkt - 1] if bkt - 1 < len(cuts) else hi
+                        p = bkt // 2  # open gap below cut index p (0-based), or above the last cut
+                        nlo = cuts[p - 1] if p >= 1 else lo
+                        nhi = float(np.nextafter(cuts[p], -np.inf)) if p < len(cuts) else hi
                         pending[t] = (k, nlo, nhi, off + run)
-                        new_frontier[(k, nlo, nhi)] = n
+                        new_frontier[(k, nlo, nhi)] = 0 if rounds >= MAX_ROUNDS else n
                     break
                 run += n
         if new_frontier:

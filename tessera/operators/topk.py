@@ -26,7 +26,7 @@ def _cols(cols) -> list[Column]:
 
 
 def smallest_n(df: DataFrame, order_cols: Sequence, n: int, key_col: str | None = None,
-               take_ordered_max: int = TAKE_ORDERED_MAX, grid: int = 1024) -> DataFrame:
+               take_ordered_max: int = TAKE_ORDERED_MAX, grid: int = 1024, _depth: int = 0) -> DataFrame:
     """Exactly ``n`` rows (or all, if fewer) with the smallest ``order_cols``.
 
     ``key_col`` (a numeric column, the first element of ``order_cols``) enables
@@ -35,7 +35,7 @@ def smallest_n(df: DataFrame, order_cols: Sequence, n: int, key_col: str | None
     order = _cols(order_cols)
     if n <= 0:
         return df.limit(0)
-    if n <= take_ordered_max or key_col is None:
+    if n <= take_ordered_max or key_col is None or _depth >= 4:
         return df.orderBy(*order).limit(n)
     # Large n: exact histogram over approximate cut points of the key.
     probs = [i / grid for i in range(1, grid)]
@@ -43,10 +43,8 @@ def smallest_n(df: DataFrame, order_cols: Sequence, n: int, key_col: str | None
     cuts = sorted(set(cuts or []))
     if not cuts:
         return df.orderBy(*order).limit(n)
-    bucket = F.expr(
-        "array_position(transform(array({}), x -> x >= cast({} AS double)), true)".format(
-            ",".join(repr(float(c)) for c in cuts), key_col)
-    )
+    arr = "array({})".format(",".join(repr(float(c)) for c in cuts))
+    bucket = F.expr(f"array_position(transform({arr}, x -> x >= cast(`{key_col}` AS double)), true)")
     tagged = df.withColumn("_bucket", F.when(bucket == 0, F.lit(len(cuts) + 1)).otherwise(bucket))
     counts = sorted(tuple(r) for r in tagged.groupBy("_bucket").count().collect())
     running, boundary, below = 0, None, 0
@@ -57,10 +55,11 @@ def smallest_n(df: DataFrame, order_cols: Sequence, n: int, key_col: str | None
         running += c
     if boundary is None:
         return df
-    full = tagged.filter(F.col("_bucket") < boundary)
-    rest = smallest_n(tagged.filter(F.col("_bucket") == boundary), order_cols, n - below,
-                      key_col=key_col, take_ordered_max=take_ordered_max, grid=grid)
-    return full.unionByName(rest).drop("_bucket")
+    full = tagged.filter(F.col("_bucket") < boundary).drop("_bucket")
+    edge = tagged.filter(F.col("_bucket") == boundary).drop("_bucket")
+    rest = smallest_n(edge, order_cols, n - below, key_col=key_col, take_ordered_max=take_ordered_max,
+                      grid=grid, _depth=_depth + 1)
+    return full.unionByName(rest)
 
 
 def top_k_per_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence, k,

@@ -38,7 +38,7 @@ DEFAULT_BETTI_LIMIT = 1
 
 
 def _pairs_within(eps: float):
-    def fn(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fn(key, pdf):
         grp, bi, bj = int(key[0]), int(key[1]), int(key[2])
         a = pdf[pdf["blk"] == bi]
         b = pdf[pdf["blk"] == bj]
@@ -149,7 +149,7 @@ def wasserstein_pairs(bars: DataFrame, pairs: DataFrame, p: float = 2.0) -> Data
     right = pairs.select("pair_id", F.col("right").alias("grp"), F.lit(1).alias("side"))
     sided = left.unionByName(right).join(bars.select("grp", "birth", "death", "multiplicity"), "grp")
 
-    def fn(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fn(key, pdf):
         def side(s):
             part = pdf[pdf["side"] == s]
             pts = part[["birth", "death"]].to_numpy(np.float64)

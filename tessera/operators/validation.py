@@ -184,3 +184,38 @@ def error_samples(verdicts: DataFrame, n_notebooks: int = 5, n_errors: int = 3)
             .select("notebook_id", F.slice(F.when(F.size("errors") > 0, F.col("errors"))
                                            .otherwise(F.array(F.lit("structure"))), 1, n_errors).alias("errors"))
             .orderBy("notebook_id").limit(n_notebooks))
+
+
+LENGTH_COLUMNS = ("TotalLines", "LinesOfCode", "LinesInsertedFromPrevious")
+
+
+def validate_dataset(meta: DataFrame, notebooks: DataFrame, languages: DataFrame | None = None,
+                     sample_size: int | None = None, check_code: bool = True, seed: int = 42,
+                     id_col: str = "Id", language_id_col: str = "ScriptLanguageId", language_col: str = "Language",
+                     date_col: str | None = "CreationDate", notebook_id_col: str = "notebook_id",
+                     raw_col: str = "raw") -> DataFrame:
+    """V7: the whole-dataset report (metric, value), composed lazily.
+
+    language lookup (J1/P13) -> optional length-weighted or uniform sample
+    (M2/M1) -> metadata checks on raw text (P5-P8, A2) -> notebook verdicts
+    for the sampled ids only (S4, V1-V6, V4) -> one aggregate (A11).
+    """
+    from tessera.operators.joins import lookup_join
+    from tessera.operators.sampling import sample_uniform, sample_weighted
+    from tessera.session import checked_broadcast
+
+    m = meta
+    if languages is not None and language_id_col in m.columns:
+        m = lookup_join(m, languages, language_id_col, "Id", "Name", language_col)
+    elif language_col not in m.columns:
+        m = m.withColumn(language_col, F.lit("unknown"))
+    dcol = date_col if date_col and date_col in m.columns else None
+    total = m.agg(F.count(F.lit(1)).alias("total_rows"))
+    if sample_size is not None:
+        length = next((c for c in LENGTH_COLUMNS if c in m.columns), None)
+        m = (sample_weighted(m, sample_size, id_col, length, seed) if length
+             else sample_uniform(m, sample_size, id_col, seed))
+        ids = m.select(F.col(id_col).alias(notebook_id_col)).distinct()
+        notebooks = notebooks.join(checked_broadcast(ids, max(sample_size, 1)), notebook_id_col, "left_semi")
+    verdicts = notebook_verdicts(notebooks, notebook_id_col, raw_col, check_code=check_code)
+    return validation_summary(m, verdicts, id_col, language_col, dcol, total_rows=total)

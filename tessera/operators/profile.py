@@ -56,9 +56,7 @@ def exact_quantiles(long_df: DataFrame, probs: Sequence[float], key_col: str = "
     spark = long_df.sparkSession
     vals = long_df.select(F.col(key_col).alias("k"), F.col(value_col).cast("double").alias("v")).filter(F.col("v").isNotNull())
     grid = [i / GRID for i in range(1, GRID)]
-    head = vals.groupBy("k").agg(F.count(F.lit(1)).alias("n"),
-                                 F.percentile_approx("v", grid, 4 * GRID).alias("cuts")).collect()
-    counts = {r["k"]: r["n"] for r in head}
+    counts = {r["k"]: r["n"] for r in vals.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
     # targets: (key, absolute rank) -> value
     wanted = {}
     for k, n in counts.items():
@@ -66,11 +64,44 @@ def exact_quantiles(long_df: DataFrame, probs: Sequence[float], key_col: str = "
             h = (n - 1) * p
             wanted[(k, math.floor(h))] = None
             wanted[(k, math.ceil(h))] = None
-    # intervals: (key, lo_exclusive, hi_inclusive, rank_offset) with known cuts
-    frontier = {}
-    for r in head:
-        frontier[(r["k"], None, None)] = (sorted(set(r["cuts"] or [])), counts[r["k"]])
-    pending = {t: (r["k"], None, None, 0) for t in wanted for r in head if r["k"] == t[0]}
+    # intervals: (key, lo exclusive, hi inclusive) -> (cut points, rows); targets carry a rank offset
+    frontier = {(k, None, None): ([], n) for k, n in counts.items()}
+    pending = {t: (t[0], None, None, 0) for t in wanted}
+    big = {k: n for k, n in counts.items() if n > FINAL_MAX}
+    if big:
+        # percentile_approx returns a value whose rank is within n / accuracy of the
+        # asked one; asking p -/+ delta brackets the exact rank-r value for certain.
+        acc = int(min(1_000_000, max(10_000, 20 * max(big.values()) // FINAL_MAX)))
+        delta = 4.0 / acc
+        fr = sorted({min(1.0, max(0.0, round(x, 12))) for (k, r) in wanted if k in big
+                     for x in (r / (big[k] - 1) - delta, r / (big[k] - 1) + delta)})
+        approx = {row["k"]: row["q"] for row in vals.filter(F.col("k").isin(list(big)))
+                  .groupBy("k").agg(F.percentile_approx("v", fr, acc).alias("q")).collect()}
+        bounds = {}
+        for (k, r) in wanted:
+            if k not in big:
+                continue
+            f = r / (big[k] - 1)
+            lo_v = approx[k][fr.index(min(1.0, max(0.0, round(f - delta, 12))))]
+            hi_v = approx[k][fr.index(min(1.0, max(0.0, round(f + delta, 12))))]
+            bounds[(k, r)] = (float(np.nextafter(lo_v, -np.inf)), float(hi_v))
+        ivs = set((k, lo, hi) for (k, _), (lo, hi) in bounds.items())
+        tagged = _in_intervals(vals, ivs, with_below=True)
+        stats = {(row["k"], row["_iv"]): (row["below"], row["n_in"]) for row in tagged.collect()}
+        for (k, r), (lo, hi) in bounds.items():
+            below, n_in = stats.get((k, _iv_id(k, lo, hi)), (0, 0))
+            if below <= r < below + n_in:
+                pending[(k, r)] = (k, lo, hi, below)
+                frontier[(k, lo, hi)] = ([], n_in)
+    # Intervals that are too big and lack cut points get them now.
+    need = [iv for iv, (cuts, n) in frontier.items() if n > FINAL_MAX and not cuts
+            and any((p[0], p[1], p[2]) == iv for p in pending.values())]
+    if need:
+        sub = _in_intervals(vals, set(need))
+        rows = sub.groupBy("k", "_iv").agg(F.percentile_approx("v", grid, 4 * GRID).alias("cuts")).collect()
+        cuts_by = {(r["k"], r["_iv"]): sorted(set(r["cuts"] or [])) for r in rows}
+        for iv in need:
+            frontier[iv] = (cuts_by.get((iv[0], _iv_id(*iv)), []), frontier[iv][1])
     rounds = 0
     while pending:
         # Intervals small enough are finished by ordering their rows directly.
@@ -151,27 +182,191 @@ def _iv_id(k, lo, hi) -> str:
     return f"{lo!r}|{hi!r}"
 
 
-def _in_intervals(vals: DataFrame, ivs) -> DataFrame:
-    """Rows of ``vals`` inside any (key, lo excl, hi incl) interval, tagged with it."""
+def _in_intervals(vals: DataFrame, ivs, with_below: bool = False) -> DataFrame:
+    """Rows of ``vals`` inside any (key, lo excl, hi incl) interval, tagged with it.
+
+    ``with_below`` instead returns per interval the count of rows at or below
+    ``lo`` and inside it (one aggregate pass).
+    """
     spark = vals.sparkSession
     rows = [(k, _iv_id(k, lo, hi), lo, hi) for (k, lo, hi) in ivs]
     iv = spark.createDataFrame(rows, "k " + _key_type(vals) + ", _iv string, _lo double, _hi double")
-    cond = (F.col("_lo").isNull() | (F.col("v") > F.col("_lo"))) & (F.col("_hi").isNull() | (F.col("v") <= F.col("_hi")))
-    return vals.join(F.broadcast(iv), "k").filter(cond).select("k", "_iv", "v")
+    above_lo = F.col("_lo").isNull() | (F.col("v") > F.col("_lo"))
+    cond = above_lo & (F.col("_hi").isNull() | (F.col("v") <= F.col("_hi")))
+    joined = vals.join(F.broadcast(iv), "k")
+    if with_below:
+        return joined.groupBy("k", "_iv").agg(F.count_if(~above_lo).alias("below"), F.count_if(cond).alias("n_in"))
+    return joined.filter(cond).select("k", "_iv", "v")
+
+
+LOW_CARDINALITY = 20_000  # below this (approximate) distinct count, use exact per-value counts
+
+
+def _quantiles_by_value_counts(df: DataFrame, cols: Sequence[str], probs, counts: dict) -> list:
+    """Exact quantiles of low-cardinality columns from (value, count) pairs (one aggregate)."""
+    parts = [df.select(F.lit(c).alias("c"), F.col(f"`{c}`").cast("double").alias("v")).filter(F.col("v").isNotNull())
+             for c in cols]
+    long = parts[0]
+    for part in parts[1:]:
+        long = long.unionByName(part)
+    pairs: dict = {}
+    for r in long.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")).collect():
+        pairs.setdefault(r["c"], []).append((r["v"], r["n"]))
+    out = []
+    for c in cols:
+        n = counts[c]
+        vals = sorted(pairs.get(c, []))
+
+        def at(rank):
+            run = 0
+            for val, cnt in vals:
+                if run + cnt > rank:
+                    return val
+                run += cnt
+            return vals[-1][0]
+        for p in probs:
+            if n == 0:
+                out.append((c, float(p), None))
+                continue
+            h = (n - 1) * p
+            lo, hi = math.floor(h), math.ceil(h)
+            a, b = at(lo), at(hi)
+            out.append((c, float(p), float(a + (h - lo) * (b - a))))
+    return out
+
+
+def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
+                     counts: dict | None = None, distinct: dict | None = None) -> DataFrame:
+    """Exact linear-interpolated quantiles of several columns: (column_name, p, q).
+
+    Four scans of the wide table, each a single codegen'd aggregate:
+    counts -> sketch brackets around every needed rank -> exact counts below
+    and inside each bracket -> the bracket contents, gathered only where the
+    exact count shows they are small (<= FINAL_MAX).  Targets whose bracket
+    is large (heavy ties) fall back to the keyed refinement above.
+    """
+    spark = df.sparkSession
+    cols = list(cols)
+    if counts is None or distinct is None:
+        row = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in cols],
+                     *[F.approx_count_distinct(F.col(f"`{c}`")).alias(f"{c}__d") for c in cols]).first()
+        counts = {c: int(row[c]) for c in cols}
+        distinct = {c: int(row[f"{c}__d"]) for c in cols}
+    low = [c for c in cols if distinct[c] <= LOW_CARDINALITY]
+    pre = _quantiles_by_value_counts(df, low, probs, counts) if low else []
+    cols = [c for c in cols if c not in low]
+    if not cols:
+        return spark.createDataFrame(pre, "column_name string, p double, q double")
+    targets = {}
+    for c in cols:
+        n = counts[c]
+        if n == 0:
+            continue
+        for p in probs:
+            h = (n - 1) * p
+            targets[(c, math.floor(h))] = None
+            targets[(c, math.ceil(h))] = None
+    if not targets:
+        return spark.createDataFrame(pre + [(c, float(p), None) for c in cols for p in probs],
+                                     "column_name string, p double, q double")
+    nmax = max(counts.values())
+    acc = int(min(1_000_000, max(10_000, 20 * nmax // FINAL_MAX)))
+    delta = 4.0 / acc
+
+    def frac(c, r, sign):
+        n = counts[c]
+        return min(1.0, max(0.0, round((r / (n - 1) if n > 1 else 0.0) + sign * delta, 12)))
+    fr = {c: sorted({frac(c, r, sg) for (cc, r) in targets if cc == c for sg in (-1, 1)}) for c in counts if counts[c]}
+    row = df.agg(*[F.percentile_approx(F.col(f"`{c}`").cast("double"), fr[c], acc).alias(c) for c in fr]).first()
+    bounds = {}
+    for (c, r) in targets:
+        lo_v = row[c][fr[c].index(frac(c, r, -1))]
+        hi_v = row[c][fr[c].index(frac(c, r, 1))]
+        bounds[(c, r)] = (float(np.nextafter(lo_v, -np.inf)), float(hi_v))
+    keys = sorted(set((c, lo, hi) for (c, _), (lo, hi) in bounds.items()))
+
+    def v(c):
+        return F.col(f"`{c}`").cast("double")
+    aggs = []
+    for i, (c, lo, hi) in enumerate(keys):
+        aggs.append(F.count_if(v(c) <= F.lit(lo)).alias(f"b{i}"))
+        aggs.append(F.count_if((v(c) > F.lit(lo)) & (v(c) <= F.lit(hi))).alias(f"n{i}"))
+    st = df.agg(*aggs).first()
+    small = [i for i in range(len(keys)) if st[f"n{i}"] <= FINAL_MAX]
+    slices = {}
+    if small:
+        got = df.agg(*[F.sort_array(F.collect_list(F.when((v(keys[i][0]) > F.lit(keys[i][1])) & (v(keys[i][0]) <= F.lit(keys[i][2])),
+                                                            v(keys[i][0])))).alias(f"s{i}") for i in small]).first()
+        slices = {i: got[f"s{i}"] for i in small}
+    # Large brackets usually mean ties: resolve them from (value, count) pairs
+    # when the bracket holds few distinct values (a partial aggregate per value).
+    big = [i for i in range(len(keys)) if st[f"n{i}"] > FINAL_MAX]
+    dist = {}
+    if big:
+        parts = []
+        for i in big:
+            c, lo, hi = keys[i]
+            parts.append(df.select(F.lit(i).alias("_i"), v(c).alias("v"))
+                         .filter((F.col("v") > F.lit(lo)) & (F.col("v") <= F.lit(hi))))
+        long = parts[0]
+        for part in parts[1:]:
+            long = long.unionByName(part)
+        per = long.groupBy("_i", "v").agg(F.count(F.lit(1)).alias("n"))
+        nd = {r["_i"]: r["d"] for r in per.groupBy("_i").agg(F.count(F.lit(1)).alias("d")).collect()}
+        ok = [i for i in big if nd.get(i, 0) <= FINAL_MAX]
+        if ok:
+            for r in per.filter(F.col("_i").isin(ok)).collect():
+                dist.setdefault(r["_i"], []).append((r["v"], r["n"]))
+    values, fallback = {}, set()
+    for (c, r), (lo, hi) in bounds.items():
+        i = keys.index((c, lo, hi))
+        below, n_in = st[f"b{i}"], st[f"n{i}"]
+        if not below <= r < below + n_in:
+            fallback.add(c)
+        elif i in slices:
+            values[(c, r)] = slices[i][r - below]
+        elif i in dist:
+            run = below
+            for val, cnt in sorted(dist[i]):
+                if run + cnt > r:
+                    values[(c, r)] = val
+                    break
+                run += cnt
+        else:
+            fallback.add(c)
+    out = list(pre)
+    for c in fallback:
+        q = exact_quantiles(unpivot(df.select(c), [c]), probs).collect()
+        out += [(c, float(x["p"]), x["q"]) for x in q]
+    for c in cols:
+        if c in fallback:
+            continue
+        n = counts[c]
+        for p in probs:
+            out.append((c, float(p), None if n == 0 else float(_interp({r: values[(c, r)] for (cc, r) in values if cc == c}, n, p))))
+    return spark.createDataFrame(out, "column_name string, p double, q double")
 
 
 # ---------------------------------------------------------------- profiles
 
 def profile_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """A4: count, mean, std (n-1), min, 25/50/75 % (linear), max per column."""
-    long = unpivot(df, cols)
-    base = long.groupBy("column_name").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
-    q = exact_quantiles(long, [0.25, 0.5, 0.75])
-    qw = q.groupBy("column_name").pivot("p", [0.25, 0.5, 0.75]).agg(F.first("q"))
-    qw = qw.toDF("column_name", "p25", "p50", "p75")
-    return base.join(qw, "column_name", "left")
+    cols = list(cols)
+    aggs = []
+    for c in cols:
+        x = F.col(f"`{c}`").cast("double")
+        aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"), F.stddev_samp(x).alias(f"{c}__std"),
+                 F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max"), F.approx_count_distinct(x).alias(f"{c}__d")]
+    base = df.agg(*aggs).first()
+    counts = {c: int(base[f"{c}__count"]) for c in cols}
+    distinct = {c: int(base[f"{c}__d"]) for c in cols}
+    q = {(r["column_name"], r["p"]): r["q"]
+         for r in column_quantiles(df, cols, [0.25, 0.5, 0.75], counts, distinct).collect()}
+    rows = [(c, counts[c], base[f"{c}__mean"], base[f"{c}__std"], base[f"{c}__min"], q[(c, 0.25)], q[(c, 0.5)],
+             q[(c, 0.75)], base[f"{c}__max"]) for c in cols]
+    return df.sparkSession.createDataFrame(
+        rows, "column_name string, count bigint, mean double, std double, min double, p25 double, p50 double, "
+              "p75 double, max double")
 
 
 def profile_datetime(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -27,23 +27,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.graphalgo import spanning_forest
-from tessera.session import checked_broadcast
+from tessera.session import checked_broadcast, cut_lineage
 
 BLOCK_ROWS = 2048
-EDGE_SCHEMA = "grp bigint, u bigint, v bigint, w double"
+EDGE_SCHEMA = "grp bigint, u bigint, v bigint, w double, cnt bigint"
 
 # Beta-1 limits per domain (default 1 for others).
 BETTI_LIMITS = (("cv", 1), ("nlp", 2), ("rl", 5), ("tabular", 0))
 DEFAULT_BETTI_LIMIT = 1
 
 
-def _pairs_within(eps: float):
+def _local_forest(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Indices of a minimum spanning forest of one task's edges (Kruskal, early exit).
+
+    By the cycle property an edge outside a subgraph's spanning forest is the
+    heaviest edge of some cycle, so it is in no global minimum spanning
+    forest either; tasks own disjoint edge sets, so keeping only local
+    forests preserves the global forest's weights exactly.
+    """
+    ids, inv = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = inv[: len(u)], inv[len(u):]
+    parent = list(range(len(ids)))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+    keep, need = [], len(ids) - 1
+    for i in np.lexsort((v, u, w)):
+        ra, rb = find(int(a[i])), find(int(b[i]))
+        if ra != rb:
+            parent[max(ra, rb)] = min(ra, rb)
+            keep.append(i)
+            if len(keep) == need:
+                break
+    return np.asarray(keep, dtype=np.int64)
+
+
+def _pairs_within(eps: float, forest_only: bool = False):
     def fn(key, pdf):
         grp, bi, bj = int(key[0]), int(key[1]), int(key[2])
         a = pdf[pdf["blk"] == bi]
         b = pdf[pdf["blk"] == bj]
-        empty = pd.DataFrame({"grp": pd.Series([], dtype="int64"), "u": pd.Series([], dtype="int64"),
-                              "v": pd.Series([], dtype="int64"), "w": pd.Series([], dtype="float64")})
+        cols = {"grp": "int64", "u": "int64", "v": "int64", "w": "float64", "cnt": "int64"}
+        empty = pd.DataFrame({c: pd.Series([], dtype=t) for c, t in cols.items()})
         if a.empty or b.empty:
             return empty
         A = np.stack(a["vec"].to_numpy()).astype(np.float64)
@@ -60,15 +88,21 @@ def _pairs_within(eps: float):
         diff = A[ii] - B[jj]
         d = np.sqrt(np.einsum("ij,ij->i", diff, diff))
         keep = d <= eps
-        u, v = ia[ii][keep], ib[jj][keep]
-        return pd.DataFrame({"grp": np.full(len(u), grp, dtype=np.int64), "u": np.minimum(u, v),
-                             "v": np.maximum(u, v), "w": d[keep]})
+        x, y, d = ia[ii][keep], ib[jj][keep], d[keep]
+        u, v = np.minimum(x, y), np.maximum(x, y)
+        n_edges = len(u)
+        cnt = np.zeros(n_edges, dtype=np.int64)
+        if forest_only and n_edges:
+            sel = _local_forest(u, v, d)
+            u, v, d, cnt = u[sel], v[sel], d[sel], cnt[sel]
+            # one extra row carries this task's edge count
+            u, v = np.append(u, -1), np.append(v, -1)
+            d, cnt = np.append(d, 0.0), np.append(cnt, n_edges)
+        return pd.DataFrame({"grp": np.full(len(u), grp, dtype=np.int64), "u": u, "v": v, "w": d, "cnt": cnt})
     return fn
 
 
-def eps_edges(points: DataFrame, eps: float, group_col: str = "grp", id_col: str = "id", vec_col: str = "vec",
-              block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(grp, u, v, w): pairs u < v of the same group at Euclidean distance <= eps."""
+def _blocked(points: DataFrame, group_col: str, id_col: str, vec_col: str, block_rows: int):
     pts = points.select(F.col(group_col).cast("bigint").alias("grp"), F.col(id_col).cast("bigint").alias("id"),
                         F.col(vec_col).cast("array<double>").alias("vec"))
     sizes = pts.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).withColumn(
@@ -78,7 +112,14 @@ def eps_edges(points: DataFrame, eps: float, group_col: str = "grp", id_col: str
     # Each point joins every block pair (min(blk, j), max(blk, j)) of its group.
     rep = tagged.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
         "grp", "id", "vec", "blk", F.least("blk", "j").alias("bi"), F.greatest("blk", "j").alias("bj"))
-    return rep.groupBy("grp", "bi", "bj").applyInPandas(_pairs_within(eps), EDGE_SCHEMA)
+    return rep, sizes
+
+
+def eps_edges(points: DataFrame, eps: float, group_col: str = "grp", id_col: str = "id", vec_col: str = "vec",
+              block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(grp, u, v, w): pairs u < v of the same group at Euclidean distance <= eps."""
+    rep, _ = _blocked(points, group_col, id_col, vec_col, block_rows)
+    return rep.groupBy("grp", "bi", "bj").applyInPandas(_pairs_within(eps), EDGE_SCHEMA).drop("cnt")
 
 
 def h0_diagram(points: DataFrame, eps: float, group_col: str = "grp", id_col: str = "id", vec_col: str = "vec",
@@ -88,18 +129,32 @@ def h0_diagram(points: DataFrame, eps: float, group_col: str = "grp", id_col: st
     bars: (grp, dim=0, birth, death, infinite, multiplicity) — finite bars are spanning-forest edge
     lengths; the beta0 surviving components get ``inf_death``.
     signature: (grp, n_points, n_edges, beta0, beta1).
+
+    Block tasks emit only their local spanning forests (plus an edge count);
+    a group held by one block is then final, and only groups cut into
+    several blocks go through the distributed Borůvka rounds.
     """
-    edges = eps_edges(points, eps, group_col, id_col, vec_col, block_rows)
-    verts = points.select(F.col(id_col).cast("bigint").alias("id"))
-    forest = spanning_forest(verts, edges.select("u", "v", "w"))
-    grp_of = points.select(F.col(id_col).cast("bigint").alias("u"), F.col(group_col).cast("bigint").alias("grp"))
-    finite = forest.join(grp_of, "u").select("grp", F.lit(0).alias("dim"), F.lit(0.0).alias("birth"),
-                                             F.col("w").alias("death"), F.lit(False).alias("infinite"),
-                                             F.lit(1).cast("bigint").alias("multiplicity"))
-    n_pts = points.groupBy(F.col(group_col).cast("bigint").alias("grp")).agg(F.count(F.lit(1)).alias("n_points"))
-    n_edges = edges.groupBy("grp").agg(F.count(F.lit(1)).alias("n_edges"))
+    rep, sizes = _blocked(points, group_col, id_col, vec_col, block_rows)
+    pruned = rep.groupBy("grp", "bi", "bj").applyInPandas(_pairs_within(eps, forest_only=True), EDGE_SCHEMA)
+    pruned = cut_lineage(pruned)
+    n_edges = pruned.groupBy("grp").agg(F.sum("cnt").alias("n_edges"))
+    local = pruned.filter(F.col("u") >= 0).select("grp", "u", "v", "w")
+    multi = sizes.filter(F.col("nb") > 1).select("grp")
+    if multi.limit(1).count() == 0:
+        forest = local
+    else:
+        single = local.join(sizes.filter(F.col("nb") == 1).select("grp"), "grp")
+        m_edges = local.join(multi, "grp")
+        m_verts = points.select(F.col(group_col).cast("bigint").alias("grp"), F.col(id_col).cast("bigint").alias("id")) \
+                        .join(multi, "grp").select("id")
+        grp_of = points.select(F.col(id_col).cast("bigint").alias("u"), F.col(group_col).cast("bigint").alias("grp"))
+        m_forest = spanning_forest(m_verts, m_edges.select("u", "v", "w")).join(grp_of, "u")
+        forest = single.unionByName(m_forest.select("grp", "u", "v", "w"))
+    finite = forest.select("grp", F.lit(0).alias("dim"), F.lit(0.0).alias("birth"),
+                           F.col("w").alias("death"), F.lit(False).alias("infinite"),
+                           F.lit(1).cast("bigint").alias("multiplicity"))
     n_forest = finite.groupBy("grp").agg(F.count(F.lit(1)).alias("n_forest"))
-    sig = (n_pts.join(n_edges, "grp", "left").join(n_forest, "grp", "left")
+    sig = (sizes.select("grp", F.col("n").alias("n_points")).join(n_edges, "grp", "left").join(n_forest, "grp", "left")
            .select("grp", "n_points", F.coalesce("n_edges", F.lit(0)).alias("n_edges"),
                    (F.col("n_points") - F.coalesce("n_forest", F.lit(0))).alias("beta0")))
     sig = sig.withColumn("beta1", F.col("n_edges") - F.col("n_points") + F.col("beta0"))

@@ -64,3 +64,24 @@ def test_csv_typed_read(spark, tmp_path):
     rows = read_csv_typed(spark, str(p), schema).orderBy(F.col("Id").asc_nulls_last()).collect()
     assert rows[0]["Id"] == 1 and rows[1]["bad_CreationDate"] and rows[1]["Score"] is None and not rows[1]["bad_Score"]
     assert rows[2]["Id"] is None and rows[2]["bad_Id"]
+
+
+def test_column_quantiles_bracket_path(spark, monkeypatch):
+    monkeypatch.setattr(profile, "FINAL_MAX", 200)
+    rng = np.random.default_rng(4)
+    a = rng.exponential(size=5000).round(4)
+    b = rng.integers(0, 3, 5000).astype(float)          # heavy ties -> fallback path
+    df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b)], "a double, b double")
+    got = {(r[0], r[1]): r[2] for r in profile.column_quantiles(df, ["a", "b"], [0.1, 0.5, 0.99]).collect()}
+    for c, arr in (("a", a), ("b", b)):
+        for p in (0.1, 0.5, 0.99):
+            assert abs(got[(c, p)] - np.quantile(arr, p)) < 1e-12
+
+
+def test_column_quantiles_low_cardinality(spark):
+    vals = [float(i % 7) for i in range(1000)] + [None] * 5
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = {r[1]: r[2] for r in profile.column_quantiles(df, ["x"], [0.25, 0.5, 0.9]).collect()}
+    arr = np.array([v for v in vals if v is not None])
+    for p, q in got.items():
+        assert abs(q - np.quantile(arr, p)) < 1e-12

@@ -72,3 +72,16 @@ def test_drift_gate_reasons(spark):
     dist = spark.createDataFrame([(2, 0.5), (3, 0.01)], "grp bigint, distance double")
     got = {r["grp"]: r["reason"] for r in topology.drift_gate(sig, dom, dist, 0.1).collect()}
     assert got == {1: "betti_too_high", 2: "topology_mismatch", 3: "safe"}
+
+
+def test_h0_multi_block_equals_single_block(spark):
+    rng = np.random.default_rng(2)
+    X = rng.normal(size=(120, 3))
+    rows = [(i % 2, i, X[i].tolist()) for i in range(120)]
+    p = pts(spark, rows)
+    b1, s1 = topology.h0_diagram(p, 1.2)
+    b2, s2 = topology.h0_diagram(p, 1.2, block_rows=16)
+    d1 = sorted(round(r["death"], 9) for r in b1.filter(~F.col("infinite")).collect())
+    d2 = sorted(round(r["death"], 9) for r in b2.filter(~F.col("infinite")).collect())
+    assert d1 == d2
+    assert sorted(map(tuple, s1.collect())) == sorted(map(tuple, s2.collect()))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.vectors import norm, normalize
+from tessera.functions.vectors import norm
 
 
 def _dim(df: DataFrame, vec_col: str) -> int:
@@ -27,15 +27,17 @@ def class_means(df: DataFrame, vec_col: str = "embedding", label_col: str = "lab
                 dim: int | None = None) -> DataFrame:
     """(label, n, mean_norm, mean) with unit-normalised rows; mean is re-normalised.
 
-    Zero vectors are skipped (the reference would produce NaN) and counted in ``n_zero``.
+    The per-label mean is Spark ML's ``Summarizer`` (a vector aggregate with
+    partial/final merge, O(d) per row).  Zero vectors are skipped (the
+    reference would produce NaN).
     """
-    d = dim or _dim(df, vec_col)
-    unit = df.select(F.col(label_col).alias("label"), normalize(vec_col).alias("u"), norm(vec_col).alias("_n"))
-    valid = unit.filter(F.col("_n") > 0)
-    agg = valid.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col("u")[i]).alias(f"m{i}") for i in range(d)])
-    mean = F.array(*[F.col(f"m{i}") for i in range(d)])
-    out = agg.select("label", "n", mean.alias("raw_mean"))
-    out = out.withColumn("mean_norm", norm("raw_mean"))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    unit = (df.select(F.col(label_col).alias("label"), F.col(vec_col).alias("_v"))
+            .withColumn("_n", norm("_v")).filter(F.col("_n") > 0)
+            .select("label", array_to_vector(F.transform("_v", lambda x: x.cast("double") / F.col("_n"))).alias("u")))
+    agg = unit.groupBy("label").agg(F.count(F.lit(1)).alias("n"), Summarizer.mean(F.col("u")).alias("_m"))
+    out = agg.select("label", "n", vector_to_array("_m").alias("raw_mean")).withColumn("mean_norm", norm("raw_mean"))
     return out.select("label", "n", "mean_norm", F.transform("raw_mean", lambda x: x / F.col("mean_norm")).alias("mean"))
 
 
@@ -45,8 +47,7 @@ def collapse_stats(df: DataFrame, vec_col: str = "embedding", label_col: str = "
 
     One class gives inter 0 and index infinity, as in the reference.
     """
-    d = dim or _dim(df, vec_col)
-    return collapse_from_means(class_means(df, vec_col, label_col, d), d)
+    return collapse_from_means(class_means(df, vec_col, label_col))
 
 
 def is_collapsed(df: DataFrame, threshold: float = 0.05, **kw) -> DataFrame:
@@ -55,12 +56,14 @@ def is_collapsed(df: DataFrame, threshold: float = 0.05, **kw) -> DataFrame:
     return st.withColumn("collapsed", F.col("nc_index") <= F.lit(threshold))
 
 
-def collapse_from_means(means: DataFrame, dim: int) -> DataFrame:
+def collapse_from_means(means: DataFrame, dim: int | None = None) -> DataFrame:
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
     agg = means.agg(
         F.sum("n").alias("N"), F.count(F.lit(1)).alias("C"),
         F.sum(F.col("n") * F.col("mean_norm")).alias("_wn"),
-        *[F.sum(F.col("mean")[i]).alias(f"_ms{i}") for i in range(dim)])
-    s2 = sum((F.col(f"_ms{i}") * F.col(f"_ms{i}") for i in range(dim)), F.lit(0.0))
+        Summarizer.sum(array_to_vector("mean")).alias("_s"))
+    s2 = F.aggregate(vector_to_array("_s"), F.lit(0.0), lambda acc, x: acc + x * x)
     intra = F.lit(1.0) - F.col("_wn") / F.col("N")
     inter = F.when(F.col("C") > 1, F.lit(1.0) - (s2 - F.col("C")) / (F.col("C") * (F.col("C") - 1))).otherwise(F.lit(0.0))
     return agg.select(

@@ -66,11 +66,13 @@ def encode_documents(docs: DataFrame, id_col: str, text_col: str, num_features:
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
     from pyspark.ml.functions import vector_to_array
-    pipe = Pipeline(stages=[
+    from pyspark import StorageLevel
+    tf = Pipeline(stages=[
         RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"\W+", toLowercase=True),
-        HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features),
-        IDF(inputCol="_tf", outputCol="_idf"),
-        Normalizer(inputCol="_idf", outputCol="_vec", p=2.0)])
-    model = pipe.fit(docs.select(id_col, text_col))
-    out = model.transform(docs.select(id_col, text_col))
+        HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features)]).fit(docs).transform(docs)
+    # The IDF fit and the transform both need the term frequencies: tokenise once.
+    tf = tf.select(id_col, "_tf").persist(StorageLevel.MEMORY_AND_DISK)
+    model = Pipeline(stages=[IDF(inputCol="_tf", outputCol="_idf"),
+                             Normalizer(inputCol="_idf", outputCol="_vec", p=2.0)]).fit(tf)
+    out = model.transform(tf)
     return out.select(F.col(id_col).alias("id"), vector_to_array("_vec", "float32").alias("embedding"))

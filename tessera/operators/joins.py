@@ -22,8 +22,14 @@ def dedupe_last(dim: DataFrame, key: str, order_col: str | None = None) -> DataF
 
 
 def lookup_join(df: DataFrame, dim: DataFrame, fk: str, key: str, value: str, out: str,
-                default: str = "unknown") -> DataFrame:
-    """J1 + P13: left lookup ``fk -> dim.key``, NULL/unmapped -> ``default``."""
+                default: str = "unknown", order_col: str | None = None) -> DataFrame:
+    """J1 + P13: left lookup ``fk -> dim.key``, NULL/unmapped -> ``default``.
+
+    Duplicate keys in ``dim``: with ``order_col`` the last row by it wins (as a
+    dict built in file order); otherwise one of them is kept.
+    """
+    if order_col is not None:
+        dim = dedupe_last(dim.select(key, value, order_col), key, order_col)
     d = dim.select(F.col(key).alias("_lk"), F.col(value).alias("_lv")).dropDuplicates(["_lk"])
     j = df.join(checked_broadcast(d), df[fk] == F.col("_lk"), "left")
     return j.withColumn(out, F.coalesce(F.col("_lv"), F.lit(default))).drop("_lk", "_lv")

@@ -74,7 +74,8 @@ def top_k_per_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequen
     kcol = F.lit(k) if isinstance(k, int) else k
     groups = list(group_cols)
     if salt_col is None:
-        salt_col = F.pmod(F.xxhash64(*order), F.lit(salt_buckets))
+        hashable = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+        salt_col = F.pmod(F.xxhash64(*hashable), F.lit(salt_buckets))
     salted = df.withColumn("_salt", salt_col)
     w1 = Window.partitionBy(*groups, "_salt").orderBy(*order)
     stage1 = salted.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= kcol)

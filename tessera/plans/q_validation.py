@@ -60,9 +60,29 @@ UNION ALL SELECT 'total_rows', count(*)::BIGINT FROM documents
 
 @register("validation_summary", VALIDATION_SUMMARY_SQL)
 def q_validation_summary(spark, sf_dir):
+    """V7 without the Python syntax check (V4), so DuckDB can state the same report."""
     return validate_dataset(spark, sf_dir)
 
 
+@register("validation_summary_code")
+def q_validation_summary_code(spark, sf_dir):
+    """V7 with V4: code cells that pass the length rules are parsed as Python."""
+    return validate_dataset(spark, sf_dir, check_code=True)
+
+
+@register("compile_rate")
+def q_compile_rate(spark, sf_dir):
+    """Share of checked code cells that parse as Python, per notebook language."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    meta = doc_metadata(spark, sf_dir).select(F.col("id").alias("notebook_id"), "language")
+    nbs = notebooks(spark, sf_dir).join(meta, "notebook_id")
+    cells = nbs.select("notebook_id", "language", F.posexplode(nbops.parsed_cells("raw")).alias("position", "c"))
+    code = cells.filter((F.col("c.kind") == "code") & val.cell_rule(F.col("c.kind"), F.col("c.source")).isNull())
+    ok = code.select("language", val.python_compiles(F.col("c.source")).alias("ok"))
+    return ok.groupBy("language").agg(F.count(F.lit(1)).alias("n_code_cells"),
+                                      F.avg(F.col("ok").cast("double")).alias("compile_rate"))
+
+
 @register("language_distribution", f"""
 WITH {META_SQL}
 SELECT language, count(*) AS n FROM meta WHERE language IS NOT NULL GROUP BY language""")

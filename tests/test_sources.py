@@ -45,3 +45,14 @@ def test_notebook_dir_scan_listing_and_preview(spark, tmp_path):
     path = spark.createDataFrame([(1234567890,)], "id bigint").select(files.id_path("id")).first()[0]
     assert path == "1234/567/1234567890.json"
     assert os.path.exists(str(d / "5.json"))
+
+
+def test_build_index(spark, tmp_path):
+    from tessera.operators.knn import build_index
+    cells = spark.createDataFrame([("code", f"<code>x = {i}</code>", "{}", i, "t", "Python") for i in range(20)],
+                                  "type string, content string, metadata string, notebook_id bigint, title string, language string")
+    src = str(tmp_path / "cells")
+    sinks.write_cells_jsonl(cells, src)
+    build_index(spark, src, str(tmp_path / "index"), num_features=32, buckets=4)
+    idx = spark.read.parquet(str(tmp_path / "index"))
+    assert idx.count() == 20 and set(idx.columns) >= {"id", "content", "embedding", "bucket"}

@@ -93,3 +93,17 @@ def q_drift_gate(spark, sf_dir):
     d = topology.wasserstein_pairs(bars, pairs.select("pair_id", "left", "right"))
     g = topology.drift_gate(sig, dom, d.select(F.col("pair_id").alias("grp"), "distance"), threshold=0.1)
     return g.select("grp", "domain", "beta1", "max_beta1", r6("distance").alias("distance"), "reason", "is_safe")
+
+
+@register("euler_counts", f"""
+WITH {EDGES_SQL},
+tri AS (SELECT a.grp, count(*) AS n_triangles FROM edges a JOIN edges b ON a.grp = b.grp AND a.u = b.u AND a.v < b.v
+        JOIN edges c ON c.grp = a.grp AND c.u = a.v AND c.v = b.v GROUP BY a.grp),
+np AS (SELECT grp, count(*) AS n_points FROM pts GROUP BY grp),
+ne AS (SELECT grp, count(*) AS n_edges FROM edges GROUP BY grp)
+SELECT np.grp, n_points, coalesce(n_edges, 0) AS n_edges, coalesce(n_triangles, 0) AS n_triangles,
+       n_points - coalesce(n_edges, 0) + coalesce(n_triangles, 0) AS euler
+FROM np LEFT JOIN ne USING (grp) LEFT JOIN tri USING (grp)""")
+def q_euler_counts(spark, sf_dir):
+    """V, E, triangles and Euler characteristic of each group's 2-skeleton at ε."""
+    return topology.euler_counts(_points(spark, sf_dir), EPS)

@@ -85,3 +85,14 @@ def test_h0_multi_block_equals_single_block(spark):
     d2 = sorted(round(r["death"], 9) for r in b2.filter(~F.col("infinite")).collect())
     assert d1 == d2
     assert sorted(map(tuple, s1.collect())) == sorted(map(tuple, s2.collect()))
+
+
+def test_triangles_brute_force(spark):
+    rng = np.random.default_rng(9)
+    X = rng.normal(size=(60, 2))
+    rows = [(0, i, X[i].tolist()) for i in range(60)]
+    got = topology.euler_counts(pts(spark, rows), 0.8, block_rows=16).collect()[0]
+    adj = np.linalg.norm(X[:, None] - X[None], axis=2) <= 0.8
+    np.fill_diagonal(adj, False)
+    A = adj.astype(np.int64)
+    assert got["n_edges"] == A.sum() // 2 and got["n_triangles"] == np.trace(A @ A @ A) // 6

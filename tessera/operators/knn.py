@@ -1,12 +1,12 @@
 """Exact and approximate k-nearest-neighbour search.
 
-Exact search never materialises query x corpus pairs.  Both sides are cut
-into blocks of bounded size; every (query block, corpus block) pair meets in
-one cogrouped task (equi-join on block ids, each row replicated once per
-block of the other side), which computes distances with numpy and emits only
-its local top-k per query.  A final salted top-k merges at most
-k x corpus-blocks candidates per query.  Work per task is bounded by
-``block_rows``^2 regardless of skew in the data.
+Exact search never shuffles the corpus and never materialises query x corpus
+pairs.  The query set is cut into blocks of at most ``query_block_rows``
+(size-checked) and each block is broadcast as a matrix; every corpus
+partition streams its Arrow batches through numpy, keeps a running top-k per
+query and emits only k rows per query.  A salted multi-level top-k, sized
+from k x partitions, merges the candidates.  Query sets larger than one
+block take one scan of the corpus per block.
 """
 
 from __future__ import annotations
@@ -19,70 +19,83 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.topk import top_k_per_group
+from tessera.session import fits
 
-BLOCK_ROWS = 4096
+QUERY_BLOCK_ROWS = 20_000
 RESULT_SCHEMA = "qid bigint, vec_id bigint, dist double"
 
 
-def _blocks(n: int, block_rows: int) -> int:
-    return max(1, math.ceil(n / block_rows))
-
-
-def _local_topk(metric: str, k: int):
-    def fn(key, corpus, queries):
-        if corpus.empty or queries.empty:
-            return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"),
-                                 "dist": pd.Series([], dtype="float64")})
-        C = np.stack(corpus["v"].to_numpy()).astype(np.float64)
-        Q = np.stack(queries["v"].to_numpy()).astype(np.float64)
-        cid = corpus["id"].to_numpy(dtype=np.int64)
-        qid = queries["id"].to_numpy(dtype=np.int64)
-        if metric == "cosine":
-            C = C / np.linalg.norm(C, axis=1, keepdims=True)
-            Q = Q / np.linalg.norm(Q, axis=1, keepdims=True)
-            approx = 1.0 - Q @ C.T
-        else:
-            approx = (Q * Q).sum(1)[:, None] + (C * C).sum(1)[None, :] - 2.0 * (Q @ C.T)
-        m = min(len(cid), k + 8)  # a small margin, then exact re-check of the survivors
-        part = np.argpartition(approx, m - 1, axis=1)[:, :m] if m < len(cid) else np.tile(np.arange(len(cid)), (len(qid), 1))
-        out_q, out_c, out_d = [], [], []
-        for i in range(len(qid)):
-            cand = part[i]
+def _scan_topk(Q: np.ndarray, qids: np.ndarray, metric: str, k: int):
+    """mapInPandas body: running top-k of every query over one partition's batches."""
+    Qn = Q / np.linalg.norm(Q, axis=1, keepdims=True) if metric == "cosine" else Q
+    q_sq = (Q * Q).sum(1)
+
+    def fn(batches):
+        best_d = np.full((len(qids), 0), np.inf)
+        best_i = np.zeros((len(qids), 0), dtype=np.int64)
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            C = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+            cid = pdf["id"].to_numpy(dtype=np.int64)
+            if metric == "cosine":
+                Cn = C / np.linalg.norm(C, axis=1, keepdims=True)
+                approx = 1.0 - Qn @ Cn.T
+            else:
+                approx = q_sq[:, None] + (C * C).sum(1)[None, :] - 2.0 * (Q @ C.T)
+            m = min(len(cid), k + 8)   # margin, then exact distances for the survivors
+            cand = (np.argpartition(approx, m - 1, axis=1)[:, :m] if m < len(cid)
+                    else np.tile(np.arange(len(cid)), (len(qids), 1)))
             if metric == "cosine":
-                d = 1.0 - C[cand] @ Q[i]
+                d = 1.0 - np.einsum("qmd,qd->qm", Cn[cand], Qn)
             else:
-                diff = C[cand] - Q[i]
-                d = np.sqrt(np.einsum("ij,ij->i", diff, diff))
-            order = np.lexsort((cid[cand], d))[:k]
-            out_q.append(np.full(len(order), qid[i]))
-            out_c.append(cid[cand][order])
-            out_d.append(d[order])
-        return pd.DataFrame({"qid": np.concatenate(out_q), "vec_id": np.concatenate(out_c), "dist": np.concatenate(out_d)})
+                diff = C[cand] - Q[:, None, :]
+                d = np.sqrt(np.einsum("qmd,qmd->qm", diff, diff))
+            all_d = np.concatenate([best_d, d], axis=1)
+            all_i = np.concatenate([best_i, cid[cand]], axis=1)
+            order = np.lexsort((all_i, all_d), axis=1)[:, :k]
+            best_d = np.take_along_axis(all_d, order, axis=1)
+            best_i = np.take_along_axis(all_i, order, axis=1)
+        if best_d.shape[1]:
+            yield pd.DataFrame({"qid": np.repeat(qids, best_d.shape[1]), "vec_id": best_i.ravel(),
+                                "dist": best_d.ravel()})
     return fn
 
 
 def knn_exact(corpus: DataFrame, queries: DataFrame, k: int = 5, metric: str = "l2",
               corpus_id: str = "vec_id", corpus_vec: str = "embedding",
-              query_id: str = "qid", query_vec: str = "qvec", block_rows: int = BLOCK_ROWS) -> DataFrame:
+              query_id: str = "qid", query_vec: str = "qvec", query_block_rows: int = QUERY_BLOCK_ROWS) -> DataFrame:
     """(qid, vec_id, dist, rank): the k nearest corpus rows for every query row.
 
     ``metric`` is ``l2`` (Euclidean) or ``cosine`` (1 - cosine similarity).
     Ties are broken by the smaller corpus id.
     """
-    n_corpus, n_queries = corpus.count(), queries.count()
-    cb, qb = _blocks(n_corpus, block_rows), _blocks(n_queries, block_rows)
-    c = corpus.select(F.col(corpus_id).cast("bigint").alias("id"), F.col(corpus_vec).alias("v"),
-                      F.pmod(F.xxhash64(corpus_id), F.lit(cb)).alias("cb"))
-    q = queries.select(F.col(query_id).cast("bigint").alias("id"), F.col(query_vec).alias("v"),
-                       F.pmod(F.xxhash64(query_id), F.lit(qb)).alias("qb"))
-    # Replicate each side across the other side's blocks: every pair of blocks meets once.
-    c = c.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))) if qb > 1 else c.withColumn("qb", F.lit(0))
-    q = q.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(cb - 1)))) if cb > 1 else q.withColumn("cb", F.lit(0))
-    c = c.withColumn("v", F.col("v").cast("array<double>"))
-    q = q.withColumn("v", F.col("v").cast("array<double>"))
-    local = (c.groupBy("qb", "cb").cogroup(q.groupBy("qb", "cb"))
-             .applyInPandas(_local_topk(metric, k), RESULT_SCHEMA))
-    return top_k_per_group(local, ["qid"], ["dist", "vec_id"], k, salt_col=F.lit(0))
+    spark = corpus.sparkSession
+    c = corpus.select(F.col(corpus_id).cast("bigint").alias("id"), F.col(corpus_vec).cast("array<double>").alias("v"))
+    q = queries.select(F.col(query_id).cast("bigint").alias("id"), F.col(query_vec).cast("array<double>").alias("v"))
+    n_q = q.count()
+    n_blocks = max(1, math.ceil(n_q / query_block_rows))
+    parts = max(1, c.rdd.getNumPartitions())
+    out = None
+    for b in range(n_blocks):
+        block = q if n_blocks == 1 else q.filter(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b)
+        if not fits(block, 2 * query_block_rows):
+            raise ValueError("query block exceeds its size bound")
+        rows = block.collect()       # one bounded, checked block: the broadcast payload
+        if not rows:
+            continue
+        Q = np.array([r["v"] for r in rows], dtype=np.float64)
+        ids = np.array([r["id"] for r in rows], dtype=np.int64)
+        bq = spark.sparkContext.broadcast((Q, ids))
+
+        def run(batches, bq=bq):
+            Qb, idb = bq.value
+            yield from _scan_topk(Qb, idb, metric, k)(batches)
+        local = c.mapInPandas(run, RESULT_SCHEMA)
+        out = local if out is None else out.unionByName(local)
+    if out is None:
+        return spark.createDataFrame([], RESULT_SCHEMA + ", rank int")
+    return top_k_per_group(out, ["qid"], ["dist", "vec_id"], k, rows_per_group=k * parts)
 
 
 def knn_lsh(corpus: DataFrame, queries: DataFrame, k: int = 5, threshold: float = 2.0,

@@ -64,22 +64,35 @@ def smallest_n(df: DataFrame, order_cols: Sequence, n: int, key_col: str | None
 
 def top_k_per_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence, k,
                     salt_col: Column | None = None, salt_buckets: int = DEFAULT_SALT_BUCKETS,
-                    rank_col: str = "rank") -> DataFrame:
+                    rank_col: str = "rank", rows_per_group: int | None = None,
+                    window_rows: int = 4096) -> DataFrame:
     """k smallest rows per group by ``order_cols`` (add an id for a total order).
 
     ``k`` may be an int or a Column (per-group quota).  Output keeps the input
-    columns plus ``rank_col`` (1-based).
+    columns plus ``rank_col`` (1-based).  With ``rows_per_group`` (an upper
+    estimate) and an int ``k``, enough salted levels are planned that no
+    window sees more than about ``window_rows`` rows of one group.
     """
     order = _cols(order_cols)
     kcol = F.lit(k) if isinstance(k, int) else k
     groups = list(group_cols)
-    if salt_col is None:
-        hashable = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
-        salt_col = F.pmod(F.xxhash64(*hashable), F.lit(salt_buckets))
-    salted = df.withColumn("_salt", salt_col)
-    w1 = Window.partitionBy(*groups, "_salt").orderBy(*order)
-    stage1 = salted.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= kcol)
+    hashable = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    levels: list[int] = []
+    if rows_per_group is not None and isinstance(k, int):
+        rows = rows_per_group
+        while rows > window_rows:
+            s = -(-rows // window_rows)
+            levels.append(s)
+            rows = k * s
+    elif salt_col is not None:
+        levels = [0]
+    else:
+        levels = [salt_buckets]
+    cur = df
+    for i, s in enumerate(levels):
+        salt = salt_col if (s == 0 and salt_col is not None) else F.pmod(F.xxhash64(F.lit(i), *hashable), F.lit(s))
+        cur = cur.withColumn("_salt", salt)
+        w1 = Window.partitionBy(*groups, "_salt").orderBy(*order)
+        cur = cur.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= kcol).drop("_salt", "_r1")
     w2 = Window.partitionBy(*groups).orderBy(*order)
-    return (stage1.withColumn(rank_col, F.row_number().over(w2))
-            .filter(F.col(rank_col) <= kcol)
-            .drop("_salt", "_r1"))
+    return cur.withColumn(rank_col, F.row_number().over(w2)).filter(F.col(rank_col) <= kcol)

@@ -49,7 +49,7 @@ def test_knn_exact_multi_block_matches_brute_force(spark):
     corpus = spark.createDataFrame([(i, C[i].tolist()) for i in range(300)], "vec_id bigint, embedding array<float>")
     queries = spark.createDataFrame([(i, Q[i].tolist()) for i in range(25)], "qid bigint, qvec array<float>")
     for metric in ("l2", "cosine"):
-        res = knn.knn_exact(corpus, queries, k=4, metric=metric, block_rows=40).collect()
+        res = knn.knn_exact(corpus.repartition(7), queries, k=4, metric=metric, query_block_rows=10).collect()
         got = {(r["qid"], r["rank"]): r["vec_id"] for r in res}
         Cd, Qd = C.astype(np.float64), Q.astype(np.float64)
         for i in range(25):

@@ -47,3 +47,14 @@ def test_top_k_per_group_hot_group(spark):
     out = top_k_per_group(df, ["g"], ["v"], 3, salt_buckets=8)
     got = {(r["g"], r["rank"]): r["v"] for r in out.collect()}
     assert got[(0, 1)] == 0 and got[(0, 3)] == 2 and len(got) == 3 * 5
+
+
+def test_top_k_multi_level_salting(spark):
+    df = spark.range(20000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7919 % 20011).alias("v"))
+    out = top_k_per_group(df, ["g"], ["v"], 4, rows_per_group=20000, window_rows=64)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["g"], []).append(r["v"])
+    rows = [(i % 3, i * 7919 % 20011) for i in range(20000)]
+    for g in range(3):
+        assert sorted(got[g]) == sorted(v for gg, v in rows if gg == g)[:4]

@@ -21,3 +21,27 @@ def test_cells_stream_matches_batch(spark):
     # A second run with no new files appends nothing (progress is in the checkpoint).
     run_to_parquet(cells_stream(spark, src), os.path.join(d, "out"), os.path.join(d, "ckpt"))
     assert spark.read.parquet(os.path.join(d, "out")).count() == 12
+
+
+def test_graph_append_stream(spark):
+    from tessera.operators import graph
+    from tessera.streaming.graph import edge_stream, node_stream
+    d = tempfile.mkdtemp(prefix="tessera-graph-")
+    for sub in ("nodes", "edges"):
+        os.makedirs(os.path.join(d, sub))
+    with open(os.path.join(d, "nodes", "a.json"), "w") as f:
+        f.write(json.dumps({"type": "fact", "content": "pandas joins"}) + "\n")
+        f.write(json.dumps({"type": "fact", "content": "spark joins"}) + "\n")
+    run_to_parquet(node_stream(spark, os.path.join(d, "nodes")), os.path.join(d, "n"), os.path.join(d, "nc"))
+    nodes = spark.read.parquet(os.path.join(d, "n"))
+    ids = {r["content"]: r["id"] for r in nodes.collect()}
+    with open(os.path.join(d, "edges", "a.json"), "w") as f:
+        f.write(json.dumps({"source_id": ids["pandas joins"], "target_id": ids["spark joins"], "relation": "see"}) + "\n")
+    run_to_parquet(edge_stream(spark, os.path.join(d, "edges")), os.path.join(d, "e"), os.path.join(d, "ec"))
+    edges = spark.read.parquet(os.path.join(d, "e"))
+    nb = graph.neighbors(nodes, edges).collect()
+    assert [r["content"] for r in nb] == ["spark joins"]
+    with open(os.path.join(d, "nodes", "b.json"), "w") as f:
+        f.write(json.dumps({"type": "fact", "content": "third"}) + "\n")
+    run_to_parquet(node_stream(spark, os.path.join(d, "nodes")), os.path.join(d, "n"), os.path.join(d, "nc"))
+    assert spark.read.parquet(os.path.join(d, "n")).count() == 3

@@ -19,8 +19,21 @@ def _dataset_name(dataset: str) -> str:
     return dataset.rsplit(".", 1)[0]
 
 
+def sample_for_rules(df: DataFrame, columns: list[dict], sample_size: int, seed: int = 42) -> DataFrame:
+    """Rule-mode sample: length-weighted (TotalLines, LinesOfCode) if present, else uniform,
+    keyed on the first unique column (or a hash of the whole row)."""
+    from tessera.operators.sampling import sample_uniform, sample_weighted
+    key = next((c["column"] for c in columns if c.get("is_unique") and c["column"] in df.columns), None)
+    if key is None:
+        df = df.withColumn("_row_key", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+        key = "_row_key"
+    length = next((c for c in ("TotalLines", "LinesOfCode") if c in df.columns), None)
+    out = (sample_weighted(df, sample_size, key, length, seed) if length else sample_uniform(df, sample_size, key, seed))
+    return out.drop("_row_key") if key == "_row_key" else out
+
+
 def rule_report(spark: SparkSession, tables: dict[str, DataFrame], rules: dict,
-                only_missing: bool = True) -> DataFrame:
+                only_missing: bool = True, sample_size: int | None = None) -> DataFrame:
     """Long report (dataset, column_name, check_name, value).
 
     checks: file_missing, missing_column, type_mismatch (P3), missing (A3,
@@ -35,6 +48,8 @@ def rule_report(spark: SparkSession, tables: dict[str, DataFrame], rules: dict,
             static_rows.append((dataset, None, "file_missing", 1))
             continue
         df = tables[name]
+        if sample_size is not None:
+            df = sample_for_rules(df, spec["columns"], sample_size)
         types = dict((f.name, f.dataType.simpleString()) for f in df.schema.fields)
         present = []
         for c in spec["columns"]:

@@ -120,7 +120,7 @@ def metadata_flags(meta: DataFrame, id_col: str, language_col: str, date_col: st
 SUMMARY_METRICS = (
     "total_rows", "total_notebooks", "sampled_notebooks", "valid_notebooks", "invalid_notebooks",
     "missing_metadata", "invalid_code", "invalid_markdown", "invalid_language", "invalid_canonical",
-    "duplicate_ids", "invalid_timestamps", "missing_notebooks",
+    "duplicate_ids", "invalid_timestamps", "missing_notebooks", "invalid_language_total",
 )
 
 
@@ -161,6 +161,8 @@ def validation_summary(meta: DataFrame, verdicts: DataFrame, id_col: str, langua
         F.count_if("bad_timestamp").alias("invalid_timestamps"),
         F.count_if(~found).alias("missing_notebooks"),
     )
+    # The reference adds both language checks into one counter; keep both and the sum.
+    agg = agg.withColumn("invalid_language_total", F.col("invalid_language") + F.col("invalid_canonical"))
     parts = [_long(agg, [c for c in agg.columns]), _long(duplicate_id_rows(meta, id_col), ["duplicate_ids"])]
     if total_rows is not None:
         parts.append(_long(total_rows, ["total_rows"]))

@@ -51,6 +51,7 @@ UNION ALL SELECT 'invalid_code', invalid_code FROM a
 UNION ALL SELECT 'invalid_markdown', invalid_markdown FROM a
 UNION ALL SELECT 'invalid_language', invalid_language FROM a
 UNION ALL SELECT 'invalid_canonical', invalid_canonical FROM a
+UNION ALL SELECT 'invalid_language_total', invalid_language + invalid_canonical FROM a
 UNION ALL SELECT 'invalid_timestamps', invalid_timestamps FROM a
 UNION ALL SELECT 'missing_notebooks', missing_notebooks FROM a
 UNION ALL SELECT 'duplicate_ids', coalesce(sum(c), 0)::BIGINT FROM (SELECT count(*) AS c FROM meta GROUP BY id HAVING count(*) > 1)

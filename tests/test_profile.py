@@ -85,3 +85,14 @@ def test_column_quantiles_low_cardinality(spark):
     arr = np.array([v for v in vals if v is not None])
     for p, q in got.items():
         assert abs(q - np.quantile(arr, p)) < 1e-12
+
+
+def test_rule_report_sampled(spark, tmp_path):
+    from tessera.operators.rules_check import rule_report
+    from tessera.sources.rules import parse_rules, rules_dict
+    doc = tmp_path / "rules.txt"
+    doc.write_text("## A.csv\n- Id: int64 (unique, required)\n- Name: string (nullable)\n")
+    rules = rules_dict(parse_rules(spark, str(doc)))
+    a = spark.createDataFrame([(i, None if i % 2 else "x") for i in range(100)], "Id bigint, Name string")
+    rep = {(r[1], r[2]): r[3] for r in rule_report(spark, {"A": a}, rules, sample_size=10).collect()}
+    assert 0 < rep[("Name", "missing")] <= 10

@@ -43,6 +43,7 @@ def test_happy_case(spark, happy):
     r = report(val.validate_dataset(meta, nbs, langs))
     assert r["total_notebooks"] == 10 and r["valid_notebooks"] == 10 and r["invalid_notebooks"] == 0
     assert r["invalid_language"] == 0 and r["invalid_canonical"] == 5
+    assert r["invalid_language_total"] == 5    # the reference's single counter
     assert r["missing_notebooks"] == 0 and r["duplicate_ids"] == 0 and r["invalid_timestamps"] == 0
     assert r["invalid_code"] == 0 and r["invalid_markdown"] == 0
 

@@ -371,11 +371,15 @@ def profile_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def profile_datetime(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Count, mean, min, quartiles, max of timestamps (no std), via epoch micros."""
-    micros = df.select(*[F.unix_micros(F.col(c).cast("timestamp")).alias(c) for c in cols])
+    from tessera.functions.temporal import micros_to_ntz, ntz_to_micros
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    # NTZ columns use zone-free epoch micros; zoned timestamps use the instant.
+    micros = df.select(*[(ntz_to_micros(F.col(c)) if types[c] == "timestamp_ntz" else
+                          F.unix_micros(F.col(c).cast("timestamp"))).alias(c) for c in cols])
     prof = profile_numeric(micros, cols)
 
     def back(c: str) -> Column:
-        return F.timestamp_micros(F.round(F.col(c)).cast("bigint")).cast("timestamp_ntz").alias(c)
+        return micros_to_ntz(F.round(F.col(c)).cast("bigint")).alias(c)
     return prof.select("column_name", "count", back("mean"), back("min"), back("p25"), back("p50"), back("p75"), back("max"))
 
 

@@ -154,3 +154,20 @@ def test_error_samples(spark):
                                 "notebook_id bigint, raw string")
     s = val.error_samples(val.notebook_verdicts(nbs)).collect()
     assert len(s) == 5 and all(len(r["errors"]) == 3 for r in s)
+
+
+def test_timestamps_ignore_session_zone(spark):
+    from tessera.functions.temporal import coerce_timestamp, invalid_timestamp
+    from tessera.operators.profile import profile_datetime
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        df = spark.createDataFrame([("2023-03-12 02:30:00",), ("2023-11-05 01:30:00",), ("bad",)], "s string")
+        got = [r[0] for r in df.select(coerce_timestamp("s").cast("string")).collect()]
+        assert got == ["2023-03-12 02:30:00", "2023-11-05 01:30:00", None]
+        assert [r[0] for r in df.select(invalid_timestamp("s")).collect()] == [False, False, True]
+        ts = df.filter("s != 'bad'").select(coerce_timestamp("s").alias("t"))
+        p = profile_datetime(ts, ["t"]).collect()[0]
+        assert str(p["min"]) == "2023-03-12 02:30:00" and str(p["max"]) == "2023-11-05 01:30:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)

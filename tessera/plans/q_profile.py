@@ -252,6 +252,43 @@ def q_table_inventory(spark, sf_dir):
     return out
 
 
+FAMILY_CASE_SQL = """CASE WHEN data_type IN ('BIGINT','INTEGER','SMALLINT','TINYINT') THEN 'int64'
+     WHEN data_type IN ('DOUBLE','FLOAT') OR data_type LIKE 'DECIMAL%' THEN 'float64'
+     WHEN data_type IN ('TIMESTAMP','DATE') THEN 'datetime' WHEN data_type = 'BOOLEAN' THEN 'bool'
+     WHEN data_type = 'VARCHAR' THEN 'string' WHEN data_type LIKE '%[]' THEN 'array' ELSE 'other' END"""
+
+
+def _schema_sql() -> str:
+    counts = " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, column_name, count(*) AS n FROM "
+        f"(UNPIVOT (SELECT COLUMNS(*)::VARCHAR FROM {t}) ON COLUMNS(*) INTO NAME column_name VALUE v) GROUP BY column_name"
+        for t in TABLES)
+    return f"""
+WITH c AS ({counts})
+SELECT i.table_name, i.column_name, {FAMILY_CASE_SQL} AS type_family, coalesce(c.n, 0) AS n_non_null
+FROM information_schema.columns i LEFT JOIN c ON c.table_name = i.table_name AND c.column_name = i.column_name
+WHERE i.table_name IN ({", ".join(f"'{t}'" for t in TABLES)})"""
+
+
+@register("table_schema", _schema_sql())
+def q_table_schema(spark, sf_dir):
+    """A7 + S5: every table's columns, type family and non-null count (one aggregate per table)."""
+    from tessera.sources.rules import type_family
+    out = None
+    for t in TABLES:
+        df = read_table(spark, sf_dir, t)
+        fams = []
+        for name, dtype in df.dtypes:
+            fam = "array" if dtype.startswith("array") else type_family(dtype)
+            fams.append((name, fam if fam in ("int64", "float64", "string", "datetime", "bool", "array") else "other"))
+        agg = df.agg(*[F.count(F.col(f"`{n}`")).alias(n) for n, _ in fams])
+        pairs = ", ".join(f"'{n}', '{f}', `{n}`" for n, f in fams)
+        one = agg.selectExpr(f"stack({len(fams)}, {pairs}) AS (column_name, type_family, n_non_null)").select(
+            F.lit(t).alias("table_name"), "column_name", "type_family", "n_non_null")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # ------------------------------------------------------------ rule report
 
 def _parse_rules_py(path: str) -> dict:

@@ -258,24 +258,23 @@ FAMILY_CASE_SQL = """CASE WHEN data_type IN ('BIGINT','INTEGER','SMALLINT','TINY
      WHEN data_type = 'VARCHAR' THEN 'string' WHEN data_type LIKE '%[]' THEN 'array' ELSE 'other' END"""
 
 
-def _schema_sql() -> str:
+def _schema_sql(tables=TABLES) -> str:
     counts = " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, column_name, count(*) AS n FROM "
         f"(UNPIVOT (SELECT COLUMNS(*)::VARCHAR FROM {t}) ON COLUMNS(*) INTO NAME column_name VALUE v) GROUP BY column_name"
-        for t in TABLES)
+        for t in tables)
     return f"""
 WITH c AS ({counts})
 SELECT i.table_name, i.column_name, {FAMILY_CASE_SQL} AS type_family, coalesce(c.n, 0) AS n_non_null
 FROM information_schema.columns i LEFT JOIN c ON c.table_name = i.table_name AND c.column_name = i.column_name
-WHERE i.table_name IN ({", ".join(f"'{t}'" for t in TABLES)})"""
+WHERE i.table_name IN ({", ".join(f"'{t}'" for t in tables)})"""
 
 
-@register("table_schema", _schema_sql())
-def q_table_schema(spark, sf_dir):
-    """A7 + S5: every table's columns, type family and non-null count (one aggregate per table)."""
+def schema_rows(spark, sf_dir, tables=TABLES):
+    """(table_name, column_name, type_family, n_non_null): one aggregate per table, unioned."""
     from tessera.sources.rules import type_family
     out = None
-    for t in TABLES:
+    for t in tables:
         df = read_table(spark, sf_dir, t)
         fams = []
         for name, dtype in df.dtypes:
@@ -289,6 +288,12 @@ def q_table_schema(spark, sf_dir):
     return out
 
 
+@register("table_schema", _schema_sql())
+def q_table_schema(spark, sf_dir):
+    """A7 + S5: every table's columns, type family and non-null count (one aggregate per table)."""
+    return schema_rows(spark, sf_dir)
+
+
 # ------------------------------------------------------------ rule report
 
 def _parse_rules_py(path: str) -> dict:
@@ -356,8 +361,29 @@ def q_rule_report(spark, sf_dir):
     return rule_report(spark, tables, rules)
 
 
-@register("rule_parse", " UNION ALL ".join(
-    [f"SELECT '{d}' AS dataset, '{c['column']}' AS column_name, '{c['dtype']}' AS dtype" for d, s in _parse_rules_py(RULES_PATH).items()
-     for c in s["columns"]]))
+def _rule_tables() -> list:
+    return sorted({d.rsplit(".", 1)[0] for d in _parse_rules_py(RULES_PATH)} & set(TABLES))
+
+
+def _rule_parse_sql() -> str:
+    rows = ", ".join(f"('{d}', '{d.rsplit('.', 1)[0]}', '{c['column']}', '{c['dtype']}')"
+                     for d, s in _parse_rules_py(RULES_PATH).items() for c in s["columns"])
+    return f"""
+WITH r(dataset, table_name, column_name, dtype) AS (VALUES {rows}),
+s AS ({_schema_sql(_rule_tables())})
+SELECT r.dataset, r.column_name, r.dtype, s.type_family AS actual_family, s.n_non_null,
+       s.column_name IS NOT NULL AS present, coalesce(s.type_family = r.dtype, false) AS type_ok
+FROM r LEFT JOIN s ON s.table_name = r.table_name AND s.column_name = r.column_name"""
+
+
+@register("rule_parse", _rule_parse_sql())
 def q_rule_parse(spark, sf_dir):
-    return parse_rules(spark, RULES_PATH).filter(F.col("kind") == "column").select("dataset", F.col("column").alias("column_name"), "dtype")
+    """S6 + P1/P3: every parsed rule column against the table it names (presence, type family, non-null count)."""
+    rules = parse_rules(spark, RULES_PATH).filter(F.col("kind") == "column").select(
+        "dataset", F.regexp_extract("dataset", r"^(.*)\.[A-Za-z]+$", 1).alias("table_name"),
+        F.col("column").alias("column_name"), "dtype")
+    actual = schema_rows(spark, sf_dir, _rule_tables())
+    j = rules.join(actual, ["table_name", "column_name"], "left")
+    return j.select("dataset", "column_name", "dtype", F.col("type_family").alias("actual_family"), "n_non_null",
+                    F.col("type_family").isNotNull().alias("present"),
+                    F.coalesce(F.col("type_family") == F.col("dtype"), F.lit(False)).alias("type_ok"))

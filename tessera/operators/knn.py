@@ -98,6 +98,27 @@ def knn_exact(corpus: DataFrame, queries: DataFrame, k: int = 5, metric: str = "
     return top_k_per_group(out, ["qid"], ["dist", "vec_id"], k, rows_per_group=k * parts)
 
 
+def dual_search(session: DataFrame, long_term: DataFrame, queries: DataFrame, k: int = 5, metric: str = "l2",
+                corpus_id: str = "vec_id", corpus_vec: str = "embedding",
+                query_id: str = "qid", query_vec: str = "qvec") -> DataFrame:
+    """Search a session (recent) index and a long-term index, merge into one top-k.
+
+    Each index is searched exactly on its own (k hits per query each); a vector
+    present in both keeps its nearer hit, the session one on ties.  Output:
+    (qid, vec_id, dist, rank, tier), at most k rows per query.
+    """
+    hits = None
+    for order, (tier, corpus) in enumerate((("session", session), ("long_term", long_term))):
+        h = knn_exact(corpus, queries, k, metric, corpus_id, corpus_vec, query_id, query_vec).select(
+            "qid", "vec_id", "dist", F.lit(tier).alias("tier"), F.lit(order).alias("_order"))
+        hits = h if hits is None else hits.unionByName(h)
+    # <= 2k candidate rows per query: dedupe per (qid, vec_id), then rank per query.
+    best = hits.groupBy("qid", "vec_id").agg(F.min_by(F.struct("dist", "_order", "tier"),
+                                                      F.struct("dist", "_order")).alias("b"))
+    cand = best.select("qid", "vec_id", F.col("b.dist").alias("dist"), F.col("b.tier").alias("tier"))
+    return top_k_per_group(cand, ["qid"], ["dist", "vec_id"], k, rows_per_group=2 * k)
+
+
 def knn_lsh(corpus: DataFrame, queries: DataFrame, k: int = 5, threshold: float = 2.0,
             bucket_length: float = 1.0, num_tables: int = 4, seed: int = 42,
             corpus_id: str = "vec_id", corpus_vec: str = "embedding",

@@ -117,3 +117,29 @@ def q_augment_prompts(spark, sf_dir):
         "prompt", F.concat(F.lit("Describe class "), F.col("qid").cast("string")))
     contents = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id"), F.col("text").alias("content"))
     return knn.augment_prompts(prompts, hits, contents)
+
+
+SESSION_IDS = 100  # the session index holds the newest 100 ids of the store
+
+
+def _session_split(emb):
+    """Session = ids above max(id) - SESSION_IDS (autoincrement ids: newest rows); literal bound, pushed to the scan."""
+    top = emb.agg(F.max("vec_id")).first()[0]
+    lo = (top if top is not None else 0) - SESSION_IDS
+    return emb.filter(F.col("vec_id") > lo), emb.filter(F.col("vec_id") <= lo)
+
+
+@register("dual_search", f"""
+WITH {MEANS_SQL},
+t AS (SELECT *, CASE WHEN vec_id > (SELECT max(vec_id) FROM embeddings) - {SESSION_IDS} THEN 'session' ELSE 'long_term' END AS tier
+      FROM embeddings),
+d AS (SELECT m.label AS qid, e.vec_id, e.tier, {L2_SQL} AS dist FROM means m, t e),
+r1 AS (SELECT *, row_number() OVER (PARTITION BY qid, tier ORDER BY dist, vec_id) AS tr FROM d),
+r2 AS (SELECT qid, vec_id, tier, dist, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS rank FROM r1 WHERE tr <= 5)
+SELECT qid, vec_id, round(dist, 6) AS dist, rank, tier FROM r2 WHERE rank <= 5""")
+def q_dual_search(spark, sf_dir):
+    """Session (newest ids) and long-term indexes searched exactly, merged top-5 with its tier."""
+    emb = read_table(spark, sf_dir, "embeddings")
+    session, long_term = _session_split(emb)
+    res = knn.dual_search(session, long_term, _centroid_queries(spark, sf_dir), k=5)
+    return res.select("qid", "vec_id", r6("dist").alias("dist"), "rank", "tier")

@@ -83,3 +83,23 @@ def test_collapse_one_class_and_brute_force(spark):
     intra = np.mean([1 - U[i] @ M[y[i]] for i in range(120)])
     inter = np.mean([1 - M[i] @ M[j] for i in range(4) for j in range(i + 1, 4)])
     assert abs(r["intra_class_dist"] - intra) < 1e-12 and abs(r["inter_class_dist"] - inter) < 1e-12
+
+
+def test_dual_search_overlapping_tiers_match_brute_force(spark):
+    rng = np.random.default_rng(7)
+    vecs = rng.normal(size=(60, 4))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vecs)]
+    corpus = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    session = corpus.filter(F.col("vec_id") >= 40)            # overlaps the long-term index on 40..49
+    long_term = corpus.filter(F.col("vec_id") < 50)
+    qv = rng.normal(size=(3, 4))
+    queries = spark.createDataFrame([(q, [float(x) for x in v]) for q, v in enumerate(qv)], "qid bigint, qvec array<double>")
+    got = knn.dual_search(session, long_term, queries, k=4).collect()
+    for q in range(3):
+        d = np.sqrt(((vecs - qv[q]) ** 2).sum(1))
+        want = sorted(range(60), key=lambda i: (d[i], i))[:4]
+        mine = sorted((r for r in got if r["qid"] == q), key=lambda r: r["rank"])
+        assert [r["vec_id"] for r in mine] == want
+        assert [r["rank"] for r in mine] == [1, 2, 3, 4]
+        for r in mine:
+            assert r["tier"] == ("session" if r["vec_id"] >= 40 else "long_term")

@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.topk import top_k_per_group
-from tessera.session import fits
 
 QUERY_BLOCK_ROWS = 20_000
 RESULT_SCHEMA = "qid bigint, vec_id bigint, dist double"
@@ -73,15 +72,26 @@ def knn_exact(corpus: DataFrame, queries: DataFrame, k: int = 5, metric: str = "
     spark = corpus.sparkSession
     c = corpus.select(F.col(corpus_id).cast("bigint").alias("id"), F.col(corpus_vec).cast("array<double>").alias("v"))
     q = queries.select(F.col(query_id).cast("bigint").alias("id"), F.col(query_vec).cast("array<double>").alias("v"))
-    n_q = q.count()
-    n_blocks = max(1, math.ceil(n_q / query_block_rows))
     parts = max(1, c.rdd.getNumPartitions())
+    # One bounded read decides the common case (all queries fit one block);
+    # larger query sets are hashed into blocks, each again read with a bound.
+    first = q.limit(query_block_rows + 1).collect()
+    if len(first) <= query_block_rows:
+        blocks = [lambda: first]
+    else:
+        n_blocks = math.ceil(q.count() / query_block_rows)
+
+        def reader(b):
+            def read():
+                rows = q.filter(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b).limit(2 * query_block_rows + 1).collect()
+                if len(rows) > 2 * query_block_rows:
+                    raise ValueError("query block exceeds its size bound")
+                return rows
+            return read
+        blocks = [reader(b) for b in range(n_blocks)]
     out = None
-    for b in range(n_blocks):
-        block = q if n_blocks == 1 else q.filter(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b)
-        if not fits(block, 2 * query_block_rows):
-            raise ValueError("query block exceeds its size bound")
-        rows = block.collect()       # one bounded, checked block: the broadcast payload
+    for read in blocks:
+        rows = read()       # one bounded, checked block: the broadcast payload
         if not rows:
             continue
         Q = np.array([r["v"] for r in rows], dtype=np.float64)

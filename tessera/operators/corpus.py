@@ -19,21 +19,33 @@ MAX_CELLS = 20
 MAX_CELL_LENGTH = 1000
 
 
+def _member_of(words):
+    return lambda t: t.isin(*words)
+
+
 def domain_tags(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, domain, hits) whole-word keyword counts, plus best domain per document.
 
-    Tokens outside the keyword set are dropped inside each row before the
-    explode, so only keyword hits are materialised.
+    A document is one row, so everything happens inside that row: the text is
+    split once, non-keywords are dropped, each domain's hits are counted with
+    ``filter``/``size`` and the best domain is the ``array_min`` of
+    (-hits, domain order).  No join, no aggregate, no shuffle.
     """
-    spark = docs.sparkSession
     words = sorted({w for _, ws in DOMAIN_KEYWORDS for w in ws})
-    kw = spark.createDataFrame([(d, i, w) for i, (d, ws) in enumerate(DOMAIN_KEYWORDS) for w in ws],
-                               "domain string, domain_order int, word string")
     toks = F.filter(F.split(F.lower(F.col(text_col)), r"[^a-z0-9\-]+"), lambda t: t.isin(*words))
-    hits = docs.select(F.col(id_col).alias("id"), F.explode(toks).alias("word"))
-    per = hits.join(F.broadcast(kw), "word").groupBy("id", "domain", "domain_order").agg(F.count(F.lit(1)).alias("hits"))
-    best = per.groupBy("id").agg(F.min(F.struct((-F.col("hits")).alias("h"), "domain_order", "domain")).alias("b"))
-    return per.join(best.select("id", F.col("b.domain").alias("best_domain")), "id").drop("domain_order")
+    kw = docs.select(F.col(id_col).alias("id"), toks.alias("_kw"))
+    per_domain = F.array(*[
+        F.struct(F.lit(-1).alias("neg_hits"), F.lit(i).alias("domain_order"), F.lit(d).alias("domain"))
+        .withField("neg_hits", -F.size(F.filter("_kw", _member_of(ws))))
+        for i, (d, ws) in enumerate(DOMAIN_KEYWORDS)])
+    present = F.filter(per_domain, lambda x: x["neg_hits"] < 0)
+    # explode_outer + a filter above it: a plain explode would make the optimizer
+    # infer size(_p) > 0 and push it to the scan, tokenising every text again.
+    rows = kw.select("id", present.alias("_p")).select(
+        "id", F.array_min("_p")["domain"].alias("best_domain"), F.explode_outer("_p").alias("_d")
+    ).filter(F.col("_d").isNotNull())
+    return rows.select("id", F.col("_d.domain").alias("domain"), (-F.col("_d.neg_hits")).cast("bigint").alias("hits"),
+                       "best_domain")
 
 
 def cap_cells(cells_array: Column, max_cells: int = MAX_CELLS, max_len: int = MAX_CELL_LENGTH) -> Column:

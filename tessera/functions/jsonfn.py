@@ -16,13 +16,18 @@ def parse(c) -> Column:
     return F.try_parse_json(_c(c))
 
 
-def is_json_object(raw) -> Column:
-    """Well-formed JSON whose top value is an object and nothing follows it."""
+def is_json_object(raw, parsed=None) -> Column:
+    """Well-formed JSON whose top value is an object and nothing follows it.
+
+    ``parsed`` may name the already parsed VARIANT of ``raw`` (parse once).
+    The object test casts to an empty struct, which looks at the top value
+    only (``schema_of_variant`` would walk the whole document).
+    """
     raw = _c(raw)
-    v = F.try_parse_json(raw)
+    v = F.try_parse_json(raw) if parsed is None else _c(parsed)
     return F.coalesce(
         v.isNotNull()
-        & F.schema_of_variant(v).startswith("OBJECT")
+        & F.try_variant_get(v, "$", "struct<>").isNotNull()
         & F.rtrim(F.regexp_replace(raw, r"\s+$", "")).endswith("}"),
         F.lit(False),
     )

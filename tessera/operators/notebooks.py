@@ -23,9 +23,12 @@ CELL_STRUCT = (
 
 def parsed_cells(raw_col: str = "raw") -> Column:
     """array<struct<kind, source, metadata>> of a raw notebook text (NULL if no cells)."""
-    return F.expr(
-        f"transform(try_variant_get(try_parse_json(`{raw_col}`), '$.cells', 'array<variant>'), c -> {CELL_STRUCT})"
-    )
+    return cells_of_variant(f"try_parse_json(`{raw_col}`)")
+
+
+def cells_of_variant(variant_sql: str) -> Column:
+    """The cells array of an already parsed notebook (a VARIANT expression)."""
+    return F.expr(f"transform(try_variant_get({variant_sql}, '$.cells', 'array<variant>'), c -> {CELL_STRUCT})")
 
 
 def explodable(cells_col: str = "_cells") -> Column:
@@ -34,13 +37,18 @@ def explodable(cells_col: str = "_cells") -> Column:
     return F.expr(f"forall(`{cells_col}`, c -> c.kind IS NOT NULL AND (c.kind NOT IN ({kinds}) OR c.source IS NOT NULL))")
 
 
-def explodable_raw(raw_col: str = "raw") -> Column:
-    """A notebook text that parses and would not raise in the cell loop."""
+def explodable_notebooks(notebooks: DataFrame, id_col: str = "notebook_id", raw_col: str = "raw") -> DataFrame:
+    """(id, ok): the text parses and its cell loop would not raise.
+
+    The text is parsed once in its own projection; the verdict reads the
+    parsed value twice, so the optimizer keeps the two projections apart.
+    """
     kinds = ", ".join(f"'{k}'" for k in CELL_KINDS)
-    cells = parsed_cells(raw_col)
+    v = notebooks.select(F.col(id_col), F.try_parse_json(F.col(raw_col)).alias("_v"))
+    cells = cells_of_variant("_v")
     ok = F.forall(F.coalesce(cells, F.array()), lambda c: c["kind"].isNotNull()
                   & (~c["kind"].isin(*CELL_KINDS) | c["source"].isNotNull()))
-    return F.try_parse_json(F.col(raw_col)).isNotNull() & ok
+    return v.select(F.col(id_col), (F.col("_v").isNotNull() & ok).alias("ok"))
 
 
 def explode_cells(notebooks: DataFrame, id_col: str = "notebook_id", raw_col: str = "raw",
@@ -50,11 +58,16 @@ def explode_cells(notebooks: DataFrame, id_col: str = "notebook_id", raw_col: st
     Position is the cell's index in the notebook; non code/markdown cells are
     dropped; a notebook with a cell lacking ``cell_type`` (or a kept cell
     lacking ``source``) emits nothing, as it errors in the reference.
+
+    Each notebook text is parsed once: the rejection is folded into the
+    generator's input (a rejected notebook explodes a NULL array), and the
+    only filter sits above the generator, so nothing is pushed back onto the
+    parse.  ``posexplode_outer`` keeps the optimizer from inferring a
+    size filter that would re-parse the text below.
     """
-    staged = (notebooks
-              .select(F.col(id_col).alias("notebook_id"), *carry, parsed_cells(raw_col).alias("_cells"))
-              .filter(F.coalesce(explodable("_cells"), F.lit(False))))
-    cells = staged.select("notebook_id", *carry, F.posexplode("_cells").alias("position", "_c"))
+    staged = notebooks.select(F.col(id_col).alias("notebook_id"), *carry, parsed_cells(raw_col).alias("_cells"))
+    keep = F.when(F.coalesce(explodable("_cells"), F.lit(False)), F.col("_cells"))
+    cells = staged.select("notebook_id", *carry, F.posexplode_outer(keep).alias("position", "_c"))
     return (cells
             .filter(F.col("_c.kind").isin(*CELL_KINDS))
             .select("notebook_id", "position",

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from tessera.functions.jsonfn import is_json_object, missing_fields
 from tessera.functions.temporal import invalid_timestamp
 from tessera.functions.text import MAX_CELL_CHARS, MIN_CELL_CHARS, canonical_language, invalid_language
-from tessera.operators.notebooks import parsed_cells
+from tessera.operators.notebooks import cells_of_variant
 
 # Error kinds, in the order the cell rules are tried (first failure wins).
 CELL_ERROR_ORDER = ("missing_cell_type", "invalid_cell_type", "missing_source", "too_short",
@@ -75,12 +75,17 @@ def notebook_verdicts(notebooks: DataFrame, id_col: str = "notebook_id", raw_col
     Columns: notebook_id, json_ok, missing_fields, n_cells, errors (array of
     cell error kinds, in cell order), n_invalid_code, n_invalid_markdown, valid.
     """
-    staged = notebooks.select(
-        F.col(id_col).alias("notebook_id"),
-        is_json_object(F.col(raw_col)).alias("json_ok"),
-        F.when(is_json_object(F.col(raw_col)), missing_fields(F.col(raw_col))).alias("missing_fields"),
-        parsed_cells(raw_col).alias("_cells"),
+    # Parse each notebook text once; everything below reads the parsed value.
+    parsed = notebooks.select(F.col(id_col).alias("notebook_id"), F.col(raw_col).alias("_raw"),
+                              F.try_parse_json(F.col(raw_col)).alias("_v"))
+    staged = parsed.select(
+        "notebook_id",
+        is_json_object("_raw", "_v").alias("json_ok"),
+        cells_of_variant("_v").alias("_cells"),
+        "_raw",
     )
+    staged = staged.select("notebook_id", "json_ok", F.when(F.col("json_ok"), missing_fields("_raw")).alias("missing_fields"),
+                           "_cells")
     staged = staged.withColumn("_cells", F.coalesce("_cells", F.array().cast(staged.schema["_cells"].dataType)))
     errs = F.expr(f"transform(_cells, c -> {_rule_sql('c')})")
     staged = staged.withColumn("_err", errs)
@@ -181,11 +186,16 @@ def language_distribution(meta: DataFrame, language_col: str) -> DataFrame:
 
 
 def error_samples(verdicts: DataFrame, n_notebooks: int = 5, n_errors: int = 3) -> DataFrame:
-    """O2: first invalid notebooks (by id) with their first errors."""
-    return (verdicts.filter(~F.col("valid"))
+    """O2: first invalid notebooks (by id) with their first errors.
+
+    Invalid notebooks sort first, so the bounded top-n (``TakeOrderedAndProject``)
+    holds them; the validity filter runs on those n rows, above the limit.
+    A filter below would be pushed onto the notebook parse and repeat it.
+    """
+    first = verdicts.select("notebook_id", "valid", "errors").orderBy("valid", "notebook_id").limit(n_notebooks)
+    return (first.filter(~F.col("valid"))
             .select("notebook_id", F.slice(F.when(F.size("errors") > 0, F.col("errors"))
-                                           .otherwise(F.array(F.lit("structure"))), 1, n_errors).alias("errors"))
-            .orderBy("notebook_id").limit(n_notebooks))
+                                           .otherwise(F.array(F.lit("structure"))), 1, n_errors).alias("errors")))
 
 
 LENGTH_COLUMNS = ("TotalLines", "LinesOfCode", "LinesInsertedFromPrevious")

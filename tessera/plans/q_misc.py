@@ -41,8 +41,7 @@ def q_preprocess_counts(spark, sf_dir):
     """Notebooks processed vs. errors (missing file or unparseable notebook)."""
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     meta = doc_metadata(spark, sf_dir).select("id")
-    nbs = notebooks(spark, sf_dir).select(F.col("notebook_id").alias("id"),
-                                          nbops.explodable_raw("raw").alias("ok"))
+    nbs = nbops.explodable_notebooks(notebooks(spark, sf_dir)).withColumnRenamed("notebook_id", "id")
     j = meta.join(nbs, "id", "left")
     return j.agg(F.count_if(F.coalesce("ok", F.lit(False))).alias("processed"),
                  F.count_if(~F.coalesce("ok", F.lit(False))).alias("errors"))

@@ -1,7 +1,8 @@
 """Adapters that cast the driver's test tables into the reference's roles.
 
 documents      -> notebook metadata (id, title, language code, length)
-conversations  -> notebooks (one JSON text per conversation; turn = cell)
+conversations  -> cells (one row per turn; turn = position), and for the
+                  file-format checks only, notebooks (one JSON text each)
 a 4-row code -> language-name lookup plays the languages dimension.
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.cells import cells_from_turns
 from tessera.operators.joins import lookup_join
 from tessera.operators.notebooks import notebooks_from_turns
 from tessera.session import read_table
@@ -33,9 +35,17 @@ def doc_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def notebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notebook-file form (one raw JSON per conversation): only for the checks
+    that are about the file format itself (V1/V2); everything per cell reads
+    ``cells`` below, which never assembles a conversation."""
     return notebooks_from_turns(read_table(spark, sf_dir, "conversations"))
 
 
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cell-row form: one row per turn (notebook_id, position, kind, source, metadata)."""
+    return cells_from_turns(read_table(spark, sf_dir, "conversations"))
+
+
 # DuckDB side of the same adapters.
 META_SQL = f"""meta AS (
   SELECT doc_id AS id, source AS title, lang, n_chars AS length,

@@ -4,23 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.operators import cells as cellops
 from tessera.operators import corpus, knn
 from tessera.operators import notebooks as nbops
 from tessera.plans.catalog import r6, register
-from tessera.plans.fixtures import CELLS_SQL, META_SQL, doc_metadata, notebooks
+from tessera.plans.fixtures import CELLS_SQL, META_SQL, cells, doc_metadata
 from tessera.plans.q_vectors import KNN_SQL, L2_SQL, MEANS_SQL, _centroid_queries
 from tessera.session import read_table
 
 
 def preprocess(spark, sf_dir, sample_size=None):
     """Metadata (language lookup) -> optional sample -> notebooks -> tagged cells."""
-    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     meta = doc_metadata(spark, sf_dir)
     if sample_size is not None:
         from tessera.operators.sampling import sample_uniform
         meta = sample_uniform(meta, sample_size, "id")
-    nbs = notebooks(spark, sf_dir).join(meta.select(F.col("id").alias("notebook_id"), "title", "language"), "notebook_id")
-    return nbops.explode_cells(nbs, carry=("title", "language"))
+    exploded = cellops.explode_cells(cells(spark, sf_dir))
+    return exploded.join(meta.select(F.col("id").alias("notebook_id"), "title", "language"), "notebook_id")
 
 
 @register("preprocess", f"""
@@ -39,9 +39,8 @@ SELECT count(*) FILTER (WHERE id IN (SELECT conv_id FROM conversations)) AS proc
        count(*) FILTER (WHERE id NOT IN (SELECT conv_id FROM conversations)) AS errors FROM meta""")
 def q_preprocess_counts(spark, sf_dir):
     """Notebooks processed vs. errors (missing file or unparseable notebook)."""
-    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     meta = doc_metadata(spark, sf_dir).select("id")
-    nbs = nbops.explodable_notebooks(notebooks(spark, sf_dir)).withColumnRenamed("notebook_id", "id")
+    nbs = cellops.explodable_notebooks(cells(spark, sf_dir)).withColumnRenamed("notebook_id", "id")
     j = meta.join(nbs, "id", "left")
     return j.agg(F.count_if(F.coalesce("ok", F.lit(False))).alias("processed"),
                  F.count_if(~F.coalesce("ok", F.lit(False))).alias("errors"))
@@ -86,22 +85,16 @@ WITH {CELLS_SQL},
 kept AS (SELECT *, row_number() OVER (PARTITION BY notebook_id ORDER BY position) AS k FROM cells WHERE kind IN ('code', 'markdown'))
 SELECT notebook_id, k - 1 AS cell_index, kind, substr(source, 1, 1000) AS source FROM kept WHERE k <= 20""")
 def q_cap_cells(spark, sf_dir):
-    """D3: at most 20 kept cells per notebook, 1000 characters each (no window: inside the row)."""
-    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    nbs = notebooks(spark, sf_dir)
-    capped = nbs.select("notebook_id", corpus.cap_cells(nbops.parsed_cells("raw")).alias("cells"))
-    ex = capped.select("notebook_id", F.posexplode("cells").alias("cell_index", "c"))
-    return ex.select("notebook_id", "cell_index", F.col("c.kind").alias("kind"), F.col("c.source").alias("source"))
+    """D3: at most 20 kept cells per notebook, 1000 characters each (salted top-k per notebook)."""
+    return cellops.cap_cells(cells(spark, sf_dir))
 
 
 @register("side_effect_cells", f"""
 WITH {CELLS_SQL}
 SELECT notebook_id, position, regexp_matches(source, '(^|\\n)[ \\t]*[!%]') AS side_effect FROM cells WHERE kind = 'code'""")
 def q_side_effect_cells(spark, sf_dir):
-    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    cells = notebooks(spark, sf_dir).select("notebook_id", F.posexplode(nbops.parsed_cells("raw")).alias("position", "c"))
-    return cells.filter(F.col("c.kind") == "code").select(
-        "notebook_id", "position", F.col("c.source").rlike(r"(^|\n)[ \t]*[!%]").alias("side_effect"))
+    code = cells(spark, sf_dir).filter(F.col("kind") == "code")
+    return code.select("notebook_id", "position", F.col("source").rlike(r"(^|\n)[ \t]*[!%]").alias("side_effect"))
 
 
 @register("citation_gate", f"""

@@ -4,26 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import notebooks as nbops
+from tessera.operators import cells as cellops
 from tessera.operators import validation as val
 from tessera.plans.catalog import register
-from tessera.plans.fixtures import CELL_RULE_SQL, CELLS_SQL, META_SQL, VERDICT_SQL, doc_metadata, notebooks
+from tessera.plans.fixtures import CELL_RULE_SQL, CELLS_SQL, META_SQL, VERDICT_SQL, cells, doc_metadata
 from tessera.session import read_table
 
 
 def validate_dataset(spark, sf_dir, sample_size=None, check_code=False):
     """V7 flagship: metadata checks + notebook verdicts -> long report."""
-    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     meta_all = doc_metadata(spark, sf_dir)
     meta = meta_all
-    nbs = notebooks(spark, sf_dir)
+    cl = cells(spark, sf_dir)
     if sample_size is not None:
         from tessera.operators.sampling import sample_weighted
         meta = sample_weighted(meta_all, sample_size, "id", "length")
         from tessera.session import checked_broadcast
-        nbs = nbs.join(checked_broadcast(meta.select(F.col("id").alias("notebook_id")).distinct()),
-                       "notebook_id", "left_semi")
-    verdicts = val.notebook_verdicts(nbs, check_code=check_code)
+        cl = cl.join(checked_broadcast(meta.select(F.col("id").alias("notebook_id")).distinct()),
+                     "notebook_id", "left_semi")
+    verdicts = cellops.notebook_verdicts(cl, check_code=check_code)
     total = meta_all.agg(F.count(F.lit(1)).alias("total_rows"))
     return val.validation_summary(meta, verdicts, "id", "language", None, total_rows=total)
 
@@ -74,12 +73,9 @@ def q_validation_summary_code(spark, sf_dir):
 @register("compile_rate")
 def q_compile_rate(spark, sf_dir):
     """Share of checked code cells that parse as Python, per notebook language."""
-    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     meta = doc_metadata(spark, sf_dir).select(F.col("id").alias("notebook_id"), "language")
-    nbs = notebooks(spark, sf_dir).join(meta, "notebook_id")
-    cells = nbs.select("notebook_id", "language", F.posexplode(nbops.parsed_cells("raw")).alias("position", "c"))
-    code = cells.filter((F.col("c.kind") == "code") & val.cell_rule(F.col("c.kind"), F.col("c.source")).isNull())
-    ok = code.select("language", val.python_compiles(F.col("c.source")).alias("ok"))
+    code = cells(spark, sf_dir).filter((F.col("kind") == "code") & val.cell_rule(F.col("kind"), F.col("source")).isNull())
+    ok = code.join(meta, "notebook_id").select("language", val.python_compiles(F.col("source")).alias("ok"))
     return ok.groupBy("language").agg(F.count(F.lit(1)).alias("n_code_cells"),
                                       F.avg(F.col("ok").cast("double")).alias("compile_rate"))
 
@@ -107,20 +103,15 @@ def q_canonical_language(spark, sf_dir):
 WITH {CELLS_SQL}, {VERDICT_SQL}
 SELECT notebook_id, n_cells, n_errors, valid FROM verdict""")
 def q_notebook_verdict(spark, sf_dir):
-    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    v = val.notebook_verdicts(notebooks(spark, sf_dir))
-    return v.select("notebook_id", "n_cells", F.size("errors").alias("n_errors"), "valid")
+    v = cellops.notebook_verdicts(cells(spark, sf_dir))
+    return v.select("notebook_id", "n_cells", "n_errors", "valid")
 
 
 @register("cell_rules", f"""
 WITH {CELLS_SQL}
 SELECT notebook_id, position, kind, {CELL_RULE_SQL} AS error_kind FROM cells""")
 def q_cell_rules(spark, sf_dir):
-    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    nbs = notebooks(spark, sf_dir)
-    cells = nbs.select("notebook_id", F.posexplode(nbops.parsed_cells("raw")).alias("position", "c"))
-    return cells.select("notebook_id", "position", F.col("c.kind").alias("kind"),
-                        val.cell_rule(F.col("c.kind"), F.col("c.source")).alias("error_kind"))
+    return cellops.with_errors(cells(spark, sf_dir)).select("notebook_id", "position", "kind", "error_kind")
 
 
 @register("explode_cells", f"""
@@ -132,8 +123,7 @@ SELECT notebook_id, position,
        '{{"role":"' || role || '"}}' AS metadata
 FROM cells WHERE kind IN ('code', 'markdown')""")
 def q_explode_cells(spark, sf_dir):
-    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    return nbops.explode_cells(notebooks(spark, sf_dir))
+    return cellops.explode_cells(cells(spark, sf_dir))
 
 
 @register("markdown_formatted", f"""
@@ -141,20 +131,16 @@ WITH {CELLS_SQL}
 SELECT notebook_id, position, regexp_matches(source, '[#*`]') AS formatted
 FROM cells WHERE kind = 'markdown'""")
 def q_markdown_formatted(spark, sf_dir):
-    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    cells = nbops.explode_cells(notebooks(spark, sf_dir))
-    body = F.regexp_extract("content", r"(?s)^<markdown>(.*)</markdown>$", 1)
-    return cells.filter(F.col("type") == "markdown").select("notebook_id", "position", body.rlike("[#*`]").alias("formatted"))
+    md = cells(spark, sf_dir).filter(F.col("kind") == "markdown")
+    return md.select("notebook_id", "position", F.col("source").rlike("[#*`]").alias("formatted"))
 
 
 @register("code_compiles")
 def q_code_compiles(spark, sf_dir):
     """V4: Python syntax check of code cells that pass the length rules (Arrow UDF)."""
-    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    nbs = notebooks(spark, sf_dir)
-    cells = nbs.select("notebook_id", F.posexplode(nbops.parsed_cells("raw")).alias("position", "c"))
-    code = cells.filter((F.col("c.kind") == "code") & val.cell_rule(F.col("c.kind"), F.col("c.source")).isNull())
-    return code.select("notebook_id", "position", val.python_compiles(F.col("c.source")).alias("compiles"))
+    cl = cells(spark, sf_dir)
+    code = cl.filter((F.col("kind") == "code") & val.cell_rule(F.col("kind"), F.col("source")).isNull())
+    return code.select("notebook_id", "position", val.python_compiles(F.col("source")).alias("compiles"))
 
 
 @register("error_samples", f"""
@@ -164,7 +150,4 @@ bad AS (SELECT notebook_id, list(error_kind ORDER BY position) FILTER (WHERE err
         FROM e GROUP BY notebook_id HAVING count(error_kind) > 0)
 SELECT notebook_id, array_to_string(errs[1:3], ',') AS errors FROM bad ORDER BY notebook_id LIMIT 5""")
 def q_error_samples(spark, sf_dir):
-    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    v = val.notebook_verdicts(notebooks(spark, sf_dir))
-    s = val.error_samples(v)
-    return s.select("notebook_id", F.array_join("errors", ",").alias("errors"))
+    return cellops.error_samples(cells(spark, sf_dir))

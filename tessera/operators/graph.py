@@ -70,18 +70,28 @@ def retrieve_batch(nodes: DataFrame, terms: DataFrame, k: int = 5, term_col: str
                    max_terms: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """G3 for a table of search terms: top-k newest matching nodes per term.
 
-    A substring match has no equi-key, so the (size-checked) term table is
-    broadcast and matched in a nested loop on the node side; matches are
-    ranked per term with the salted two-stage top-k.
+    A substring match has no equi-key, so terms are broadcast (never the
+    nodes) and matched on the node side.  Up to ``max_terms`` terms go in one
+    block; a larger term table is hashed into blocks of that size, each block
+    size-checked, broadcast and matched in its own pass over the nodes.
+    Matches are ranked per term with the salted two-stage top-k.
     """
-    if not fits(terms, max_terms):
-        raise ValueError(f"more than {max_terms} search terms: split the term table")
-    pats = F.broadcast(terms.select(F.col(term_col).alias("term"),
-                                    F.concat(F.lit("%"), F.replace(F.col(term_col), F.lit("\\"), F.lit("\\\\")),
-                                             F.lit("%")).alias("_pat")))
-    hits = nodes.join(pats, F.ilike(F.col("content"), F.col("_pat")))
+    t = terms.select(F.col(term_col).alias("term"))
+    if fits(t, max_terms):
+        blocks = [t]
+    else:
+        n_blocks = -(-t.count() // max_terms)
+        blocks = [t.filter(F.pmod(F.xxhash64("term"), F.lit(n_blocks)) == b) for b in range(n_blocks)]
+    hits = None
+    for block in blocks:
+        if not fits(block, 2 * max_terms):
+            raise ValueError("search-term block exceeds its size bound")
+        pats = F.broadcast(block.withColumn("_pat", F.concat(
+            F.lit("%"), F.replace(F.col("term"), F.lit("\\"), F.lit("\\\\")), F.lit("%"))))
+        h = nodes.join(pats, F.ilike(F.col("content"), F.col("_pat"))).drop("_pat")
+        hits = h if hits is None else hits.unionByName(h)
     order = [F.desc_nulls_last("created_at"), F.desc("id")]
-    return top_k_per_group(hits.drop("_pat"), ["term"], order, k, salt_col=F.pmod(F.xxhash64("id"), F.lit(32)))
+    return top_k_per_group(hits, ["term"], order, k, salt_col=F.pmod(F.xxhash64("id"), F.lit(32)))
 
 
 def neighbors(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None,

@@ -61,16 +61,22 @@ def rule_report(spark: SparkSession, tables: dict[str, DataFrame], rules: dict,
             if type_family(types[col]) != c["dtype"]:
                 static_rows.append((dataset, col, "type_mismatch", 1))
         if present:
-            agg = df.agg(*[F.count_if(F.col(c["column"]).isNull()).alias(c["column"]) for c in present])
-            pairs = ", ".join(f"'{c['column']}', CAST(`{c['column']}` AS BIGINT)" for c in present)
-            long = agg.selectExpr(f"stack({len(present)}, {pairs}) AS (column_name, value)")
-            required = [c["column"] for c in present if c["required"]]
-            miss = long.select(F.lit(dataset).alias("dataset"), "column_name", F.lit("missing").alias("check_name"), "value")
-            if only_missing:
-                miss = miss.filter(F.col("value") > 0)
-            req = (long.filter(F.col("column_name").isin(*required) & (F.col("value") > 0))
-                   .select(F.lit(dataset).alias("dataset"), "column_name", F.lit("required_null").alias("check_name"), "value"))
-            parts += [miss, req]
+            # One scan per dataset: all null counts in one aggregate row, which
+            # yields both the missing and the required-null report rows.
+            agg = df.agg(*[F.count_if(F.col(f"`{c['column']}`").isNull()).alias(c["column"]) for c in present])
+            entries = []
+            for c in present:
+                entries.append(F.struct(F.lit(c["column"]).alias("column_name"), F.lit("missing").alias("check_name"),
+                                        F.col(f"`{c['column']}`").cast("bigint").alias("value")))
+                if c["required"]:
+                    entries.append(F.struct(F.lit(c["column"]).alias("column_name"),
+                                            F.lit("required_null").alias("check_name"),
+                                            F.col(f"`{c['column']}`").cast("bigint").alias("value")))
+            rows = agg.select(F.inline(F.array(*entries)))
+            keep = F.col("value") > 0
+            if not only_missing:
+                keep = keep | (F.col("check_name") == "missing")
+            parts.append(rows.filter(keep).select(F.lit(dataset).alias("dataset"), "column_name", "check_name", "value"))
         for c in present:
             if c["is_unique"]:
                 dup = (df.groupBy(c["column"]).count().filter(F.col("count") > 1)

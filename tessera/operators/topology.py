@@ -217,17 +217,16 @@ def _w2_h0(a: np.ndarray, b: np.ndarray, p: float) -> float:
     n, m = len(a), len(b)
     to_diag = 2.0 ** (1.0 / p - 1.0)
     ca, cb = (a * to_diag) ** p, (b * to_diag) ** p
-    prev = np.concatenate([[0.0], np.cumsum(cb)])
-    for i in range(1, n + 1):
-        cur = np.empty(m + 1)
-        cur[0] = prev[0] + ca[i - 1]
-        match = prev[:-1] + np.abs(a[i - 1] - b) ** p
-        skip_a = prev[1:] + ca[i - 1]
-        best = np.minimum(match, skip_a)
-        for j in range(1, m + 1):
-            cur[j] = min(best[j - 1], cur[j - 1] + cb[j - 1])
-        prev = cur
-    return float(prev[m] ** (1.0 / p))
+    # Row recurrence cur[j] = min(best[j-1], cur[j-1] + cb[j-1]) is a min-plus
+    # prefix scan: with S the prefix sums of cb and g = (cur[0], best),
+    # cur = S + running_min(g - S), one vectorised pass per row.
+    S = np.concatenate([[0.0], np.cumsum(cb)])
+    prev = S.copy()
+    for i in range(n):
+        best = np.minimum(prev[:-1] + np.abs(a[i] - b) ** p, prev[1:] + ca[i])
+        g = np.concatenate([[prev[0] + ca[i]], best])
+        prev = S + np.minimum.accumulate(g - S)
+    return float(max(prev[m], 0.0) ** (1.0 / p))
 
 
 def wasserstein_pairs(bars: DataFrame, pairs: DataFrame, p: float = 2.0) -> DataFrame:

@@ -11,21 +11,24 @@ from pyspark.sql import functions as F
 
 from tessera.session import cut_lineage
 
-MAX_ROUNDS = 64
-
 
 def connected_components(vertices: DataFrame, edges: DataFrame, id_col: str = "id",
-                         src: str = "src", dst: str = "dst", max_rounds: int = MAX_ROUNDS) -> DataFrame:
+                         src: str = "src", dst: str = "dst", max_rounds: int | None = None) -> DataFrame:
     """(id, comp) with comp = smallest vertex id of the component.
 
     Min-label propagation with pointer jumping (comp <- comp[comp]) each round;
-    stops when no label changes.
+    runs until no label changes (``max_rounds`` only as an explicit guard,
+    which raises rather than return unconverged labels).
     """
     und = cut_lineage(edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
                       .unionByName(edges.select(F.col(dst).alias("a"), F.col(src).alias("b")))
                       .filter(F.col("a") != F.col("b")).distinct())
     labels = cut_lineage(vertices.select(F.col(id_col).alias("id")).distinct().withColumn("comp", F.col("id")))
-    for _ in range(max_rounds):
+    rounds = 0
+    while True:
+        rounds += 1
+        if max_rounds is not None and rounds > max_rounds:
+            raise RuntimeError(f"connected components did not converge in {max_rounds} rounds")
         msgs = und.join(labels.withColumnRenamed("id", "a"), "a").select(F.col("b").alias("id"), "comp")
         cand = labels.unionByName(msgs).groupBy("id").agg(F.min("comp").alias("comp"))
         hop = cand.select(F.col("id").alias("comp"), F.col("comp").alias("comp2"))
@@ -41,17 +44,19 @@ def connected_components(vertices: DataFrame, edges: DataFrame, id_col: str = "i
 
 
 def spanning_forest(vertices: DataFrame, edges: DataFrame, id_col: str = "id", u: str = "u", v: str = "v",
-                    w: str = "w", max_rounds: int = MAX_ROUNDS) -> DataFrame:
+                    w: str = "w") -> DataFrame:
     """Minimum spanning forest edges (u, v, w) by Borůvka rounds.
 
     Edges are totally ordered by (w, min id, max id), so the cheapest outgoing
-    edges of all components never close a cycle.
+    edges of all components never close a cycle.  Every round at least halves
+    the number of components that still have an outgoing edge, so the loop
+    ends after at most log2(n) rounds; it runs until no edge crosses.
     """
     e = cut_lineage(edges.select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v"), F.col(w).cast("double").alias("w"))
                     .filter(F.col("u") != F.col("v")))
     labels = cut_lineage(vertices.select(F.col(id_col).alias("id")).distinct().withColumn("comp", F.col("id")))
     forest = None
-    for _ in range(max_rounds):
+    while True:
         lu = labels.select(F.col("id").alias("u"), F.col("comp").alias("cu"))
         lv = labels.select(F.col("id").alias("v"), F.col("comp").alias("cv"))
         cross = e.join(lu, "u").join(lv, "v").filter(F.col("cu") != F.col("cv"))

@@ -127,3 +127,15 @@ def test_wasserstein_dp_equals_brute_force(spark):
         b = np.column_stack([np.zeros(m), rng.uniform(0, 2, m) ** 2])
         for p in (1.0, 2.0):
             assert abs(topology._w2_h0(a, b, p) - _w2_brute(a, b, p)) < 1e-9
+
+
+def test_connected_components_long_path_converges(spark):
+    from tessera.operators.graphalgo import connected_components
+    rng = np.random.default_rng(11)
+    ids = rng.permutation(200) + 1
+    edges = spark.createDataFrame([(int(ids[i]), int(ids[i + 1])) for i in range(199)] + [(1000, 1001)],
+                                  "src bigint, dst bigint")
+    verts = spark.createDataFrame([(int(i),) for i in ids] + [(1000,), (1001,), (2000,)], "id bigint")
+    comp = {r["id"]: r["comp"] for r in connected_components(verts, edges).collect()}
+    assert {comp[int(i)] for i in ids} == {1}
+    assert comp[1000] == comp[1001] == 1000 and comp[2000] == 2000

@@ -112,3 +112,28 @@ def test_retrieve_batch_blocks_equal_single_block(spark):
     many = sorted(tuple(r) for r in graph.retrieve_batch(nodes, terms, k=2, max_terms=2).select("term", "id", "rank").collect())
     assert one == many
     assert ("data", 4, 1) in one and ("data", 2, 2) in one and ("unrelated", 3, 1) in one
+
+
+def test_encode_documents_tfidf_properties(spark):
+    from tessera.operators.corpus import encode_documents
+    docs = spark.createDataFrame([(1, "alpha beta beta"), (2, "alpha gamma"), (3, "alpha beta beta"), (4, "alpha")],
+                                 "doc_id bigint, text string")
+    vec = {r["id"]: np.array(r["embedding"], dtype=np.float64) for r in encode_documents(docs, "doc_id", "text", 64).collect()}
+    for i in (1, 2, 3):
+        assert abs(np.linalg.norm(vec[i]) - 1.0) < 1e-6        # L2-normalised
+    assert np.allclose(vec[1], vec[3])                          # same text, same vector
+    assert np.count_nonzero(vec[4]) == 0                        # "alpha" is in every document: IDF 0
+    assert np.count_nonzero(vec[2]) == 1                        # only "gamma" carries weight
+
+
+def test_recall_at_k_exact_is_one_and_lsh_bounded(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(80)]
+    corpus = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    queries = spark.createDataFrame([(q, rows[q][1]) for q in range(4)], "qid bigint, qvec array<double>")
+    exact = knn.knn_exact(corpus, queries, k=5)
+    assert all(r["recall"] == 1.0 for r in knn.recall_at_k(exact, exact, 5).collect())
+    approx = knn.knn_lsh(corpus, queries, k=5, threshold=10.0, bucket_length=4.0, num_tables=4)
+    got = knn.recall_at_k(approx, exact, 5).collect()
+    assert len(got) == 4 and all(0.0 <= r["recall"] <= 1.0 for r in got)
+    assert all(r["recall"] >= 0.2 for r in got)                 # each query finds itself (distance 0)

@@ -98,10 +98,11 @@ def explode_cells(cells: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 def cap_cells(cells: DataFrame, max_cells: int = MAX_CELLS, max_len: int = MAX_CELL_LENGTH) -> DataFrame:
     """D3: the first ``max_cells`` kept cells of each notebook, sources cut to ``max_len``.
 
-    Salted top-k per notebook: a huge notebook is ranked over many tasks.
+    Salted top-k per notebook, levels planned from the largest notebook's
+    cell count, so no ranking window holds more than a few thousand rows.
     """
     kept = cells.filter(F.col("kind").isin(*CELL_KINDS)).select("notebook_id", "position", "kind", "source")
-    top = top_k_per_group(kept, ["notebook_id"], ["position"], max_cells)
+    top = top_k_per_group(kept, ["notebook_id"], ["position"], max_cells, rows_per_group="auto")
     return top.select("notebook_id", (F.col("rank") - 1).alias("cell_index"), "kind",
                       F.substring("source", 1, max_len).alias("source"))
 
@@ -113,7 +114,7 @@ def error_samples(cells: DataFrame, n_notebooks: int = 5, n_errors: int = 3) ->
     # Invalid = at least one error row; the first n ids come from a bounded top-n.
     ids = e.select("notebook_id").distinct().orderBy("notebook_id").limit(n_notebooks)
     first = top_k_per_group(e.join(F.broadcast(ids), "notebook_id", "left_semi"), ["notebook_id"],
-                            ["position"], n_errors)
+                            ["position"], n_errors, rows_per_group="auto")
     # At most n_notebooks x n_errors rows remain: a small final aggregate.
     per = first.groupBy("notebook_id").agg(F.array_sort(F.collect_list(F.struct("rank", "error_kind"))).alias("_e"))
     return per.select("notebook_id", F.array_join(F.transform("_e", lambda x: x["error_kind"]), ",").alias("errors"))

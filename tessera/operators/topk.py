@@ -64,18 +64,23 @@ def smallest_n(df: DataFrame, order_cols: Sequence, n: int, key_col: str | None
 
 def top_k_per_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence, k,
                     salt_col: Column | None = None, salt_buckets: int = DEFAULT_SALT_BUCKETS,
-                    rank_col: str = "rank", rows_per_group: int | None = None,
+                    rank_col: str = "rank", rows_per_group: int | str | None = None,
                     window_rows: int = 4096) -> DataFrame:
     """k smallest rows per group by ``order_cols`` (add an id for a total order).
 
     ``k`` may be an int or a Column (per-group quota).  Output keeps the input
     columns plus ``rank_col`` (1-based).  With ``rows_per_group`` (an upper
-    estimate) and an int ``k``, enough salted levels are planned that no
-    window sees more than about ``window_rows`` rows of one group.
+    estimate, or ``"auto"`` to measure the largest group first) and an int
+    ``k``, enough salted levels are planned that no window sees more than
+    about ``window_rows`` rows of one group.
     """
     order = _cols(order_cols)
     kcol = F.lit(k) if isinstance(k, int) else k
     groups = list(group_cols)
+    if rows_per_group == "auto":
+        # Size of the largest group, from one partial/final count aggregate.
+        biggest = df.groupBy(*groups).count().agg(F.max("count")).first()[0]
+        rows_per_group = int(biggest or 0)
     hashable = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
     levels: list[int] = []
     if rows_per_group is not None and isinstance(k, int):

@@ -58,3 +58,17 @@ def test_top_k_multi_level_salting(spark):
     rows = [(i % 3, i * 7919 % 20011) for i in range(20000)]
     for g in range(3):
         assert sorted(got[g]) == sorted(v for gg, v in rows if gg == g)[:4]
+
+
+def test_top_k_auto_levels_hot_group(spark):
+    df = spark.range(6000).select(F.when(F.col("id") < 4000, 0).otherwise(F.col("id") % 7).alias("g"),
+                                  (F.col("id") * 7919 % 6007).alias("v"))
+    out = top_k_per_group(df, ["g"], ["v"], 5, rows_per_group="auto", window_rows=100)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["g"], []).append((r["rank"], r["v"]))
+    rows = [(0 if i < 4000 else i % 7, i * 7919 % 6007) for i in range(6000)]
+    for g in got:
+        want = sorted(v for gg, v in rows if gg == g)[:5]
+        assert [v for _, v in sorted(got[g])] == want
+    assert set(got) == {g for g, _ in rows}

@@ -59,7 +59,7 @@ def sample_stratified(df: DataFrame, n: int | None, id_col: str, stratum_col: st
     keyed = with_key(df, id_col, seed)
     # Per-stratum cut: the quota-th smallest key (exact, skew-safe two-stage rank).
     cut = (top_k_per_group(keyed.filter(F.col(stratum_col).isNotNull()).select(stratum_col, "_key", id_col),
-                           [stratum_col], ["_key", id_col], quota, rank_col="_rank")
+                           [stratum_col], ["_key", id_col], quota, rank_col="_rank", rows_per_group="auto")
            .groupBy(stratum_col)
            .agg(F.max(F.struct("_key", id_col)).alias("_cut")))
     marked = keyed.join(checked_broadcast(cut), on=stratum_col, how="left").withColumn(

@@ -85,8 +85,9 @@ def top_k_per_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequen
     levels: list[int] = []
     if rows_per_group is not None and isinstance(k, int):
         rows = rows_per_group
-        while rows > window_rows:
-            s = -(-rows // window_rows)
+        window = max(window_rows, 4 * k)   # each level then shrinks a group at least fourfold
+        while rows > window:
+            s = -(-rows // window)
             levels.append(s)
             rows = k * s
     elif salt_col is not None:

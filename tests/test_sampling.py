@@ -72,3 +72,11 @@ def test_top_k_auto_levels_hot_group(spark):
         want = sorted(v for gg, v in rows if gg == g)[:5]
         assert [v for _, v in sorted(got[g])] == want
     assert set(got) == {g for g, _ in rows}
+
+
+def test_top_k_large_k_small_window_terminates(spark):
+    df = spark.range(3000).select((F.col("id") % 2).alias("g"), F.col("id").alias("v"))
+    out = top_k_per_group(df, ["g"], ["v"], 700, rows_per_group="auto", window_rows=64)
+    counts = {r["g"]: r["count"] for r in out.groupBy("g").count().collect()}
+    assert counts == {0: 700, 1: 700}
+    assert out.filter((F.col("g") == 1) & (F.col("rank") == 700)).first()["v"] == 1399

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.text import like_literal
 from tessera.operators.topk import smallest_n, top_k_per_group
-from tessera.session import BROADCAST_MAX_ROWS, fits
+from tessera.session import BROADCAST_MAX_ROWS, cut_lineage, fits
 
 NODE_SCHEMA = T.StructType([
     T.StructField("id", T.LongType(), False), T.StructField("type", T.StringType(), False),
@@ -90,8 +90,11 @@ def retrieve_batch(nodes: DataFrame, terms: DataFrame, k: int = 5, term_col: str
             F.lit("%"), F.replace(F.col("term"), F.lit("\\"), F.lit("\\\\")), F.lit("%"))))
         h = nodes.join(pats, F.ilike(F.col("content"), F.col("_pat"))).drop("_pat")
         hits = h if hits is None else hits.unionByName(h)
+    # Matches are written once (reliable checkpoint): the ranking below reads
+    # them twice (largest-term count, then the salted levels it plans).
+    hits = cut_lineage(hits)
     order = [F.desc_nulls_last("created_at"), F.desc("id")]
-    return top_k_per_group(hits, ["term"], order, k, salt_col=F.pmod(F.xxhash64("id"), F.lit(32)))
+    return top_k_per_group(hits, ["term"], order, k, rows_per_group="auto")
 
 
 def neighbors(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None,

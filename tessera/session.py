@@ -44,7 +44,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
     The cluster setting ``spark.checkpoint.dir`` wins; only when it is unset
-    (tests on a laptop) do we pick a fresh scratch folder of our own.
+    on a ``local[...]`` master (tests) do we pick a fresh scratch folder of
+    our own.  On a cluster an unset folder is an error, never a local path.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -52,6 +53,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            # A machine-local folder would not survive the loss of that machine.
+            raise RuntimeError("set spark.checkpoint.dir to a folder on shared storage")
         conf_dir = tempfile.mkdtemp(prefix="tessera-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir

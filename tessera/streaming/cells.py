@@ -52,3 +52,44 @@ def run_to_parquet(stream: DataFrame, out_path: str, checkpoint_path: str, parti
     q = w.start()
     q.awaitTermination()
     return q
+
+
+# ------------------------------------------------------------ cell-row form
+
+CELL_ROW_SCHEMA = "notebook_id bigint, position bigint, kind string, source string, metadata string"
+
+
+def cell_row_stream(spark: SparkSession, path: str, max_files_per_trigger: int = 1000) -> DataFrame:
+    """Streaming cell rows from JSON-lines files (one cell per line, explicit schema)."""
+    return (spark.readStream.schema(CELL_ROW_SCHEMA)
+            .option("maxFilesPerTrigger", max_files_per_trigger).json(path))
+
+
+def cell_verdict_stream(spark: SparkSession, path: str, **kw) -> DataFrame:
+    """Running per-notebook verdicts over a cell-row stream.
+
+    The same partial/final aggregate as the batch form, kept in the state store
+    per notebook; cells of one notebook may arrive across many files and
+    triggers.
+    """
+    from tessera.operators.cells import notebook_verdicts as cell_verdicts
+    return cell_verdicts(cell_row_stream(spark, path, **kw))
+
+
+def run_verdicts_log(stream: DataFrame, out_path: str, checkpoint_path: str):
+    """Update mode: every trigger appends the notebooks whose verdict changed,
+    tagged with its batch id, to a Parquet log (replayed batches only repeat rows)."""
+    def append(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("append").parquet(out_path)
+    q = (stream.writeStream.outputMode("update").foreachBatch(append)
+         .option("checkpointLocation", checkpoint_path).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return q
+
+
+def latest_verdicts(spark: SparkSession, log_path: str) -> DataFrame:
+    """Current verdict per notebook from the log: the row of its last batch (partial/final max_by)."""
+    log = spark.read.parquet(log_path)
+    cols = [c for c in log.columns if c not in ("notebook_id", "batch_id")]
+    last = log.groupBy("notebook_id").agg(F.max_by(F.struct(*cols), F.col("batch_id")).alias("_v"))
+    return last.select("notebook_id", "_v.*")

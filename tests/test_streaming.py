@@ -45,3 +45,29 @@ def test_graph_append_stream(spark):
         f.write(json.dumps({"type": "fact", "content": "third"}) + "\n")
     run_to_parquet(node_stream(spark, os.path.join(d, "nodes")), os.path.join(d, "n"), os.path.join(d, "nc"))
     assert spark.read.parquet(os.path.join(d, "n")).count() == 3
+
+
+def test_cell_verdict_stream_matches_batch(spark):
+    from tessera.operators import cells as cellops
+    from tessera.streaming.cells import cell_verdict_stream, latest_verdicts, run_verdicts_log
+    d = tempfile.mkdtemp(prefix="tessera-cellstream-")
+    src = os.path.join(d, "in")
+    os.makedirs(src)
+    rows = [(nb, pos, "markdown" if pos % 2 == 0 else "code",
+             "# heading here" if pos % 2 == 0 else ("x = 1 + 2 + 3" if (nb + pos) % 3 else "def (:"), None)
+            for nb in range(5) for pos in range(4)]
+
+    def write(name, part):
+        with open(os.path.join(src, name), "w") as f:
+            for nb, pos, kind, source, meta in part:
+                f.write(json.dumps({"notebook_id": nb, "position": pos, "kind": kind, "source": source,
+                                    "metadata": meta}) + "\n")
+    write("a.json", rows[:9])
+    out, ckpt = os.path.join(d, "out"), os.path.join(d, "ckpt")
+    run_verdicts_log(cell_verdict_stream(spark, src), out, ckpt)
+    write("b.json", rows[9:])                      # notebook 2 is split across the two files
+    run_verdicts_log(cell_verdict_stream(spark, src), out, ckpt)
+    got = {r["notebook_id"]: (r["n_cells"], r["n_errors"], r["valid"]) for r in latest_verdicts(spark, out).collect()}
+    batch = spark.createDataFrame(rows, "notebook_id bigint, position bigint, kind string, source string, metadata string")
+    want = {r["notebook_id"]: (r["n_cells"], r["n_errors"], r["valid"]) for r in cellops.notebook_verdicts(batch).collect()}
+    assert got == want and len(got) == 5

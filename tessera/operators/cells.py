@@ -20,7 +20,6 @@ from tessera.functions.text import CELL_KINDS, wrap_content
 from tessera.operators.corpus import MAX_CELL_LENGTH, MAX_CELLS
 from tessera.operators.topk import top_k_per_group
 from tessera.operators.validation import cell_rule, python_compiles
-from tessera.session import checked_broadcast
 
 
 def cells_from_turns(turns: DataFrame, id_col: str = "conv_id", pos_col: str = "turn",
@@ -89,7 +88,10 @@ def explode_cells(cells: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """E1 on cell rows: kept kinds only, tagged content, default metadata ``{}``;
     a notebook with an unacceptable cell emits nothing (anti join on its id)."""
     kept = cells.filter(F.col("kind").isin(*CELL_KINDS))
-    kept = kept.join(checked_broadcast(rejected_notebooks(cells)), "notebook_id", "left_anti")
+    # The rejected ids are usually few but their count is only known after a
+    # scan; AQE broadcasts them at runtime from the measured shuffle size, so
+    # no extra pass is spent proving the bound up front.
+    kept = kept.join(rejected_notebooks(cells), "notebook_id", "left_anti")
     return kept.select("notebook_id", "position", F.col("kind").alias("type"),
                        wrap_content(F.col("source"), F.col("kind")).alias("content"),
                        F.coalesce(F.col("metadata"), F.lit("{}")).alias("metadata"), *carry)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.hashing import hashkey, weighted_key
 from tessera.operators.topk import smallest_n, top_k_per_group
-from tessera.session import checked_broadcast
+from tessera.session import BROADCAST_MAX_ROWS
 
 WEIGHT_FLOOR = 1e-3  # added to every length so empty rows can still be drawn
 
@@ -62,7 +62,9 @@ def sample_stratified(df: DataFrame, n: int | None, id_col: str, stratum_col: st
                            [stratum_col], ["_key", id_col], quota, rank_col="_rank", rows_per_group="auto")
            .groupBy(stratum_col)
            .agg(F.max(F.struct("_key", id_col)).alias("_cut")))
-    marked = keyed.join(checked_broadcast(cut), on=stratum_col, how="left").withColumn(
+    # One cut row per stratum: the stratum count above is the size proof.
+    cut = F.broadcast(cut) if strata <= BROADCAST_MAX_ROWS else cut
+    marked = keyed.join(cut, on=stratum_col, how="left").withColumn(
         "_chosen", F.coalesce(F.struct("_key", id_col) <= F.col("_cut"), F.lit(False)))
     chosen = marked.filter("_chosen")
     n_chosen = chosen.count()

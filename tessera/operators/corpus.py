@@ -4,6 +4,8 @@ citation gate (D9) and the default text encoder (R1)."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,11 +72,28 @@ def citation_gate(hits: DataFrame, max_dist: float) -> DataFrame:
         "verdict", F.when(F.col("nearest") <= max_dist, "cited").otherwise("rejected"))
 
 
-def encode_documents(docs: DataFrame, id_col: str, text_col: str, num_features: int = 256) -> DataFrame:
-    """R1 default encoder (no model weights): tokens -> hashed TF -> IDF -> L2 normalise.
+def _encoder_udf(encoder):
+    """Arrow-batched wrapper: ``encoder(pandas.Series[str]) -> (n, d) array`` per batch."""
+    @F.pandas_udf("array<float>")
+    def enc(texts: pd.Series) -> pd.Series:
+        m = np.asarray(encoder(texts.fillna("")), dtype=np.float32)
+        return pd.Series(list(m.reshape(len(texts), -1)))
+    return enc
 
-    The IDF fit is one distributed document-frequency aggregate.
+
+def encode_documents(docs: DataFrame, id_col: str, text_col: str, num_features: int = 256,
+                     encoder=None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, *keep, embedding) per document.
+
+    ``encoder`` plugs in a model: a function from a pandas Series of texts to
+    an (n, d) array, run as an Arrow-batched pandas UDF (one call per batch,
+    the model loaded once per Python worker by the caller's closure).
+    Without it the default needs no weights: tokens -> hashed TF -> IDF ->
+    L2 normalise, where the IDF fit is one distributed document-frequency
+    aggregate.  ``keep`` carries columns through, so callers need no join back.
     """
+    if encoder is not None:
+        return docs.select(F.col(id_col).alias("id"), *keep, _encoder_udf(encoder)(F.col(text_col)).alias("embedding"))
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
     from pyspark.ml.functions import vector_to_array
@@ -83,8 +102,8 @@ def encode_documents(docs: DataFrame, id_col: str, text_col: str, num_features:
         RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"\W+", toLowercase=True),
         HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features)]).fit(docs).transform(docs)
     # The IDF fit and the transform both need the term frequencies: tokenise once.
-    tf = tf.select(id_col, "_tf").persist(StorageLevel.MEMORY_AND_DISK)
+    tf = tf.select(id_col, *keep, "_tf").persist(StorageLevel.MEMORY_AND_DISK)
     model = Pipeline(stages=[IDF(inputCol="_tf", outputCol="_idf"),
                              Normalizer(inputCol="_idf", outputCol="_vec", p=2.0)]).fit(tf)
     out = model.transform(tf)
-    return out.select(F.col(id_col).alias("id"), vector_to_array("_vec", "float32").alias("embedding"))
+    return out.select(F.col(id_col).alias("id"), *keep, vector_to_array("_vec", "float32").alias("embedding"))

@@ -173,15 +173,15 @@ def augment_prompts(prompts: DataFrame, hits: DataFrame, contents: DataFrame, pr
         F.coalesce(F.transform("_hits", lambda x: x["vec_id"]), F.array().cast("array<bigint>")).alias("citations"))
 
 
-def build_index(spark, cells_jsonl: str, out_path: str, num_features: int = 256, buckets: int = 64) -> None:
+def build_index(spark, cells_jsonl: str, out_path: str, num_features: int = 256, buckets: int = 64,
+                encoder=None) -> None:
     """R2 / S8 -> R1 -> S10-S11: read cell JSONL, encode, append (id, content, metadata,
-    embedding) to a Parquet vector table partitioned by a hash bucket of the id."""
+    embedding) to a Parquet vector table partitioned by a hash bucket of the id.
+    Content and metadata ride along through the encoder (no join back)."""
     from tessera.operators.corpus import encode_documents
     from tessera.sources.files import read_cells_jsonl
     from tessera.sources.sinks import write_vectors
     cells = read_cells_jsonl(spark, cells_jsonl).withColumn(
         "id", F.xxhash64("notebook_id", "content"))
-    vec = encode_documents(cells, "id", "content", num_features)
-    rows = cells.select("id", "content", "metadata").join(vec, "id").withColumn(
-        "bucket", F.pmod(F.col("id"), F.lit(buckets)))
-    write_vectors(rows, out_path, buckets_col="bucket")
+    rows = encode_documents(cells, "id", "content", num_features, encoder=encoder, keep=("content", "metadata"))
+    write_vectors(rows.withColumn("bucket", F.pmod(F.col("id"), F.lit(buckets))), out_path, buckets_col="bucket")

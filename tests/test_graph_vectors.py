@@ -137,3 +137,15 @@ def test_recall_at_k_exact_is_one_and_lsh_bounded(spark):
     got = knn.recall_at_k(approx, exact, 5).collect()
     assert len(got) == 4 and all(0.0 <= r["recall"] <= 1.0 for r in got)
     assert all(r["recall"] >= 0.2 for r in got)                 # each query finds itself (distance 0)
+
+
+def test_encode_documents_pluggable_encoder(spark):
+    from tessera.operators.corpus import encode_documents
+    docs = spark.createDataFrame([(1, "banana", "x"), (2, "apple pie", "y"), (3, None, "z")],
+                                 "doc_id bigint, text string, tag string")
+
+    def enc(texts):                           # a stand-in model: (length, count of 'a')
+        return np.stack([[len(t), t.count("a")] for t in texts])
+    got = {r["id"]: (r["tag"], list(r["embedding"])) for r in encode_documents(docs, "doc_id", "text", encoder=enc,
+                                                                                keep=("tag",)).collect()}
+    assert got == {1: ("x", [6.0, 3.0]), 2: ("y", [9.0, 1.0]), 3: ("z", [0.0, 0.0])}

@@ -107,3 +107,25 @@ def encode_documents(docs: DataFrame, id_col: str, text_col: str, num_features:
                              Normalizer(inputCol="_idf", outputCol="_vec", p=2.0)]).fit(tf)
     out = model.transform(tf)
     return out.select(F.col(id_col).alias("id"), *keep, vector_to_array("_vec", "float32").alias("embedding"))
+
+
+DATASET_TOKEN_RE = r"<dataset>(.*?)</dataset>"
+
+
+def dataset_token_rate(docs: DataFrame, id_col: str, text_col: str, known: DataFrame,
+                       name_col: str = "name") -> DataFrame:
+    """Share of ``<dataset>name</dataset>`` tokens that resolve to a known dataset name.
+
+    (id, n_tokens, n_resolved, rate) per document that has tokens.  Tokens are
+    extracted from the whole text with ``regexp_extract_all``; names are
+    matched after trim + lower.  The name table joins on the token (a shuffle
+    join, broadcast at runtime by AQE when small); counts are partial/final.
+    """
+    toks = docs.select(F.col(id_col).alias("id"),
+                       F.explode(F.regexp_extract_all(F.col(text_col), F.lit(DATASET_TOKEN_RE), 1)).alias("tok"))
+    toks = toks.withColumn("key", F.lower(F.trim("tok")))
+    names = known.select(F.lower(F.trim(F.col(name_col))).alias("key")).distinct().withColumn("hit", F.lit(True))
+    j = toks.join(names, "key", "left")
+    per = j.groupBy("id").agg(F.count(F.lit(1)).alias("n_tokens"),
+                              F.count_if(F.coalesce("hit", F.lit(False))).alias("n_resolved"))
+    return per.withColumn("rate", F.col("n_resolved") / F.col("n_tokens"))

@@ -149,3 +149,16 @@ def test_encode_documents_pluggable_encoder(spark):
     got = {r["id"]: (r["tag"], list(r["embedding"])) for r in encode_documents(docs, "doc_id", "text", encoder=enc,
                                                                                 keep=("tag",)).collect()}
     assert got == {1: ("x", [6.0, 3.0]), 2: ("y", [9.0, 1.0]), 3: ("z", [0.0, 0.0])}
+
+
+def test_dataset_token_rate(spark):
+    from tessera.operators.corpus import dataset_token_rate
+    docs = spark.createDataFrame([
+        (1, "load <dataset>Titanic</dataset> and <dataset> iris </dataset> then <dataset>nope</dataset>"),
+        (2, "no tokens here"),
+        (3, "x" * 5000 + "<dataset>MNIST</dataset>")],             # found anywhere in a long text
+        "doc_id bigint, text string")
+    known = spark.createDataFrame([("titanic",), ("Iris",), ("mnist",)], "name string")
+    got = {r["id"]: (r["n_tokens"], r["n_resolved"], round(r["rate"], 4))
+           for r in dataset_token_rate(docs, "doc_id", "text", known).collect()}
+    assert got == {1: (3, 2, 0.6667), 3: (1, 1, 1.0)}

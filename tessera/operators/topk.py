@@ -101,4 +101,4 @@ def top_k_per_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequen
         w1 = Window.partitionBy(*groups, "_salt").orderBy(*order)
         cur = cur.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= kcol).drop("_salt", "_r1")
     w2 = Window.partitionBy(*groups).orderBy(*order)
-    return cur.withColumn(rank_col, F.row_number().over(w2)).filter(F.col(rank_col) <= kcol)
+    return cur.withColumn(rank_col, F.row_number().over(w2).cast("bigint")).filter(F.col(rank_col) <= kcol)

@@ -105,4 +105,4 @@ def q_citation_gate(spark, sf_dir):
     """Centroid drafts are cited only if a corpus vector lies within 0.75."""
     hits = knn.knn_exact(read_table(spark, sf_dir, "embeddings"), _centroid_queries(spark, sf_dir), k=1)
     g = corpus.citation_gate(hits, 0.75)
-    return g.select("qid", r6("nearest").alias("nearest"), "verdict")
+    return g.select(F.col("qid").cast("int").alias("qid"), r6("nearest").alias("nearest"), "verdict")

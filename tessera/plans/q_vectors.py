@@ -78,14 +78,14 @@ COS_SQL = ("1 - list_sum(list_transform(list_zip(e.embedding::DOUBLE[], m.mean),
 def q_knn_l2(spark, sf_dir):
     emb = read_table(spark, sf_dir, "embeddings")
     res = knn.knn_exact(emb, _centroid_queries(spark, sf_dir), k=5, metric="l2")
-    return res.select("qid", "vec_id", r6("dist").alias("dist"), "rank")
+    return res.select(F.col("qid").cast("int").alias("qid"), "vec_id", r6("dist").alias("dist"), "rank")
 
 
 @register("knn_cosine", KNN_SQL.format(means=MEANS_SQL, dist=COS_SQL))
 def q_knn_cosine(spark, sf_dir):
     emb = read_table(spark, sf_dir, "embeddings")
     res = knn.knn_exact(emb, _centroid_queries(spark, sf_dir), k=5, metric="cosine")
-    return res.select("qid", "vec_id", r6("dist").alias("dist"), "rank")
+    return res.select(F.col("qid").cast("int").alias("qid"), "vec_id", r6("dist").alias("dist"), "rank")
 
 
 @register("recall_at_k")
@@ -116,7 +116,8 @@ def q_augment_prompts(spark, sf_dir):
     prompts = emb.select(F.col("label").cast("bigint").alias("qid")).distinct().withColumn(
         "prompt", F.concat(F.lit("Describe class "), F.col("qid").cast("string")))
     contents = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id"), F.col("text").alias("content"))
-    return knn.augment_prompts(prompts, hits, contents)
+    out = knn.augment_prompts(prompts, hits, contents)
+    return out.select(F.col("qid").cast("int").alias("qid"), "augmented", "citations")
 
 
 SESSION_IDS = 100  # the session index holds the newest 100 ids of the store
@@ -142,4 +143,4 @@ def q_dual_search(spark, sf_dir):
     emb = read_table(spark, sf_dir, "embeddings")
     session, long_term = _session_split(emb)
     res = knn.dual_search(session, long_term, _centroid_queries(spark, sf_dir), k=5)
-    return res.select("qid", "vec_id", r6("dist").alias("dist"), "rank", "tier")
+    return res.select(F.col("qid").cast("int").alias("qid"), "vec_id", r6("dist").alias("dist"), "rank", "tier")

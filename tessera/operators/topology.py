@@ -191,8 +191,13 @@ def triangle_counts(edges: DataFrame) -> DataFrame:
 
 def euler_counts(points: DataFrame, eps: float, group_col: str = "grp", id_col: str = "id", vec_col: str = "vec",
                  block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(grp, n_points, n_edges, n_triangles, euler) of the 2-skeleton at ε."""
-    edges = eps_edges(points, eps, group_col, id_col, vec_col, block_rows)
+    """(grp, n_points, n_edges, n_triangles, euler) of the 2-skeleton at ε.
+
+    The ε-edges feed the edge count, the degrees and both sides of the wedge
+    join; they are written once (reliable checkpoint) so the pair tasks run
+    once instead of once per use.
+    """
+    edges = cut_lineage(eps_edges(points, eps, group_col, id_col, vec_col, block_rows))
     n_pts = points.groupBy(F.col(group_col).cast("bigint").alias("grp")).agg(F.count(F.lit(1)).alias("n_points"))
     n_e = edges.groupBy("grp").agg(F.count(F.lit(1)).alias("n_edges"))
     out = (n_pts.join(n_e, "grp", "left").join(triangle_counts(edges), "grp", "left")

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.topk import top_k_per_group
+from tessera.session import cut_lineage
 
 QUERY_BLOCK_ROWS = 20_000
 RESULT_SCHEMA = "qid bigint, vec_id bigint, dist double"
@@ -143,7 +144,10 @@ def knn_lsh(corpus: DataFrame, queries: DataFrame, k: int = 5, threshold: float
                                         numHashTables=num_tables, seed=seed).fit(c)
     pairs = model.approxSimilarityJoin(q, c, threshold, distCol="dist")
     cand = pairs.select(F.col("datasetA.id").cast("bigint").alias("qid"), F.col("datasetB.id").cast("bigint").alias("vec_id"), "dist")
-    return top_k_per_group(cand, ["qid"], ["dist", "vec_id"], k, salt_col=F.pmod(F.xxhash64("vec_id"), F.lit(16)))
+    # Candidates are written once: the ranking reads them twice (largest
+    # candidate set, then the salted levels sized from it).
+    cand = cut_lineage(cand)
+    return top_k_per_group(cand, ["qid"], ["dist", "vec_id"], k, rows_per_group="auto")
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame, k: int) -> DataFrame:

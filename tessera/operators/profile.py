@@ -19,7 +19,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import checked_broadcast
 
 GRID = 512          # cut points per refinement round
 FINAL_MAX = 100_000  # a bucket this small is ordered directly

@@ -9,7 +9,7 @@ from tessera.operators import corpus, knn
 from tessera.operators import notebooks as nbops
 from tessera.plans.catalog import r6, register
 from tessera.plans.fixtures import CELLS_SQL, META_SQL, cells, doc_metadata
-from tessera.plans.q_vectors import KNN_SQL, L2_SQL, MEANS_SQL, _centroid_queries
+from tessera.plans.q_vectors import L2_SQL, MEANS_SQL, _centroid_queries
 from tessera.session import read_table
 
 

@@ -8,7 +8,6 @@ from tessera.operators import cells as cellops
 from tessera.operators import validation as val
 from tessera.plans.catalog import register
 from tessera.plans.fixtures import CELL_RULE_SQL, CELLS_SQL, META_SQL, VERDICT_SQL, cells, doc_metadata
-from tessera.session import read_table
 
 
 def validate_dataset(spark, sf_dir, sample_size=None, check_code=False):

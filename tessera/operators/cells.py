@@ -9,6 +9,9 @@ final aggregates (map-side combine), rejected notebooks leave through an anti
 join against their ids, and per-notebook caps and first errors use the salted
 top-k.  The notebook-file form (one raw JSON text per notebook, as a folder of
 ``.json`` files is read) lives in ``operators.notebooks`` / ``validation``.
+
+A notebook with no cells has no rows here; the file form reports it as found
+and valid, the cell form cannot see it (validation then counts it missing).
 """
 
 from __future__ import annotations

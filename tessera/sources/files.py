@@ -68,8 +68,9 @@ def read_notebook_dir(spark: SparkSession, path: str, pattern: str = "*.json") -
 def id_path(id_col, root: str = "", ext: str = ".json"):
     """Two-level layout ``{id div 1e6}/{(id div 1000) % 1000}/{id}.json``."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col
-    return F.concat(F.lit(root), (c / 1000000).cast("bigint").cast("string"), F.lit("/"),
-                    F.pmod((c / 1000).cast("bigint"), F.lit(1000)).cast("string"), F.lit("/"),
+    exact = c.cast("decimal(20,0)")      # integer division without a double round trip
+    return F.concat(F.lit(root), (exact / F.lit(1000000)).cast("bigint").cast("string"), F.lit("/"),
+                    F.pmod((exact / F.lit(1000)).cast("bigint"), F.lit(1000)).cast("string"), F.lit("/"),
                     c.cast("string"), F.lit(ext))
 
 

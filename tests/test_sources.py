@@ -56,3 +56,10 @@ def test_build_index(spark, tmp_path):
     build_index(spark, src, str(tmp_path / "index"), num_features=32, buckets=4)
     idx = spark.read.parquet(str(tmp_path / "index"))
     assert idx.count() == 20 and set(idx.columns) >= {"id", "content", "embedding", "bucket"}
+
+
+def test_id_path_exact_for_large_ids(spark):
+    from tessera.sources.files import id_path
+    df = spark.createDataFrame([(9007199254740993,), (123456789,), (5,)], "id bigint")
+    assert [r[0] for r in df.select(id_path("id")).collect()] == [
+        "9007199254/740/9007199254740993.json", "123/456/123456789.json", "0/0/5.json"]

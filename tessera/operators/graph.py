@@ -49,8 +49,12 @@ def store_nodes(nodes: DataFrame | None, new: DataFrame, typ: str | Column, id_c
 
 def link(edges: DataFrame | None, new: DataFrame, source_col: str, target_col: str, relation: str | Column,
          id_col: str | None = None, metadata: Column | None = None, created_at: Column | None = None) -> DataFrame:
-    """G2 in batch: append edges (foreign keys are not enforced, as in SQLite's default)."""
-    ident = F.col(id_col).cast("bigint") if id_col else F.monotonically_increasing_id()
+    """G2 in batch: append edges (foreign keys are not enforced, as in SQLite's default).
+    Ids come from ``id_col`` or, if absent, continue after the existing edges' max id."""
+    base = 0
+    if id_col is None and edges is not None:
+        base = (edges.agg(F.max("id")).first()[0] or 0) + 1
+    ident = F.col(id_col).cast("bigint") if id_col else (F.lit(base) + F.monotonically_increasing_id())
     rows = new.select(
         ident.alias("id"), F.col(source_col).cast("bigint").alias("source_id"),
         F.col(target_col).cast("bigint").alias("target_id"),

@@ -162,3 +162,12 @@ def test_dataset_token_rate(spark):
     got = {r["id"]: (r["n_tokens"], r["n_resolved"], round(r["rate"], 4))
            for r in dataset_token_rate(docs, "doc_id", "text", known).collect()}
     assert got == {1: (3, 2, 0.6667), 3: (1, 1, 1.0)}
+
+
+def test_link_appends_keep_ids_unique(spark):
+    _, e = graph.empty_graph(spark)
+    batch = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "s bigint, t bigint").repartition(2)
+    e = graph.link(e, batch, "s", "t", "next")
+    e = graph.link(e, batch, "t", "s", "prev")
+    ids = [r["id"] for r in e.collect()]
+    assert len(ids) == 6 and len(set(ids)) == 6

@@ -68,11 +68,15 @@ def knn_exact(corpus: DataFrame, queries: DataFrame, k: int = 5, metric: str = "
     """(qid, vec_id, dist, rank): the k nearest corpus rows for every query row.
 
     ``metric`` is ``l2`` (Euclidean) or ``cosine`` (1 - cosine similarity).
-    Ties are broken by the smaller corpus id.
+    Ties are broken by the smaller corpus id.  Corpus rows whose vector is
+    NULL or of another dimension than the queries cannot be compared and are
+    skipped; queries without a vector get no rows; a query block mixing
+    dimensions is an error.
     """
     spark = corpus.sparkSession
     c = corpus.select(F.col(corpus_id).cast("bigint").alias("id"), F.col(corpus_vec).cast("array<double>").alias("v"))
-    q = queries.select(F.col(query_id).cast("bigint").alias("id"), F.col(query_vec).cast("array<double>").alias("v"))
+    q = queries.select(F.col(query_id).cast("bigint").alias("id"), F.col(query_vec).cast("array<double>").alias("v")) \
+        .filter(F.col("v").isNotNull())
     parts = max(1, c.rdd.getNumPartitions())
     # One bounded read decides the common case (all queries fit one block);
     # larger query sets are hashed into blocks, each again read with a bound.
@@ -95,6 +99,9 @@ def knn_exact(corpus: DataFrame, queries: DataFrame, k: int = 5, metric: str = "
         rows = read()       # one bounded, checked block: the broadcast payload
         if not rows:
             continue
+        dims = {len(r["v"]) for r in rows}
+        if len(dims) != 1:
+            raise ValueError(f"query vectors of several dimensions: {sorted(dims)}")
         Q = np.array([r["v"] for r in rows], dtype=np.float64)
         ids = np.array([r["id"] for r in rows], dtype=np.int64)
         bq = spark.sparkContext.broadcast((Q, ids))
@@ -102,7 +109,7 @@ def knn_exact(corpus: DataFrame, queries: DataFrame, k: int = 5, metric: str = "
         def run(batches, bq=bq):
             Qb, idb = bq.value
             yield from _scan_topk(Qb, idb, metric, k)(batches)
-        local = c.mapInPandas(run, RESULT_SCHEMA)
+        local = c.filter(F.size("v") == F.lit(Q.shape[1])).mapInPandas(run, RESULT_SCHEMA)
         out = local if out is None else out.unionByName(local)
     if out is None:
         return spark.createDataFrame([], RESULT_SCHEMA + ", rank int")

@@ -171,3 +171,11 @@ def test_link_appends_keep_ids_unique(spark):
     e = graph.link(e, batch, "t", "s", "prev")
     ids = [r["id"] for r in e.collect()]
     assert len(ids) == 6 and len(set(ids)) == 6
+
+
+def test_knn_skips_null_and_odd_vectors(spark):
+    corpus = spark.createDataFrame([(1, [0.0, 0.0]), (2, None), (3, [1.0, 1.0, 1.0]), (4, [3.0, 4.0])],
+                                   "vec_id bigint, embedding array<double>")
+    queries = spark.createDataFrame([(0, [0.0, 0.1]), (9, None)], "qid bigint, qvec array<double>")
+    got = [(r["qid"], r["vec_id"], r["rank"]) for r in knn.knn_exact(corpus, queries, k=5).orderBy("rank").collect()]
+    assert got == [(0, 1, 1), (0, 4, 2)]

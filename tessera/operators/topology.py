@@ -118,6 +118,7 @@ def _blocked(points: DataFrame, group_col: str, id_col: str, vec_col: str, block
 def eps_edges(points: DataFrame, eps: float, group_col: str = "grp", id_col: str = "id", vec_col: str = "vec",
               block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(grp, u, v, w): pairs u < v of the same group at Euclidean distance <= eps."""
+    points = points.filter(F.col(vec_col).isNotNull())       # a point without coordinates has no distances
     rep, _ = _blocked(points, group_col, id_col, vec_col, block_rows)
     return rep.groupBy("grp", "bi", "bj").applyInPandas(_pairs_within(eps), EDGE_SCHEMA).drop("cnt")
 
@@ -134,6 +135,7 @@ def h0_diagram(points: DataFrame, eps: float, group_col: str = "grp", id_col: st
     a group held by one block is then final, and only groups cut into
     several blocks go through the distributed Borůvka rounds.
     """
+    points = points.filter(F.col(vec_col).isNotNull())       # a point without coordinates has no distances
     rep, sizes = _blocked(points, group_col, id_col, vec_col, block_rows)
     pruned = rep.groupBy("grp", "bi", "bj").applyInPandas(_pairs_within(eps, forest_only=True), EDGE_SCHEMA)
     pruned = cut_lineage(pruned)
@@ -197,6 +199,7 @@ def euler_counts(points: DataFrame, eps: float, group_col: str = "grp", id_col:
     join; they are written once (reliable checkpoint) so the pair tasks run
     once instead of once per use.
     """
+    points = points.filter(F.col(vec_col).isNotNull())
     edges = cut_lineage(eps_edges(points, eps, group_col, id_col, vec_col, block_rows))
     n_pts = points.groupBy(F.col(group_col).cast("bigint").alias("grp")).agg(F.count(F.lit(1)).alias("n_points"))
     n_e = edges.groupBy("grp").agg(F.count(F.lit(1)).alias("n_edges"))

@@ -75,9 +75,13 @@ def q_compile_rate(spark, sf_dir):
     """Share of checked code cells that parse as Python, per notebook language."""
     meta = doc_metadata(spark, sf_dir).select(F.col("id").alias("notebook_id"), "language")
     code = cells(spark, sf_dir).filter((F.col("kind") == "code") & val.cell_rule(F.col("kind"), F.col("source")).isNull())
-    ok = code.join(meta, "notebook_id").select("language", val.python_compiles(F.col("source")).alias("ok"))
-    return ok.groupBy("language").agg(F.count(F.lit(1)).alias("n_code_cells"),
-                                      F.avg(F.col("ok").cast("double")).alias("compile_rate"))
+    # Check where the cells are, then reduce to one row per notebook: the join
+    # to the metadata moves two counts per notebook, never the code text.
+    ok = code.select("notebook_id", val.python_compiles(F.col("source")).alias("ok"))
+    per_nb = ok.groupBy("notebook_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("n_ok"))
+    j = per_nb.join(meta, "notebook_id")
+    return j.groupBy("language").agg(F.sum("n").alias("n_code_cells"),
+                                     (F.sum("n_ok") / F.sum("n")).alias("compile_rate"))
 
 
 @register("language_distribution", f"""

@@ -98,7 +98,7 @@ def retrieve_batch(nodes: DataFrame, terms: DataFrame, k: int = 5, term_col: str
     # them twice (largest-term count, then the salted levels it plans).
     hits = cut_lineage(hits)
     order = [F.desc_nulls_last("created_at"), F.desc("id")]
-    return top_k_per_group(hits, ["term"], order, k, rows_per_group="auto")
+    return top_k_per_group(hits, ["term"], order, k, rows_per_group="auto", salt_cols=["term", "id"])
 
 
 def neighbors(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None,

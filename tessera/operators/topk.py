@@ -65,7 +65,7 @@ def smallest_n(df: DataFrame, order_cols: Sequence, n: int, key_col: str | None
 def top_k_per_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence, k,
                     salt_col: Column | None = None, salt_buckets: int = DEFAULT_SALT_BUCKETS,
                     rank_col: str = "rank", rows_per_group: int | str | None = None,
-                    window_rows: int = 4096) -> DataFrame:
+                    window_rows: int = 4096, salt_cols: Sequence[str] | None = None) -> DataFrame:
     """k smallest rows per group by ``order_cols`` (add an id for a total order).
 
     ``k`` may be an int or a Column (per-group quota).  Output keeps the input
@@ -81,7 +81,15 @@ def top_k_per_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequen
         # Size of the largest group, from one partial/final count aggregate.
         biggest = df.groupBy(*groups).count().agg(F.max("count")).first()[0]
         rows_per_group = int(biggest or 0)
-    hashable = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    # Salt source: any deterministic choice is correct; a small unique-per-group
+    # key keeps hashing cheap (never whole text rows).  Named order columns
+    # plus the group qualify; otherwise every hashable column is used.
+    if salt_cols:
+        hashable = [F.col(c) for c in salt_cols]
+    elif all(isinstance(c, str) for c in order_cols):
+        hashable = [F.col(c) for c in list(order_cols) + groups]
+    else:
+        hashable = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
     levels: list[int] = []
     if rows_per_group is not None and isinstance(k, int):
         rows = rows_per_group

@@ -388,3 +388,43 @@ def q_rule_parse(spark, sf_dir):
     return j.select("dataset", "column_name", "dtype", F.col("type_family").alias("actual_family"), "n_non_null",
                     F.col("type_family").isNotNull().alias("present"),
                     F.coalesce(F.col("type_family") == F.col("dtype"), F.lit(False)).alias("type_ok"))
+
+
+def _rule_numeric() -> list:
+    """(dataset, table, numeric rule columns) for every rule dataset backed by a table."""
+    out = []
+    for d, spec in _parse_rules_py(RULES_PATH).items():
+        t = d.rsplit(".", 1)[0]
+        cols = [c["column"] for c in spec["columns"] if c["dtype"] in ("int64", "float64")]
+        if t in TABLES and cols:
+            out.append((d, t, cols))
+    return out
+
+
+@register("rule_describe", "\nUNION ALL ".join(
+    f"SELECT '{d}' AS dataset, * FROM ({_numeric_sql(t, cols)})" for d, t, cols in _rule_numeric()))
+def q_rule_describe(spark, sf_dir):
+    """A13 describe step: exact numeric profile of every numeric rule column, whole tables.
+
+    Each table's profile is a few bounded aggregate rounds; the tables are
+    independent, so their rounds are submitted from a small thread pool and
+    run as concurrent Spark jobs.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    def one(item):
+        d, t, cols = item
+        df = read_table(spark, sf_dir, t)
+        present = [c for c in cols if c in df.columns]
+        if not present:
+            return None
+        return profile.profile_numeric(df, present).select(
+            F.lit(d).alias("dataset"), "column_name", "count",
+            *[r6(c).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")])
+    items = _rule_numeric()
+    with ThreadPoolExecutor(max_workers=max(1, min(8, len(items)))) as pool:
+        parts = [p for p in pool.map(one, items) if p is not None]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -20,19 +20,22 @@ are left out, repeated ids count once (smallest text); an empty table gives no p
 
 from __future__ import annotations
 
+import json
 import unicodedata
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm.bpe import SPACE
+from tessera.llm.bpe import SPACE, byte_letters
 from tessera.llm.common import slices, texts, written
 
 CAPACITY = 2048
@@ -45,18 +48,33 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 
 class ByteTokens:
-    """Ids of texts; the parts of a text are looked up, only new parts go to the library."""
+    """Ids of texts.  A line is cut at its blanks: a blank between two other characters always
+    begins a token, so the ids of each part (with its blank) can be kept and joined.  Texts
+    with other white space, doubled or at an edge, are cut by the pattern instead."""
 
     def __init__(self, source: str):
         self.library = Tokenizer.from_str(source)
-        self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
+        spec = json.loads(source)
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         pattern = PATTERN.replace("[^\\s", f"[^{SPACE}").replace("\\s", f"[{SPACE}]").replace("\\S", f"[^{SPACE}]")
-        self.parts = regex.compile(pattern).findall
+        byte = {c: b for b, c in enumerate(byte_letters())}
+        ranks = {bytes(map(byte.__getitem__, t)): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
+        order = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in spec["model"]["merges"]]
+        found = list(map(spec["model"]["vocab"].__getitem__, order))
+        if found != sorted(found):
+            raise ValueError("ids must follow the order of the merges")
+        self.encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.odd = regex.compile(f"[{SPACE}]").search
         self.edge = regex.compile(f"(?<=[^{SPACE}])[{SPACE}]")
-        self.known: dict[str, bytes] = {}
+        self.newline = self.packed("\n")
+        self.first: dict[str, bytes] = {}
+        self.later: dict[str, bytes] = {}
         self.characters: set[str] = set()
 
+    def packed(self, text: str) -> bytes:
+        return array("I", self.encode(text)).tobytes()
+
     def plain(self, text: str) -> bool:
         """Are all characters in this Python's Unicode tables?  (The library may know later ones.)"""
         if text.isascii():
@@ -66,13 +84,28 @@ class ByteTokens:
         self.characters |= fresh - new
         return not new
 
-    def learn(self, parts: set[str]) -> None:
-        parts.difference_update(self.known)
-        if len(self.known) + len(parts) > WORDS_KEPT:
-            self.known = {}
-        fresh = list(parts)
-        for part, found in zip(fresh, self.library.encode_batch(fresh, add_special_tokens=False)):
-            self.known[part] = np.array(found.ids, "<u4").tobytes()
+    def learn(self, lines: list[list[str]]) -> bool:
+        """Adds the parts of lines; False if one isn't free of white space."""
+        if len(self.first) + len(self.later) > WORDS_KEPT:
+            self.first, self.later = {}, {}
+        for line in lines:
+            for known, blank, parts in ((self.first, "", line[:1]), (self.later, " ", line[1:])):
+                for part in set(parts).difference(known):
+                    if not part or self.odd(part):
+                        return False
+                    known[part] = self.packed(blank + part)
+        return True
+
+    def chunk(self, text: str) -> bytes:
+        lines = [line.split(" ") for line in text.split("\n")]
+        for _ in range(2):
+            try:
+                first, later = self.first, self.later.__getitem__
+                return self.newline.join([b"".join([first[line[0]], *map(later, line[1:])]) for line in lines])
+            except KeyError:
+                if not self.learn(lines):
+                    break
+        return self.packed(text)
 
     def ids(self, text: str) -> bytes:
         out = []
@@ -80,22 +113,14 @@ class ByteTokens:
             if segment in self.special:
                 out.append(self.special[segment].to_bytes(4, "little"))
             elif not self.plain(segment):
-                out.append(np.array(self.library.encode(segment, add_special_tokens=False).ids, "<u4").tobytes())
+                out.append(array("I", self.library.encode(segment, add_special_tokens=False).ids).tobytes())
             else:
                 at = 0
                 while at < len(segment):
                     end = len(segment)
                     if end - at > CHUNK and (cut := self.edge.search(segment, at + CHUNK)):
                         end = cut.start()
-                    parts = self.parts(segment[at:end])
-                    known = self.known
-                    try:
-                        out.append(b"".join([known[p] for p in parts]))
-                    except KeyError:
-                        self.learn(set(parts))
-                        if any(p not in self.known for p in parts):  # the table was emptied meanwhile
-                            self.learn(set(parts))
-                        out.append(b"".join([self.known[p] for p in parts]))
+                    out.append(self.chunk(segment[at:end]))
                     at = end
         return b"".join(out)
 

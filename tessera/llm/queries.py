@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, language, packing
+from tessera.llm import bpe, language, packing, substring, suffixes
 from tessera.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,31 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     profiles = language.fit(documents.filter(~held_out))
     return language.predict(documents, profiles, [F.col("doc_id"), held_out.alias("held_out")])
+
+
+def _repeats_sql(words: int) -> str:
+    return f"""
+WITH texts AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), x -> x <> '') AS words FROM documents),
+places AS (SELECT doc_id, words, unnest(range(1, len(words) - {words} + 2)) AS p FROM texts),
+grams AS (SELECT doc_id, p, array_to_string(words[p:p + {words - 1}], ' ') AS gram FROM places),
+firsts AS (SELECT gram, min(doc_id) AS lo FROM grams GROUP BY gram),
+gone AS (SELECT DISTINCT doc_id, p + k AS i FROM grams JOIN firsts USING (gram), range(0, {words}) t(k) WHERE doc_id > lo),
+numbered AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM texts),
+kept AS (SELECT n.doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM numbered n ANTI JOIN gone g ON n.doc_id = g.doc_id AND n.i = g.i GROUP BY n.doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (doc_id)"""
+
+
+def _kept_digest(out: DataFrame) -> DataFrame:
+    words = F.trim(F.regexp_replace("kept", "[\\x20\\x09-\\x0D]+", " "))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
+
+
+@query("op6_substring_dedup", _repeats_sql(substring.MIN_WORDS))
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept_digest(substring.substring_dedup(read_table(spark, sf_dir, "documents")))
+
+
+@query("op10_suffix_dedup", _repeats_sql(suffixes.MIN_WORDS))
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept_digest(suffixes.suffix_dedup(read_table(spark, sf_dir, "documents")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, language, packing, substring, suffixes
+from tessera.llm import bpe, language, licenses, packing, simhash, substring, suffixes
 from tessera.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,7 +50,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _repeats_sql(words: int) -> str:
     return f"""
-WITH texts AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), x -> x <> '') AS words FROM documents),
+WITH texts AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS words FROM documents),
 places AS (SELECT doc_id, words, unnest(range(1, len(words) - {words} + 2)) AS p FROM texts),
 grams AS (SELECT doc_id, p, array_to_string(words[p:p + {words - 1}], ' ') AS gram FROM places),
 firsts AS (SELECT gram, min(doc_id) AS lo FROM grams GROUP BY gram),
@@ -74,3 +74,17 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_suffix_dedup", _repeats_sql(suffixes.MIN_WORDS))
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kept_digest(suffixes.suffix_dedup(read_table(spark, sf_dir, "documents")))
+
+
+@query("op2_license_scan")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.license_scan(read_table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+@query("op1_simhash")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.fingerprint_documents(read_table(spark, sf_dir, "documents"))
+    text = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
+    return out.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", text("fingerprint").alias("fingerprint"),
+                      text("edited_fingerprint").alias("edited_fingerprint"), "near_edited", "near_next", "n_near")

@@ -112,9 +112,8 @@ def successors(docs: DataFrame) -> DataFrame:
     within = ranged.withColumn("next", F.lead("id").over(Window.partitionBy("part").orderBy("id")))
     parts = ranged.groupBy("part").agg(F.min("id").alias("least"))
     following = parts.select("part", F.lead("least").over(Window.orderBy("part")).alias("following"))
-    first = ranged.agg(F.min("id").alias("first"))  # one row
-    return (within.join(following, "part").join(F.broadcast(first))
-            .select("id", "n", F.coalesce("next", "following", "first").alias("next")))
+    first = ranged.agg(F.min("id")).first()[0]
+    return within.join(following, "part").select("id", "n", F.coalesce("next", "following", F.lit(first)).alias("next"))
 
 
 def edited_texts(docs: DataFrame, links: DataFrame) -> DataFrame:

@@ -110,17 +110,18 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def gram_hashes(words: np.ndarray, k: int, at: np.ndarray | None = None) -> np.ndarray:
-    """64-bit hash of the k words from each position (or each of ``at``); words are 64-bit word hashes."""
+def gram_hashes(words: np.ndarray, k: int | np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hash of the k words from each position (or each of ``at``, and then k may be an
+    array as well); words are 64-bit word hashes."""
     n = len(words)
-    if n < k:
+    if at is None and n < k:
         return np.empty(0, np.uint64)
     up, down = _powers(n)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(words * up, out=total[1:])
     if at is None:
-        return mix((total[k:] - total[:-k]) * down[: n - k + 1])
-    return mix((total[at + k] - total[at]) * down[at])
+        return mix((total[k:] - total[:-k]) * down[: n - k + 1] + np.uint64(k * MULT & MASK))
+    return mix((total[at + k] - total[at]) * down[at] + np.asarray(k, np.uint64) * np.uint64(MULT))
 
 
 def minimisers(grams: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -3,7 +3,7 @@
 Anchors are winnowed word grams: of each run of consecutive grams that fits into a passage
 of ``min_words`` words the smallest, so that documents with a common passage have a common
 anchor in it.  Documents are joined on their anchors (an anchor of one document only drops
-out after a pre-aggregated minimum and maximum), the anchors that match are extended both
+out after a pre-aggregated count), the anchors that match are extended both
 ways to whole passages, and what is covered by passages of ``min_words`` words or more that
 also start in a document with a smaller id goes.  Passages are judged on the input.
 
@@ -15,7 +15,6 @@ an empty result.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tessera.llm import repeats
 from tessera.llm.common import texts
@@ -24,15 +23,15 @@ MIN_WORDS = 13
 ANCHOR = 5
 
 
-def anchors_in_several(grams: DataFrame) -> DataFrame:
+def anchors_in_several(docs: DataFrame, min_words: int, anchor: int) -> DataFrame:
     """The occurrences of anchors that more than one document holds."""
-    shared = grams.groupBy("gram").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("gram")
-    return grams.join(shared, "gram", "left_semi").select("id", "first", "runs")
+    shared = repeats.document_grams(docs, min_words, anchor).groupBy("gram").count().filter("count > 1").select("gram")
+    return repeats.chosen_grams(docs, min_words, anchor).join(shared, "gram", "left_semi")
 
 
 def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, anchor: int = ANCHOR) -> DataFrame:
     """(id, text, n_words, n_removed, kept, spans) for every document."""
     docs = texts(df, id_col, text_col)
-    seeds = anchors_in_several(repeats.chosen_grams(docs, min_words, min(anchor, min_words)))
-    found = repeats.windows(repeats.by_document(docs, seeds), min_words)
-    return repeats.without_repeats(docs, repeats.repeated(found), min_words)
+    anchor = min(anchor, min_words)
+    seeds = anchors_in_several(docs, min_words, anchor)
+    return repeats.without_repeats(docs, repeats.repeated(docs, seeds, min_words), min_words)

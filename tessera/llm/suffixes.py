@@ -25,40 +25,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm import repeats
-from tessera.llm.common import OUT_ROWS, gram_hashes, minimisers, slices, texts, utf8, written
+from tessera.llm.common import OUT_ROWS, slices, texts, utf8, written
 
 MIN_WORDS = 50
 HEAD = 8
 
 
 def suffixes(docs: DataFrame, length: int, head: int) -> DataFrame:
-    """(head long, tail long, id long, first int, runs int) of the retained suffixes; tail is
-    the gram after the head, 0 where the text ends before it does."""
-    names, types = ["head", "tail", "id", "first", "runs"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    """(gram long, tail long, block long, id long, place long) of the retained suffixes: gram is
+    the hash of the suffix's head, tail that of the gram after it (0 where the text ends
+    before), block and place those of the windows that chose it."""
+    names, types = ["gram", "tail", "block", "id", "place"], [pa.int64()] * 5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list[np.ndarray]] = [[], [], [], [], []]
         for part in slices(batches):
             for key, text in zip(part.column(0).to_pylist(), utf8(part.column(1))):
-                hashes = gram_hashes(repeats.word_hashes(text), head)
-                at, first, runs = minimisers(hashes, length - head + 1)
+                at, heads, block, place, hashes = repeats.document_blocks(text, length, head)
                 if len(at):
                     after = at + head
-                    out[0].append(hashes[at].view(np.int64))
-                    out[1].append(np.where(after < len(hashes), hashes[np.minimum(after, len(hashes) - 1)], 0).astype(np.uint64).view(np.int64))
-                    out[2].append(np.full(len(at), key, np.int64))
-                    out[3].append(first)
-                    out[4].append(runs)
+                    tail = np.where(after < len(hashes), hashes[np.minimum(after, len(hashes) - 1)], np.uint64(0))
+                    for column, values in zip(out, (heads.view(np.int64), tail.view(np.int64), block.view(np.int64), np.full(len(at), key, np.int64), place)):
+                        column.append(values)
             yield from repeats.batches_of(names, types, out, OUT_ROWS)
         yield from repeats.batches_of(names, types, out)
 
-    return docs.select("id", "text").mapInArrow(run, "head long, tail long, id long, first int, runs int")
+    return docs.select("id", "text").mapInArrow(run, "gram long, tail long, block long, id long, place long")
 
 
 def compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of suffixes sorted by head: those whose head occurs in several documents, and the first
     and last heads of the partition.  Holds back one document's suffixes of one head at most."""
-    keep = ["id", "first", "runs"]
+    keep = ["gram", "block", "id", "place"]
     held: pa.Table | None = None  # the last head's suffixes so far, all of one document
     known: int | None = None  # a head that is known to pass
     for batch in batches:
@@ -68,7 +66,7 @@ def compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         first_of_partition = held is None and known is None
         if held is not None:
             table = pa.concat_tables([held, table]).combine_chunks()
-        heads, ids = table.column("head").to_numpy(), table.column("id").to_numpy()
+        heads, ids = table.column("gram").to_numpy(), table.column("id").to_numpy()
         begin = np.flatnonzero(np.concatenate(([True], heads[1:] != heads[:-1])))
         several = np.minimum.reduceat(ids, begin) != np.maximum.reduceat(ids, begin)
         if first_of_partition or (known is not None and heads[0] == known):
@@ -86,8 +84,8 @@ def compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, head: int = HEAD) -> DataFrame:
     """(id, text, n_words, n_removed, kept, spans) for every document."""
     docs = texts(df, id_col, text_col)
-    order = ["head", "tail", "id", "first"]
-    table = written(suffixes(docs, min_words, min(head, min_words)), "suffixes")
-    seeds = table.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(compare_neighbours, "id long, first int, runs int")
-    found = repeats.windows(repeats.by_document(docs, seeds), min_words)
-    return repeats.without_repeats(docs, repeats.repeated(found), min_words)
+    order = ["gram", "tail", "id", "place"]
+    head = min(head, min_words)
+    table = written(suffixes(docs, min_words, head), "suffixes")
+    seeds = table.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(compare_neighbours, "gram long, block long, id long, place long")
+    return repeats.without_repeats(docs, repeats.repeated(docs, seeds, min_words), min_words)

@@ -65,17 +65,17 @@ def test_against_brute_force(spark, method, length, seed):
 def test_neighbours_over_batches_and_partitions(spark):
     import pyarrow as pa
     r = random.Random(3)
-    rows = sorted((r.randrange(30), 0, r.randrange(4), i, 1) for i in range(300))
+    rows = sorted((r.randrange(30), 0, 0, r.randrange(4), i) for i in range(300))
     cuts = sorted(r.sample(range(300), 40))
-    batches = [pa.RecordBatch.from_pylist([dict(zip(("head", "tail", "id", "first", "runs"), x)) for x in rows[a:b]],
-               schema=pa.schema([("head", pa.int64()), ("tail", pa.int64()), ("id", pa.int64()), ("first", pa.int32()), ("runs", pa.int32())]))
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("gram", "tail", "block", "id", "place"), x)) for x in rows[a:b]],
+               schema=pa.schema([(c, pa.int64()) for c in ("gram", "tail", "block", "id", "place")]))
                for a, b in zip([0, *cuts], [*cuts, 300])]
-    got = sorted(x for b in suffixes.compare_neighbours(iter(batches)) for x in b.column("first").to_pylist())
+    got = sorted(x for b in suffixes.compare_neighbours(iter(batches)) for x in b.column("place").to_pylist())
     by = {}
-    for head, _, key, _, _ in rows:
+    for head, _, _, key, _ in rows:
         by.setdefault(head, set()).add(key)
     edge = {rows[0][0], rows[-1][0]}
-    assert got == sorted(x[3] for x in rows if len(by[x[0]]) > 1 or x[0] in edge)
+    assert got == sorted(x[4] for x in rows if len(by[x[0]]) > 1 or x[0] in edge)
 
 
 def test_empty_table(spark):
@@ -89,6 +89,7 @@ def test_hashes_and_minimisers():
     grams = gram_hashes(words, 3)
     assert len(grams) == 38 and grams[0] == grams[7] and len(set(grams.tolist())) == 7
     assert (gram_hashes(words, 3, np.array([5, 9])) == grams[[5, 9]]).all()
+    assert (gram_hashes(words, np.array([3, 4]), np.array([5, 9])) == [grams[5], gram_hashes(words, 4)[9]]).all()
     at, first, runs = minimisers(grams, 5)
     assert runs.sum() == 34 and first[0] == 0
     for a, f, n in zip(at, first, runs):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, jaccard, language, licenses, packing, simhash, substring, suffixes
+from tessera.llm import bpe, jaccard, language, licenses, neighbours, packing, simhash, substring, suffixes
 from tessera.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,8 @@ SELECT t.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(t.doc_id, coalesce(
 FROM texts t LEFT JOIN sizes s ON s.doc_id = t.doc_id LEFT JOIN reach ON reach.a = t.doc_id""")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op9_embedding_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.embedding_components(read_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")

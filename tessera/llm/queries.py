@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, jaccard, language, licenses, neighbours, packing, simhash, substring, suffixes
+from tessera.llm import bpe, jaccard, language, licenses, lines, neighbours, packing, simhash, substring, suffixes
 from tessera.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_embedding_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.embedding_components(read_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+@query("op8_line_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.line_dedup(read_table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -22,43 +22,58 @@ from tessera.operators.topk import top_k_per_group
 from tessera.session import cut_lineage
 
 QUERY_BLOCK_ROWS = 20_000
+#: bytes of one matrix of distances in a task
+SCAN_BYTES = 64 << 20
 RESULT_SCHEMA = "qid bigint, vec_id bigint, dist double"
 
 
 def _scan_topk(Q: np.ndarray, qids: np.ndarray, metric: str, k: int):
-    """mapInPandas body: running top-k of every query over one partition's batches."""
-    Qn = Q / np.linalg.norm(Q, axis=1, keepdims=True) if metric == "cosine" else Q
-    q_sq = (Q * Q).sum(1)
+    """mapInPandas body: running top-k of every query over one partition's batches.
+
+    Matrix products give each distance with a known rounding slack; every row within the slack
+    of a query's k-th is then compared by its exact distance, so ties and large offsets change
+    nothing.  Memory is bounded by SCAN_BYTES, whatever the number of queries.
+    """
+    if metric == "cosine":
+        norms = np.linalg.norm(Q, axis=1, keepdims=True)
+        usable = norms[:, 0] > 0
+        Q, qids = Q[usable] / norms[usable], qids[usable]
+
+    def nearest(block: np.ndarray, ids: np.ndarray, C: np.ndarray, cid: np.ndarray, best: list):
+        centre = C.mean(axis=0) if metric == "l2" else np.zeros(C.shape[1])
+        q, c = block - centre, C - centre
+        size = (q * q).sum(1)[:, None] + (c * c).sum(1)[None, :]
+        rough = size - 2.0 * (q @ c.T)  # squared distance; for unit vectors twice 1 - cosine
+        slack = 64 * np.finfo(float).eps * size * C.shape[1]
+        kth = np.partition(rough + slack, k - 1, axis=1)[:, k - 1:k] if k <= len(cid) else np.full((len(ids), 1), np.inf)
+        for i in range(len(ids)):
+            at = np.flatnonzero(rough[i] - slack[i] <= kth[i])
+            d = 1.0 - C[at] @ block[i] if metric == "cosine" else np.sqrt(((C[at] - block[i]) ** 2).sum(1))
+            old_d, old_i = best[i]
+            d, found = np.concatenate([old_d, d]), np.concatenate([old_i, cid[at]])
+            order = np.lexsort((found, d))[:k]
+            best[i] = d[order], found[order]
 
     def fn(batches):
-        best_d = np.full((len(qids), 0), np.inf)
-        best_i = np.zeros((len(qids), 0), dtype=np.int64)
+        best = [(np.empty(0), np.empty(0, np.int64)) for _ in qids]
         for pdf in batches:
-            if pdf.empty:
+            if pdf.empty or not len(qids):
                 continue
             C = np.stack(pdf["v"].to_numpy()).astype(np.float64)
             cid = pdf["id"].to_numpy(dtype=np.int64)
             if metric == "cosine":
-                Cn = C / np.linalg.norm(C, axis=1, keepdims=True)
-                approx = 1.0 - Qn @ Cn.T
-            else:
-                approx = q_sq[:, None] + (C * C).sum(1)[None, :] - 2.0 * (Q @ C.T)
-            m = min(len(cid), k + 8)   # margin, then exact distances for the survivors
-            cand = (np.argpartition(approx, m - 1, axis=1)[:, :m] if m < len(cid)
-                    else np.tile(np.arange(len(cid)), (len(qids), 1)))
-            if metric == "cosine":
-                d = 1.0 - np.einsum("qmd,qd->qm", Cn[cand], Qn)
-            else:
-                diff = C[cand] - Q[:, None, :]
-                d = np.sqrt(np.einsum("qmd,qmd->qm", diff, diff))
-            all_d = np.concatenate([best_d, d], axis=1)
-            all_i = np.concatenate([best_i, cid[cand]], axis=1)
-            order = np.lexsort((all_i, all_d), axis=1)[:, :k]
-            best_d = np.take_along_axis(all_d, order, axis=1)
-            best_i = np.take_along_axis(all_i, order, axis=1)
-        if best_d.shape[1]:
-            yield pd.DataFrame({"qid": np.repeat(qids, best_d.shape[1]), "vec_id": best_i.ravel(),
-                                "dist": best_d.ravel()})
+                norms = np.linalg.norm(C, axis=1, keepdims=True)
+                C, cid = C[norms[:, 0] > 0] / norms[norms[:, 0] > 0], cid[norms[:, 0] > 0]
+                if not len(cid):
+                    continue
+            step = max(1, SCAN_BYTES // (8 * len(cid)))
+            for start in range(0, len(qids), step):
+                part = best[start:start + step]
+                nearest(Q[start:start + step], qids[start:start + step], C, cid, part)
+                best[start:start + step] = part
+        if any(len(d) for d, _ in best):
+            yield pd.DataFrame({"qid": np.repeat(qids, [len(d) for d, _ in best]), "vec_id": np.concatenate([i for _, i in best]),
+                                "dist": np.concatenate([d for d, _ in best])})
     return fn
 
 
@@ -71,7 +86,8 @@ def knn_exact(corpus: DataFrame, queries: DataFrame, k: int = 5, metric: str = "
     Ties are broken by the smaller corpus id.  Corpus rows whose vector is
     NULL or of another dimension than the queries cannot be compared and are
     skipped; queries without a vector get no rows; a query block mixing
-    dimensions is an error.
+    dimensions is an error.  Zero vectors have no cosine: such queries get no
+    rows and such corpus rows are no hits.
     """
     spark = corpus.sparkSession
     c = corpus.select(F.col(corpus_id).cast("bigint").alias("id"), F.col(corpus_vec).cast("array<double>").alias("v"))
@@ -84,14 +100,12 @@ def knn_exact(corpus: DataFrame, queries: DataFrame, k: int = 5, metric: str = "
     if len(first) <= query_block_rows:
         blocks = [lambda: first]
     else:
-        n_blocks = math.ceil(q.count() / query_block_rows)
+        n_blocks = 2 * math.ceil(q.count() / query_block_rows)
 
         def reader(b):
             def read():
-                rows = q.filter(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b).limit(2 * query_block_rows + 1).collect()
-                if len(rows) > 2 * query_block_rows:
-                    raise ValueError("query block exceeds its size bound")
-                return rows
+                # hashed over id and vector: a block holds about half of query_block_rows, whatever the ids
+                return q.filter(F.pmod(F.xxhash64("id", "v"), F.lit(n_blocks)) == b).collect()
             return read
         blocks = [reader(b) for b in range(n_blocks)]
     out = None
@@ -170,16 +184,18 @@ def augment_prompts(prompts: DataFrame, hits: DataFrame, contents: DataFrame, pr
                     prompt_col: str = "prompt", content_id: str = "vec_id", content_col: str = "content") -> DataFrame:
     """Prompt + "\\n\\nRelevant information:\\n" + "- {content}\\n" per hit in rank order.
 
-    Prompts without hits stay unchanged; the hit ids are kept as citations.
+    Prompts without hits stay unchanged; the hit ids are kept as citations.  A hit whose content
+    is missing keeps its citation and adds no line.
     """
-    h = hits.join(contents.select(F.col(content_id).alias("vec_id"), F.col(content_col).alias("_content")), "vec_id")
+    h = hits.join(contents.select(F.col(content_id).alias("vec_id"), F.col(content_col).alias("_content")), "vec_id", "left")
     per = h.groupBy(F.col("qid").alias(prompt_id)).agg(
         F.array_sort(F.collect_list(F.struct("rank", "vec_id", "_content"))).alias("_hits"))
     j = prompts.join(per, prompt_id, "left")
-    lines = F.array_join(F.transform("_hits", lambda x: F.concat(F.lit("- "), x["_content"], F.lit("\n"))), "")
+    with_text = F.filter("_hits", lambda x: x["_content"].isNotNull())
+    lines = F.array_join(F.transform(with_text, lambda x: F.concat(F.lit("- "), x["_content"], F.lit("\n"))), "")
     return j.select(
         prompt_id,
-        F.when(F.size("_hits") > 0, F.concat(F.col(prompt_col), F.lit("\n\nRelevant information:\n"), lines))
+        F.when(F.size(with_text) > 0, F.concat(F.col(prompt_col), F.lit("\n\nRelevant information:\n"), lines))
         .otherwise(F.col(prompt_col)).alias("augmented"),
         F.coalesce(F.transform("_hits", lambda x: x["vec_id"]), F.array().cast("array<bigint>")).alias("citations"))
 

@@ -412,12 +412,13 @@ def type_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def id_column_check(df: DataFrame) -> DataFrame:
-    """Columns named *id: null count and non-integral values."""
+    """Columns named *id: null count and non-integral values (text that is no number included)."""
     ids = [c for c in df.columns if c.lower().endswith("id")]
-    long = unpivot(df, ids)
+    long = unpivot(df, ids, "string")
+    number = F.col("value").try_cast("double")
     return long.groupBy("column_name").agg(
         F.count_if(F.col("value").isNull()).alias("n_null"),
-        F.count_if(F.col("value") != F.floor("value")).alias("n_non_integer"))
+        F.count_if(F.col("value").isNotNull() & (number.isNull() | (number != F.floor(number)))).alias("n_non_integer"))
 
 
 def invalid_values(df: DataFrame, col: str, bad: Column, limit: int = 10) -> DataFrame:

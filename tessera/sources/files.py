@@ -8,6 +8,7 @@ per-row open.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,6 +97,8 @@ def rules_preview(spark: SparkSession, path: str, n_bytes: int = 2048) -> DataFr
     """V8: first 2 KB of the rules document, or 'NOT FOUND'."""
     try:
         df = spark.read.text(path, wholetext=True)
-        return df.select(F.substring("value", 1, n_bytes).alias("data_constitution"))
-    except Exception:  # noqa: BLE001 - absent path is a finding, not an error
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # only an absent path is a finding
+            raise
         return spark.createDataFrame([("NOT FOUND",)], "data_constitution string")
+    return df.select(F.substring("value", 1, n_bytes).alias("data_constitution"))

@@ -103,19 +103,19 @@ WITH {MEANS_SQL},
 d AS (SELECT m.label AS qid, e.vec_id, {L2_SQL} AS dist FROM means m, embeddings e),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS rank FROM d),
 h AS (SELECT qid, string_agg('- ' || b.text || chr(10), '' ORDER BY rank) AS lines, list(vec_id ORDER BY rank) AS citations
-      FROM r JOIN benchmark b ON b.item_id = r.vec_id WHERE rank <= 3 GROUP BY qid),
+      FROM r LEFT JOIN documents b ON b.doc_id = r.vec_id WHERE rank <= 3 GROUP BY qid),
 p AS (SELECT DISTINCT label AS qid, 'Describe class ' || label::VARCHAR AS prompt FROM embeddings)
 SELECT p.qid, CASE WHEN h.lines IS NOT NULL THEN p.prompt || chr(10) || chr(10) || 'Relevant information:' || chr(10) || h.lines
                    ELSE p.prompt END AS augmented,
        coalesce(h.citations, []::BIGINT[]) AS citations
 FROM p LEFT JOIN h USING (qid)""")
 def q_augment_prompts(spark, sf_dir):
-    """Per class prompt, its 3 nearest vectors' benchmark texts appended as citations."""
+    """Per class prompt, the documents of its 3 nearest vectors appended, all hits cited."""
     emb = read_table(spark, sf_dir, "embeddings")
     hits = knn.knn_exact(emb, _centroid_queries(spark, sf_dir), k=3)
     prompts = emb.select(F.col("label").cast("bigint").alias("qid")).distinct().withColumn(
         "prompt", F.concat(F.lit("Describe class "), F.col("qid").cast("string")))
-    contents = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id"), F.col("text").alias("content"))
+    contents = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("content"))
     out = knn.augment_prompts(prompts, hits, contents)
     return out.select(F.col("qid").cast("int").alias("qid"), "augmented", "citations")
 

@@ -19,7 +19,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.graphalgo import connected_components
 from tessera.session import scratch_path
 
 #: bytes of text that a Python task handles at a time, and rows or bytes of one result batch
@@ -68,10 +67,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, comp) for every end of a link; comp is the smallest id reachable."""
-    links = written(links.select(a, b).distinct(), "links")
-    ends = links.select(F.col(a).alias("id")).unionByName(links.select(F.col(b).alias("id"))).distinct()
-    return connected_components(ends, links, "id", a, b)
+    """(id, comp) for every end of a link; comp is the smallest id reachable.  An end linked only
+    to itself has no row.
+
+    In each round every end goes to the first of its neighbours and itself, in one fixed order by
+    hash, and on to where that one goes; links are then drawn between the places reached, so a
+    round works on the links still open, and stars and chains need few rounds.
+    """
+    first, second = F.col(a).alias("a"), F.col(b).alias("b")
+    links = written(links.filter(F.col(a) != F.col(b)).select(first, second).distinct(), "links")
+    steps: list[DataFrame] = []
+    while not links.isEmpty():
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = both.groupBy("a").agg(F.min(F.xxhash64("b")).alias("h"), F.min_by("b", F.xxhash64("b")).alias("b"))
+        up = written(near.select(F.col("a").alias("id"), F.when(F.col("h") < F.xxhash64("a"), F.col("b")).otherwise(F.col("a")).alias("up")), "ups")
+        up = written(up.join(up.select(F.col("id").alias("up"), F.col("up").alias("top")), "up").select("id", F.col("top").alias("up")), "tops")
+        steps.append(up)
+        drawn = links.join(up.select(F.col("id").alias("a"), F.col("up").alias("x")), "a").join(up.select(F.col("id").alias("b"), F.col("up").alias("y")), "b")
+        links = written(drawn.filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+    if not steps:
+        return links.select(F.col("a").alias("id"), F.col("b").alias("comp"))
+    found = steps.pop()
+    for step in reversed(steps):
+        found = step.join(found.select(F.col("id").alias("up"), F.col("up").alias("top")), "up", "left").select("id", F.coalesce("top", "up").alias("up"))
+    found = written(found, "roots")
+    return found.join(found.groupBy("up").agg(F.min("id").alias("comp")), "up").select("id", "comp")
 
 
 # --- inside Python tasks -------------------------------------------------------------------

@@ -2,7 +2,9 @@
 
 A notebook is one row of raw JSON text.  Cells are reached through VARIANT
 (`try_parse_json` + `try_variant_get`), so malformed input becomes NULL
-instead of failing the job.  `source` may be a string or a list of strings;
+instead of failing the job.  Texts that are JSON but that VARIANT can't hold
+(very long strings or files, repeated keys) are read by `from_json`; their
+metadata keeps the order of its keys.  `source` may be a string or a list of strings;
 the list form is joined with '' first.
 """
 
@@ -11,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.jsonfn import from_json_sql, is_json, is_json_sql
 from tessera.functions.text import CELL_KINDS, wrap_content
 
 CELL_STRUCT = (
@@ -23,12 +26,26 @@ CELL_STRUCT = (
 
 def parsed_cells(raw_col: str = "raw") -> Column:
     """array<struct<kind, source, metadata>> of a raw notebook text (NULL if no cells)."""
-    return cells_of_variant(f"try_parse_json(`{raw_col}`)")
+    return cells_of_variant(f"try_parse_json(`{raw_col}`)", f"`{raw_col}`")
 
 
-def cells_of_variant(variant_sql: str) -> Column:
-    """The cells array of an already parsed notebook (a VARIANT expression)."""
-    return F.expr(f"transform(try_variant_get({variant_sql}, '$.cells', 'array<variant>'), c -> {CELL_STRUCT})")
+def _large_cell(field: str, type_: str) -> str:
+    return from_json_sql("c", f"{field} {type_}") + f".{field}"
+
+
+LARGE_CELL = (
+    f"struct({_large_cell('cell_type', 'string')} AS kind, "
+    f"CASE WHEN {_large_cell('source', 'map<string,string>')} IS NULL THEN "
+    f"coalesce(array_join({_large_cell('source', 'array<string>')}, ''), {_large_cell('source', 'string')}) END AS source, "
+    f"coalesce({_large_cell('metadata', 'string')}, '{{}}') AS metadata)"
+)
+
+
+def cells_of_variant(variant_sql: str, raw_sql: str) -> Column:
+    """The cells array of a notebook, given as VARIANT (NULL where it can't hold it) and as text."""
+    small = f"transform(try_variant_get({variant_sql}, '$.cells', 'array<variant>'), c -> {CELL_STRUCT})"
+    large = f"transform({from_json_sql(raw_sql, 'cells array<string>')}.cells, c -> {LARGE_CELL})"
+    return F.expr(f"coalesce({small}, CASE WHEN {is_json_sql(raw_sql)} THEN {large} END)")
 
 
 def explodable(cells_col: str = "_cells") -> Column:
@@ -44,11 +61,22 @@ def explodable_notebooks(notebooks: DataFrame, id_col: str = "notebook_id", raw_
     parsed value twice, so the optimizer keeps the two projections apart.
     """
     kinds = ", ".join(f"'{k}'" for k in CELL_KINDS)
-    v = notebooks.select(F.col(id_col), F.try_parse_json(F.col(raw_col)).alias("_v"))
-    cells = cells_of_variant("_v")
+    v = notebooks.select(F.col(id_col), F.col(raw_col).alias("_raw"), F.try_parse_json(F.col(raw_col)).alias("_v"))
+    cells = cells_of_variant("_v", "_raw")
     ok = F.forall(F.coalesce(cells, F.array()), lambda c: c["kind"].isNotNull()
                   & (~c["kind"].isin(*CELL_KINDS) | c["source"].isNotNull()))
-    return v.select(F.col(id_col), (F.col("_v").isNotNull() & ok).alias("ok"))
+    return v.select(F.col(id_col), ((F.col("_v").isNotNull() | is_json("_raw")) & ok).alias("ok"))
+
+
+def rejected_notebooks(notebooks: DataFrame, id_col: str = "notebook_id", raw_col: str = "raw") -> DataFrame:
+    """(notebook_id, reason): one row for each notebook of which ``explode_cells`` has no row."""
+    staged = notebooks.select(F.col(id_col).alias("notebook_id"), F.col(raw_col).isNull().alias("_none"),
+                              is_json(raw_col).alias("_json"), parsed_cells(raw_col).alias("_cells"))
+    reason = (F.when(F.col("_cells").isNull(), F.when(F.col("_none"), "no_text").when(~F.col("_json"), "not_json").otherwise("no_cells_array"))
+              .when(F.exists("_cells", lambda c: c["kind"].isNull()), "missing_cell_type")
+              .when(F.exists("_cells", lambda c: c["kind"].isin(*CELL_KINDS) & c["source"].isNull()), "missing_source")
+              .when(~F.exists("_cells", lambda c: c["kind"].isin(*CELL_KINDS)), "no_kept_cell"))
+    return staged.select("notebook_id", reason.alias("reason")).filter(F.col("reason").isNotNull())
 
 
 def explode_cells(notebooks: DataFrame, id_col: str = "notebook_id", raw_col: str = "raw",
@@ -107,6 +135,6 @@ def normalise_drafts(drafts: DataFrame, task_col: str, text_col: str) -> DataFra
             F.lit("display_name"), F.lit("Python 3"), F.lit("language"), F.lit("python"),
             F.lit("name"), F.lit("python3"))).alias("metadata"),
         F.lit(4).alias("nbformat"), F.lit(4).alias("nbformat_minor")))
-    ok = F.try_parse_json(F.col(text_col)).isNotNull()
+    ok = is_json(text_col)
     return drafts.withColumn("notebook_json", F.when(ok, F.col(text_col)).otherwise(fallback)) \
                  .withColumn("is_fallback", ~ok)

@@ -80,8 +80,8 @@ def notebook_verdicts(notebooks: DataFrame, id_col: str = "notebook_id", raw_col
                               F.try_parse_json(F.col(raw_col)).alias("_v"))
     staged = parsed.select(
         "notebook_id",
-        is_json_object("_raw", "_v").alias("json_ok"),
-        cells_of_variant("_v").alias("_cells"),
+        is_json_object("_raw").alias("json_ok"),
+        cells_of_variant("_v", "_raw").alias("_cells"),
         "_raw",
     )
     staged = staged.select("notebook_id", "json_ok", F.when(F.col("json_ok"), missing_fields("_raw")).alias("missing_fields"),

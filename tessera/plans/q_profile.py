@@ -219,8 +219,7 @@ SELECT event_id, CASE WHEN json_valid(props) THEN json_extract(props, '$.k')::BI
        NOT json_valid(props) AS kept_raw FROM events""")
 def q_json_or_raw(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events")
-    v = F.try_parse_json("props")
-    return ev.select("event_id", F.try_variant_get(v, "$.k", "bigint").alias("k"), v.isNull().alias("kept_raw"))
+    return ev.select("event_id", jsonfn.bigint_field("props", "k").alias("k"), (~jsonfn.is_json("props")).alias("kept_raw"))
 
 
 @register("notebook_structure", """

@@ -1,4 +1,4 @@
-"""Dedup of long passages by a sparse suffix array.
+"""Dedup of long passages by sampled suffixes, sorted by the hash of their heads.
 
 Only suffixes at content-selected positions are retained: of all grams in a window of
 ``min_words`` words the smallest (its minimiser), so a passage that two documents share has

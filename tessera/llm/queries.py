@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, jaccard, language, licenses, lines, neighbours, packing, simhash, substring, suffixes
+from tessera.llm import bpe, centroids, jaccard, language, licenses, lines, neighbours, packing, simhash, substring, suffixes
 from tessera.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,33 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.line_dedup(read_table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def _centroid_sql(k: int = 16, rounds: int = 3) -> str:
+    nearest = ("SELECT vec_id, x, cluster, distance FROM (SELECT v.vec_id, v.x, c.cluster, "
+               "list_sum(list_transform(list_zip(v.x, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS distance FROM v, c{r} c) "
+               "QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, cluster) = 1")
+    steps = []
+    for r in range(rounds):
+        steps.append(f"a{r} AS ({nearest.format(r=r)})")
+        steps.append(f"m{r} AS (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM (SELECT cluster, i, sum(e)::HUGEINT AS s, count(*) AS n "
+                     f"FROM (SELECT cluster, unnest(x) AS e, generate_subscripts(x, 1) AS i FROM a{r}) GROUP BY cluster, i) GROUP BY cluster)")
+        steps.append(f"c{r + 1} AS (SELECT o.cluster, coalesce(m.c::BIGINT[], o.c) AS c FROM c{r} o LEFT JOIN m{r} m USING (cluster))")
+    return f"""
+WITH raw AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(embedding) = 64),
+v AS (SELECT vec_id, list_transform(e, lambda y: floor(64 * y)::BIGINT) AS x FROM raw
+      WHERE len(list_filter(e, lambda y: y IS NOT NULL AND isfinite(y))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id::VARCHAR)) - 1 AS cluster, x AS c FROM v QUALIFY cluster < {k}),
+{", ".join(steps)},
+f AS ({nearest.format(r=rounds)}),
+s AS (SELECT cluster, sum(distance)::BIGINT AS cluster_inertia FROM f GROUP BY cluster)
+SELECT vec_id, f.cluster::INT AS cluster, distance, cluster_inertia, (SELECT sum(distance)::BIGINT FROM f) AS inertia,
+       sha256(array_to_string(c.c, ',')) AS centroid_sha256
+FROM f JOIN s ON s.cluster = f.cluster JOIN c{rounds} c ON c.cluster = f.cluster"""
+
+
+@query("op11_centroid_clustering", _centroid_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = centroids.centroid_clusters(read_table(spark, sf_dir, "embeddings"))
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return out.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))

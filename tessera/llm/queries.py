@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, centroids, jaccard, language, licenses, lines, neighbours, packing, simhash, substring, suffixes
+from tessera.llm import bpe, centroids, jaccard, language, licenses, lines, neighbours, packing, pages, simhash, substring, suffixes
 from tessera.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,9 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = centroids.centroid_clusters(read_table(spark, sf_dir, "embeddings"))
     digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
     return out.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+@query("op12_html_extraction")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pages.extract_pages(read_table(spark, sf_dir, "pages"), keep=("url",))
+    return out.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks", "n_kept")

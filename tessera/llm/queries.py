@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, centroids, jaccard, language, licenses, lines, neighbours, packing, pages, simhash, substring, suffixes
+from tessera.llm import bpe, centroids, collocations, jaccard, language, licenses, lines, neighbours, packing, pages, simhash, substring, suffixes
 from tessera.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +148,22 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pages.extract_pages(read_table(spark, sf_dir, "pages"), keep=("url",))
     return out.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks", "n_kept")
+
+
+@query("op13_phrase_collocations", """
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS words FROM pieces),
+places AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS p FROM w WHERE len(words) > 0),
+f AS (SELECT lang, k, array_to_string(words[p:p + k - 1], ' ') AS phrase, count(*) AS f FROM places, range(1, 6) t(k) WHERE p + k - 1 <= len(words) GROUP BY ALL HAVING count(*) >= 100),
+totals AS (SELECT lang, count(*) AS n FROM places GROUP BY lang),
+c AS (SELECT lang, phrase, f AS a, k, string_split(phrase, ' ') AS words FROM f WHERE k > 1),
+cuts AS (SELECT c.lang, c.phrase, a, j, x.f AS l, y.f AS r, n, (1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS score
+  FROM c JOIN range(1, 5) t(j) ON j < k JOIN totals ON totals.lang = c.lang
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(words[1:j], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(words[j + 1:], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+parts AS (SELECT lang, array_to_string(words[i:i + m - 1], ' ') AS phrase, max(a) AS longer FROM c, range(2, 5) t(m), range(1, 5) u(i) WHERE m < k AND i + m - 1 <= k GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN parts p ON p.lang = b.lang AND p.phrase = b.phrase WHERE longer IS NULL OR 100 * longer < 100 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM kept QUALIFY rank <= 2000""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))

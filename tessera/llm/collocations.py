@@ -46,11 +46,11 @@ from tessera.llm.common import OUT_ROWS, mix, one_row_per_id, q, written
 from tessera.operators.topk import top_k_per_group
 
 #: characters of text whose suffixes make one bucket, and slots in a bucket
-BUCKET_CHARS, SLOTS = 6 << 20, 4
+BUCKET_CHARS, SLOTS = 4 << 20, 4
 #: the share of all suffixes above which a slot is dealt out by all words is at least 1 in this
 MOST_SLOTS = 4_000_000
 #: bytes of text handled at a time
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 # Bytes that separate words, bytes that end a piece, and A-Z in lower case.
 BLANK, BREAK = b"\x20\x09", b".,;:!?\x0A\x0B\x0C\x0D"
@@ -234,16 +234,18 @@ def routed(docs: DataFrame, longest: int, buckets: int, hot: np.ndarray) -> Data
             line[np.arange(lengths.sum()) + np.repeat(np.arange(len(lengths)), lengths)] = words.letters
             begin = behind[at] - lengths[at] - 1
             end = behind[at + (columns[:, at] > 0).sum(axis=0) - 1]
-            ends = np.cumsum(end - begin)
-            text = line[np.arange(ends[-1]) + np.repeat(begin - np.concatenate(([0], ends[:-1])), end - begin)]
-            text[ends - 1] = 10
             first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
             last = np.append(first[1:], len(bucket))
-            low, high = np.concatenate(([0], ends))[first], ends[last - 1]
-            count = count.astype("<u4")
-            blobs = [pa.compress(text[a:b].tobytes(), codec="zstd", asbytes=True) for a, b in zip(low, high)]
-            counts = [pa.compress(count[a:b].tobytes(), codec="zstd", asbytes=True) for a, b in zip(first, last)]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.repeat(lang, len(first)), pa.array(high - low), pa.array(blobs, pa.binary()), pa.array(counts, pa.binary())], names=names)
+            sizes, blobs, counts = [], [], []
+            for low, high in zip(first.tolist(), last.tolist()):
+                long = end[low:high] - begin[low:high]
+                ends = np.cumsum(long)
+                text = line[np.arange(ends[-1]) + np.repeat(begin[low:high] - ends + long, long)]
+                text[ends - 1] = 10
+                sizes.append(len(text))
+                blobs.append(pa.compress(text.tobytes(), codec="zstd", asbytes=True))
+                counts.append(pa.compress(count[low:high].astype("<u4").tobytes(), codec="zstd", asbytes=True))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.repeat(lang, len(first)), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary()), pa.array(counts, pa.binary())], names=names)
 
     return docs.select("lang", "text").mapInArrow(run, "bucket bigint, lang string, size bigint, suffixes binary, counts binary")
 

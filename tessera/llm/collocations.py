@@ -4,16 +4,17 @@ Phrases of two to ``longest`` words are counted by a multikey quicksort of suffi
 suffix is a place in a text and the up to ``longest`` words from there to the end of its piece.
 
 1. A first pass counts words per language, and suffixes per slot, a slot being a hash of the
-   language and the two leading words.
+   language and the leading words: of two, of three and so on.
 2. A second pass sorts each slice's suffixes, sends equal ones as one with a count, and routes
-   them globally by slot to buckets.
+   them globally by their slots of two leading words to buckets.
 3. A bucket holds all suffixes of its leading words.  Its pointers are partitioned three ways
    around the middle pointer's word, all open partitions of a round side by side: the smaller
    and the greater part stay at their word, the equal part goes on to the next word, and its
    size is the count of the words passed.  A part with fewer than ``least`` suffixes holds no
    frequent phrase and is abandoned at once.
-4. Slots with more than half of a bucket's share of all suffixes are dealt out by all their
-   words instead; their buckets pass on every count, which are added up by phrase.
+4. Where a slot holds more than a bucket's share of all suffixes, they are routed by one leading
+   word more, and so on up to all words.  Buckets pass on their counts of the phrases that
+   are shorter than what they are routed by, and these are added up by phrase.
 
 Scores join the counts of a phrase's parts; products are decimals of 38 digits, the floor is
 exact.  A part of a frequent phrase is frequent, so no count is missing.
@@ -26,7 +27,7 @@ of other names are not read.  Texts longer than a slice are cut between words, a
 followed by the words that its last suffixes need.
 
 The driver gets one number (characters in all) and the list of the slots above, of which there
-are at most two for each bucket and MOST_SLOTS in all, whatever the data.
+are at most one for each bucket and number of words, and MOST_SLOTS of each, whatever the data.
 """
 
 from __future__ import annotations
@@ -46,8 +47,8 @@ from tessera.llm.common import OUT_ROWS, mix, one_row_per_id, q, written
 from tessera.operators.topk import top_k_per_group
 
 #: characters of text whose suffixes make one bucket, and slots in a bucket
-BUCKET_CHARS, SLOTS = 4 << 20, 4
-#: the share of all suffixes above which a slot is dealt out by all words is at least 1 in this
+BUCKET_CHARS, SLOTS = 4 << 20, 16
+#: the share of all suffixes above which a slot is routed by a word more is at least 1 in this
 MOST_SLOTS = 4_000_000
 #: bytes of text handled at a time
 SLICE = 2 << 20
@@ -154,10 +155,14 @@ def runs(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[tuple[str,
             yield from of(lang, b"\n".join(parts))
 
 
-def slots_of(lang: str, first: np.ndarray, second: np.ndarray, slots: int) -> np.ndarray:
-    """Slots of suffixes from the hashes of their two leading words."""
-    own = np.uint64(xxhash.xxh3_64_intdigest(lang.encode()))
-    return (mix(first * np.uint64(0x9E3779B97F4A7C15) + second * np.uint64(0xC2B2AE3D27D4EB4F) + own) % np.uint64(slots)).astype(np.int64)
+def slots_of(lang: str, leading: np.ndarray, hashes: np.ndarray, slots: int) -> Iterator[np.ndarray]:
+    """The slots of suffixes by their first two words, by three, and so on; row j of ``leading`` has the
+    numbers plus 1 of their j-th words, 0 for none."""
+    hashes = np.concatenate([np.zeros(1, np.uint64), hashes])
+    passed = mix(hashes[leading[0]] + np.uint64(xxhash.xxh3_64_intdigest(lang.encode())))
+    for words, column in enumerate(leading[1:]):
+        passed = mix(passed + hashes[column])
+        yield (passed % np.uint64(slots)).astype(np.int64) + words * slots
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,10 +193,10 @@ def first_pass(docs: DataFrame, longest: int, slots: int) -> DataFrame:
         for lang, words, own in runs(batches, longest):
             count = np.bincount(words.ids[:own], minlength=len(words.names))
             held.append(pa.table({"lang": pa.repeat(lang, len(count)), "word": words.names, "n": count}).filter(pa.array(count > 0)))
-            two = words.suffixes(own, 2)
-            at = np.flatnonzero(two[1])
-            h = words.hashes()
-            cells.append(summed(slots_of(lang, h[two[0][at] - 1], h[two[1][at] - 1], slots), np.ones(len(at), np.int64)))
+            leading = words.suffixes(own, longest - 1)
+            leading = leading[:, leading[1] > 0] if longest > 2 else leading[:, :0]
+            for slot in slots_of(lang, leading, words.hashes(), slots):
+                cells.append(np.unique(slot, return_counts=True))
             if sum(t.num_rows for t in held) + sum(len(c[0]) for c in cells) > 4 * OUT_ROWS:
                 held[:] = [words_held()] if held else []
                 cells[:] = [summed(np.concatenate([c[0] for c in cells]), np.concatenate([c[1] for c in cells]))]
@@ -204,7 +209,7 @@ def first_pass(docs: DataFrame, longest: int, slots: int) -> DataFrame:
 
 def routed(docs: DataFrame, longest: int, buckets: int, hot: np.ndarray) -> DataFrame:
     """(bucket, lang, size, suffixes, counts): a slice's different suffixes of a bucket, one a line,
-    and how often each occurs; from number ``buckets`` on the buckets of hot slots."""
+    and how often each occurs.  The first ``buckets`` buckets are of slots of two words, and so on."""
     names = ["bucket", "lang", "size", "suffixes", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,17 +219,13 @@ def routed(docs: DataFrame, longest: int, buckets: int, hot: np.ndarray) -> Data
             if not len(some):
                 continue
             place, count = distinct(columns[:, some], len(words.names))
-            at, h = some[place], words.hashes()
-            h = np.concatenate([h, np.zeros(1, np.uint64)])  # the last stands for no word
-            leading = columns[:, at] - 1
-            slot = slots_of(lang, h[leading[0]], h[leading[1]], buckets * SLOTS)
-            bucket = slot // SLOTS
-            split = np.isin(slot, hot)
-            if split.any():
-                whole = h[leading[0][split]]
-                for word in leading[1:, split]:
-                    whole = mix(whole + h[word])
-                bucket[split] = buckets + (whole % np.uint64(buckets)).astype(np.int64)
+            at = some[place]
+            leading = columns[:, at]
+            level, bucket = np.full(len(at), 2), np.empty(len(at), np.int64)
+            for by, slot in enumerate(slots_of(lang, leading, words.hashes(), buckets * SLOTS), 2):
+                here = level == by
+                bucket[here] = slot[here] // SLOTS
+                level[here & np.isin(slot, hot)] += 1
             order = np.argsort(bucket, kind="stable")
             at, count, bucket = at[order], count[order], bucket[order]
             # the words one after the other with a space behind each; a suffix is a stretch of that
@@ -250,12 +251,12 @@ def routed(docs: DataFrame, longest: int, buckets: int, hot: np.ndarray) -> Data
     return docs.select("lang", "text").mapInArrow(run, "bucket bigint, lang string, size bigint, suffixes binary, counts binary")
 
 
-def frequent_prefixes(words: np.ndarray, weights: np.ndarray, group: np.ndarray, least: int, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def frequent_prefixes(words: np.ndarray, weights: np.ndarray, group: np.ndarray, least: int, level: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(suffix, number of words, count) for every prefix of two or more words with ``least`` suffixes
     within its group, one of them named; words[j] holds the j-th word of every suffix, 0 for none.
+    Of prefixes with fewer than ``level`` words every one is given, as others count them as well.
 
     Multikey three-way quicksort of the pointers to the suffixes, all partitions side by side.
-    With ``whole`` partitions below ``least`` are abandoned; otherwise every prefix is given.
     """
     longest = len(words)
     pointers = np.argsort(group, kind="stable")
@@ -288,15 +289,15 @@ def frequent_prefixes(words: np.ndarray, weights: np.ndarray, group: np.ndarray,
         depth = depth[some // 3] + equal
         word = words[depth - 1, pointers[begin]]
         ends = equal & (word == 0)
-        report = equal & ~ends & (depth >= 2) & ((weight >= least) | (not whole))
+        frequent = weight >= least
+        report = equal & ~ends & (depth >= 2) & (frequent | (depth < level))
         found.append((pointers[begin[report]], depth[report], weight[report]))
-        stays = ~ends & (depth < longest) & ((weight >= least) | (not whole))
-        if not whole:  # single suffixes: all their prefixes at once
+        stays = ~ends & (depth < longest) & (frequent | (np.maximum(depth, 1) < level - 1))
+        if level > 2:  # single suffixes: all their prefixes at once
             alone = stays & (sizes == 1)
             at, d, w = pointers[begin[alone]], depth[alone], weight[alone]
-            for more in range(1, longest + 1):
-                good = (d < more) & (more >= 2)
-                good[good] = words[more - 1, at[good]] > 0
+            for more in range(2, longest + 1):
+                good = (d < more) & (words[more - 1, at] > 0) & ((w >= least) | (more < level))
                 found.append((at[good], np.full(good.sum(), more), w[good]))
             stays &= ~alone
         pointers = pointers[np.repeat(stays, sizes)]
@@ -310,7 +311,7 @@ PHRASES = "lang string, phrase string, n_words int, n bigint, whole boolean"
 def count_bucket(longest: int, buckets: int, least: int):
     """Counts the phrases of a bucket from its rows of ``routed``."""
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        whole = key[0].as_py() < buckets
+        level = key[0].as_py() // buckets + 2
         langs = sorted(set(table["lang"].to_pylist()))
         number = {x: i for i, x in enumerate(langs)}
         blobs, weights, of = [], [], []
@@ -334,11 +335,11 @@ def count_bucket(longest: int, buckets: int, least: int):
         for j in range(longest):
             has = first + j <= last
             words[j, has] = ids[(first + j)[has]] + 1
-        at, many, count = frequent_prefixes(words, weights, of, least, whole)
+        at, many, count = frequent_prefixes(words, weights, of, least, level)
         begin, end = ends[first[at]] - lengths[first[at]], ends[first[at] + many - 1]
         phrases = [text[a:b].tobytes().decode() for a, b in zip(begin.tolist(), end.tolist())]
         return pa.table({"lang": pa.array([langs[i] for i in of[at].tolist()], pa.string()), "phrase": pa.array(phrases, pa.string()), "n_words": pa.array(many, pa.int32()),
-                         "n": pa.array(count, pa.int64()), "whole": pa.array(np.full(len(at), whole))})
+                         "n": pa.array(count, pa.int64()), "whole": pa.array(many >= level)})
     return run
 
 
@@ -352,9 +353,9 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int) -> tuple[DataFra
     words = first.filter("slot is null").select("lang", F.col("word").cast("string").alias("phrase"), F.lit(1).alias("n_words"), "n")
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     slots = first.filter("slot is not null")
-    total = slots.agg(F.sum("n")).first()[0] or 0
-    over = max(total / (2 * buckets), total / MOST_SLOTS, least)
-    hot = np.array([r.slot for r in slots.filter(F.col("n") > over).select("slot").collect()], np.int64)  # at most total / over
+    total = (slots.agg(F.sum("n")).first()[0] or 0) / max(1, longest - 2)
+    over = max(total / buckets, total / MOST_SLOTS, least)  # suffixes of each number of words
+    hot = np.array([r.slot for r in slots.filter(F.col("n") > over).select("slot").collect()], np.int64)  # at most total / over for each
     counted = written(routed(docs, longest, buckets, hot).groupBy("bucket").applyInArrow(count_bucket(longest, buckets, least), PHRASES), "phrases")
     parts = counted.filter("not whole").groupBy("lang", "phrase", "n_words").agg(F.sum("n").alias("n"))
     phrases = counted.filter("whole").drop("whole").unionByName(parts).unionByName(words)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import norm
-from tessera.operators import collapse, knn
+from tessera.operators import collapse, knn, vector_index
 from tessera.plans.catalog import r6, register
-from tessera.session import read_table
+from tessera.session import read_table, scratch_path
 
 # DuckDB: unit rows -> per-label mean -> re-normalised mean vector.
 MEANS_SQL = """unit AS (
@@ -144,3 +144,22 @@ def q_dual_search(spark, sf_dir):
     session, long_term = _session_split(emb)
     res = knn.dual_search(session, long_term, _centroid_queries(spark, sf_dir), k=5)
     return res.select(F.col("qid").cast("int").alias("qid"), "vec_id", r6("dist").alias("dist"), "rank", "tier")
+
+
+def _embedding_queries(emb):
+    """Every row whose id is divisible by 20 asks for its neighbours."""
+    return emb.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+
+
+@register("vector_index_search", f"""
+WITH m AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS mean FROM embeddings WHERE vec_id % 20 = 0),
+d AS (SELECT m.qid, e.vec_id, {L2_SQL} AS dist FROM m, embeddings e),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS rank FROM d)
+SELECT qid, vec_id, round(dist, 6) AS dist, rank FROM r WHERE rank <= 10""")
+def q_vector_index_search(spark, sf_dir):
+    """S11 + R3: index of all embeddings, exact 10 nearest of every 20th row by pruned reads."""
+    emb = read_table(spark, sf_dir, "embeddings")
+    path = scratch_path(spark, "vector-index")
+    vector_index.build(emb, path)
+    res = vector_index.search(spark, path, _embedding_queries(emb), k=10)
+    return res.select("qid", "vec_id", r6("dist").alias("dist"), "rank")

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.text import like_literal
+from tessera.operators import postings
 from tessera.operators.topk import smallest_n, top_k_per_group
-from tessera.session import BROADCAST_MAX_ROWS, cut_lineage, fits
+from tessera.session import cut_lineage
 
 NODE_SCHEMA = T.StructType([
     T.StructField("id", T.LongType(), False), T.StructField("type", T.StringType(), False),
@@ -71,34 +72,20 @@ def retrieve(nodes: DataFrame, query: str, k: int = 5) -> DataFrame:
 
 
 def retrieve_batch(nodes: DataFrame, terms: DataFrame, k: int = 5, term_col: str = "term",
-                   max_terms: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                   stored: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """G3 for a table of search terms: top-k newest matching nodes per term.
 
-    A substring match has no equi-key, so terms are broadcast (never the
-    nodes) and matched on the node side.  Up to ``max_terms`` terms go in one
-    block; a larger term table is hashed into blocks of that size, each block
-    size-checked, broadcast and matched in its own pass over the nodes.
-    Matches are ranked per term with the salted two-stage top-k.
+    Terms meet nodes through the postings of their rarest gram (``operators.postings``; ``stored``
+    are those of ``postings.load``, otherwise they are made for the terms' grams).  Matching ids
+    are ranked per term with the salted top-k before the winners' columns are read.
     """
-    t = terms.select(F.col(term_col).alias("term"))
-    if fits(t, max_terms):
-        blocks = [t]
-    else:
-        n_blocks = -(-t.count() // max_terms)
-        blocks = [t.filter(F.pmod(F.xxhash64("term"), F.lit(n_blocks)) == b) for b in range(n_blocks)]
-    hits = None
-    for block in blocks:
-        if not fits(block, 2 * max_terms):
-            raise ValueError("search-term block exceeds its size bound")
-        pats = F.broadcast(block.withColumn("_pat", F.concat(
-            F.lit("%"), F.replace(F.col("term"), F.lit("\\"), F.lit("\\\\")), F.lit("%"))))
-        h = nodes.join(pats, F.ilike(F.col("content"), F.col("_pat"))).drop("_pat")
-        hits = h if hits is None else hits.unionByName(h)
+    found = postings.matches(nodes, terms.select(F.col(term_col).alias("term")), stored, carry=("created_at",))
     # Matches are written once (reliable checkpoint): the ranking below reads
     # them twice (largest-term count, then the salted levels it plans).
-    hits = cut_lineage(hits)
+    found = cut_lineage(found)
     order = [F.desc_nulls_last("created_at"), F.desc("id")]
-    return top_k_per_group(hits, ["term"], order, k, rows_per_group="auto", salt_cols=["term", "id"])
+    best = top_k_per_group(found, ["term"], order, k, rows_per_group="auto", salt_cols=["term", "id"])
+    return best.select("term", "id", "rank").join(nodes, "id")
 
 
 def neighbors(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None,

@@ -215,29 +215,68 @@ def _probes(queries: DataFrame, centroids: np.ndarray, sizes: np.ndarray, low: n
 HITS = "qid bigint, vec_id bigint, dist double, tested bigint"
 
 
+def _block_hits(x: np.ndarray, ids: np.ndarray, away: np.ndarray, q: np.ndarray, at: np.ndarray, within: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, distance) of all rows that can be among the k nearest of a block for its queries, and
+    the rows compared per query.  A matrix product with a known rounding slack rules rows out;
+    what is left is compared by its exact distance."""
+    centre = x.mean(axis=0)
+    y, p = x - centre, q - centre
+    size = (p * p).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :]
+    rough = size - 2.0 * (p @ y.T)
+    slack = 64 * np.finfo(float).eps * size * x.shape[1]
+    open_ = np.abs(at[:, None] - away[None, :]) <= (within * (1 + SLACK) + SLACK * (1 + at))[:, None]
+    kth = np.partition(np.where(open_, rough + slack, np.inf), k - 1, axis=1)[:, k - 1] if k < len(ids) else np.full(len(q), np.inf)
+    bound = np.minimum(kth, within * within * (1 + SLACK))
+    i, j = np.nonzero(open_ & (rough - slack <= bound[:, None]))
+    d = np.empty(len(i))
+    for start in range(0, len(i), 1 << 16):
+        a, b = i[start:start + (1 << 16)], j[start:start + (1 << 16)]
+        d[start:start + (1 << 16)] = np.sqrt(((x[b] - q[a]) ** 2).sum(axis=1))
+    return i, ids[j], d, open_.sum(axis=1)
+
+
+def _nearest(qid: np.ndarray, ids: np.ndarray, d: np.ndarray, tested: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The k nearest rows of each query; the first carries how many were compared."""
+    order = np.lexsort((ids, d, qid))
+    qid, ids, d, tested = qid[order], ids[order], d[order], tested[order]
+    first = np.flatnonzero(np.concatenate(([True], qid[1:] != qid[:-1]))) if len(qid) else np.empty(0, int)
+    long = np.diff(np.append(first, len(qid)))
+    rank = np.arange(len(qid)) - np.repeat(first, long)
+    sums = np.add.reduceat(tested, first) if len(first) else tested
+    keep = rank < k
+    return qid[keep], ids[keep], d[keep], np.where(rank == 0, np.repeat(sums, long), 0)[keep]
+
+
+#: hits that a task holds before it keeps only the nearest of each query
+HELD = 500_000
+
+
 def _hits(pairs: DataFrame, dims: int, k: int) -> DataFrame:
-    """The k nearest rows of each block for each of its queries; ``tested`` counts the rows compared."""
+    """The k nearest rows that a task has seen for each of its queries; ``tested`` counts the rows compared."""
+    names = ["qid", "vec_id", "dist", "tested"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        n = 0
         for batch in batches:
             for row in range(batch.num_rows):
                 ids, away, vectors, asked = (batch.column(i)[row].values for i in range(4))
-                ids, away = ids.to_numpy(), away.to_numpy()
-                x = vectors.to_numpy().reshape(-1, dims)
                 qid, at, within = (asked.field(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3))
                 q = asked.field(1).flatten().to_numpy().reshape(-1, dims)
-                i, j = np.nonzero(np.abs(at[:, None] - away[None, :]) <= (within * (1 + SLACK) + SLACK * (1 + at))[:, None])
-                d = np.empty(len(i))
-                for start in range(0, len(i), 1 << 16):
-                    a, b = i[start:start + (1 << 16)], j[start:start + (1 << 16)]
-                    d[start:start + (1 << 16)] = np.sqrt(((x[b] - q[a]) ** 2).sum(axis=1))
-                order = np.lexsort((ids[j], d, i))
-                i, j, d = i[order], j[order], d[order]
+                i, hit, d, tested = _block_hits(vectors.to_numpy().reshape(-1, dims), ids.to_numpy(), away.to_numpy(), q, at, within, k)
+                counted = np.zeros(len(i), np.int64)
                 first = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1]))) if len(i) else np.empty(0, int)
-                tested = np.diff(np.append(first, len(i)))
-                rank = np.arange(len(i)) - np.repeat(first, tested)
-                keep = rank < k
-                counted = np.where(rank == 0, np.repeat(tested, tested), 0)
-                yield pa.RecordBatch.from_arrays([pa.array(qid[i[keep]]), pa.array(ids[j[keep]]), pa.array(d[keep]), pa.array(counted[keep])], names=["qid", "vec_id", "dist", "tested"])
+                counted[first] = tested[i[first]]
+                held.append(_nearest(qid[i], hit, d, counted, k))
+                n += len(held[-1][0])
+                if n > HELD:
+                    held = [_nearest(*(np.concatenate(c) for c in zip(*held)), k)]
+                    n = len(held[0][0])
+                    if n > HELD // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], names=names)
+                        held, n = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in _nearest(*(np.concatenate(c) for c in zip(*held)), k)], names=names)
     return pairs.select("ids", "distances", "vectors", "asked").mapInArrow(run, HITS)
 
 

@@ -1,42 +1,46 @@
 """Exact-size sampling: uniform (M1), length-weighted (M2), stratified (M3).
 
 All draws use a per-row md5 key, so they are deterministic, identical in
-Spark and DuckDB, and need no shuffle beyond the final top-n merge.
+Spark and DuckDB.  The rows with the smallest keys are found by ``operators.threshold``:
+one path for every n and any stratum, without ordering rows.  Rows with equal keys (equal
+ids) go by the id, an id that is not a whole number by its hash.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import hashkey, weighted_key
-from tessera.operators.topk import smallest_n, top_k_per_group
-from tessera.session import BROADCAST_MAX_ROWS
+from tessera.operators import threshold
 
 WEIGHT_FLOOR = 1e-3  # added to every length so empty rows can still be drawn
 
 
-def with_key(df: DataFrame, id_col: str, seed: int = 42, weight_col: str | None = None) -> DataFrame:
+def key(id_col: str, seed: int = 42, weight_col: str | None = None) -> Column:
     if weight_col is None:
-        return df.withColumn("_key", hashkey(id_col, seed).cast("double"))
+        return hashkey(id_col, seed).cast("double")
     w = F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)) + F.lit(WEIGHT_FLOOR)
-    return df.withColumn("_key", weighted_key(id_col, w, seed))
+    return weighted_key(id_col, w, seed)
+
+
+def _ident(df: DataFrame, id_col: str) -> Column:
+    whole = df.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    return F.col(id_col).cast("bigint") if whole else F.xxhash64(id_col)
 
 
 def sample_uniform(df: DataFrame, n: int | None, id_col: str, seed: int = 42) -> DataFrame:
     """Exactly min(n, rows) rows without replacement; ``None`` keeps all rows."""
     if n is None:
         return df
-    keyed = with_key(df, id_col, seed)
-    return smallest_n(keyed, ["_key", id_col], n, key_col="_key").drop("_key")
+    return threshold.smallest(df, n, key(id_col, seed), _ident(df, id_col))
 
 
 def sample_weighted(df: DataFrame, n: int | None, id_col: str, weight_col: str, seed: int = 42) -> DataFrame:
     """Weighted draw without replacement, weight = length + 1e-3 (null length = 0)."""
     if n is None:
         return df
-    keyed = with_key(df, id_col, seed, weight_col)
-    return smallest_n(keyed, ["_key", id_col], n, key_col="_key").drop("_key")
+    return threshold.smallest(df, n, key(id_col, seed, weight_col), _ident(df, id_col))
 
 
 def sample_stratified(df: DataFrame, n: int | None, id_col: str, stratum_col: str, seed: int = 42) -> DataFrame:
@@ -47,32 +51,28 @@ def sample_stratified(df: DataFrame, n: int | None, id_col: str, stratum_col: st
     """
     if n is None:
         return df
-    stats = df.agg(F.count(F.lit(1)).alias("rows"),
-                   F.count_distinct(F.col(stratum_col)).alias("strata"),
-                   F.max(F.col(stratum_col).isNull().cast("int")).alias("has_null")).first()
+    by = "_stratum"
+    own, ident = key(id_col, seed), _ident(df, id_col)
+    rows = threshold._written(df.select(F.col(stratum_col).alias(by), own.alias("_key"), ident.alias("_id")), "keys")
+    counts = rows.groupBy(by).count()
+    stats = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("rows"), F.count("*").alias("strata")).first()
     if stats["rows"] <= n:
         return df
-    strata = int(stats["strata"]) + int(stats["has_null"] or 0)
-    if strata <= 1:
+    if stats["strata"] <= 1:
         return sample_uniform(df, n, id_col, seed)
-    quota = max(1, n // strata)
-    keyed = with_key(df, id_col, seed)
-    # Per-stratum cut: the quota-th smallest key (exact, skew-safe two-stage rank).
-    cut = (top_k_per_group(keyed.filter(F.col(stratum_col).isNotNull()).select(stratum_col, "_key", id_col),
-                           [stratum_col], ["_key", id_col], quota, rank_col="_rank", rows_per_group="auto")
-           .groupBy(stratum_col)
-           .agg(F.max(F.struct("_key", id_col)).alias("_cut")))
-    # One cut row per stratum: the stratum count above is the size proof.
-    cut = F.broadcast(cut) if strata <= BROADCAST_MAX_ROWS else cut
-    marked = keyed.join(cut, on=stratum_col, how="left").withColumn(
-        "_chosen", F.coalesce(F.struct("_key", id_col) <= F.col("_cut"), F.lit(False)))
-    chosen = marked.filter("_chosen")
-    n_chosen = chosen.count()
-    parts = [chosen]
-    if n_chosen < n:
-        rest = marked.filter(~F.col("_chosen"))
-        parts.append(smallest_n(rest, ["_key", id_col], n - n_chosen, key_col="_key"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.drop("_key", "_cut", "_chosen")
+    quota = max(1, n // stats["strata"])
+    cut = threshold.cuts(rows.filter(F.col(by).isNotNull()), [by], quota)
+    n_chosen = counts.filter(F.col(by).isNotNull()).agg(F.sum(F.least(F.lit(quota), "count"))).first()[0] or 0
+    marked = threshold.within(rows, cut, [by], F.col("_key"), F.col("_id"))
+    rest = marked.filter("not _taken").select(F.lit(0).alias(threshold.ALL), "_key", "_id")
+    more = threshold.cuts(rest, [threshold.ALL], n - n_chosen).drop(threshold.ALL).first() if n_chosen < n else None
+    out = threshold.within(df.withColumn(by, F.col(stratum_col)), cut, [by], own, ident)
+    if more is None:
+        taken = F.col("_taken")
+    elif more["cut_key"] is None:
+        taken = F.lit(True)
+    else:
+        taken = F.col("_taken") | (own < more["cut_key"]) | ((own == more["cut_key"]) & (ident <= more["cut_id"]))
+    return out.filter(taken).select([F.col(f"`{c}`") for c in df.columns])
+
+

@@ -26,7 +26,7 @@ def register(name: str, sql: str | None = None):
 
 def _load_all() -> None:
     # Import for side effects: each module registers its queries.
-    from tessera.plans import q_validation, q_profile, q_sampling, q_graph, q_vectors, q_topology, q_misc  # noqa: F401
+    from tessera.plans import q_validation, q_profile, q_sampling, q_graph, q_vectors, q_topology, q_training, q_misc  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

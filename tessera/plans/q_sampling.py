@@ -53,3 +53,17 @@ UNION ALL SELECT event_id, event_type FROM rest WHERE rn2 <= 2000 - (SELECT coun
 def q_sample_stratified_events(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events").select("event_id", "event_type")
     return sampling.sample_stratified(ev, 2000, "event_id", "event_type")
+
+
+@register("sample_third_of_documents", f"""
+WITH k AS (SELECT doc_id, lang, {HASH_SQL.format(c='doc_id')} AS h FROM documents),
+q AS (SELECT count(*) // 3 AS n, greatest(1, (count(*) // 3) // (count(DISTINCT lang) + max(CASE WHEN lang IS NULL THEN 1 ELSE 0 END))) AS quota FROM documents),
+r AS (SELECT k.*, row_number() OVER (PARTITION BY lang ORDER BY h, doc_id) AS rn FROM k),
+chosen AS (SELECT doc_id, lang FROM r WHERE lang IS NOT NULL AND rn <= (SELECT quota FROM q)),
+rest AS (SELECT doc_id, lang, row_number() OVER (ORDER BY h, doc_id) AS rn2 FROM r WHERE lang IS NULL OR rn > (SELECT quota FROM q))
+SELECT doc_id, lang FROM chosen
+UNION ALL SELECT doc_id, lang FROM rest WHERE rn2 <= (SELECT n FROM q) - (SELECT count(*) FROM chosen)""")
+def q_sample_third_of_documents(spark, sf_dir):
+    """M3: a third of all documents, stratified by language: a quota that grows with the table."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return sampling.sample_stratified(docs, docs.count() // 3, "doc_id", "lang")

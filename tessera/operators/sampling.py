@@ -64,8 +64,10 @@ def sample_stratified(df: DataFrame, n: int | None, id_col: str, stratum_col: st
     cut = threshold.cuts(rows.filter(F.col(by).isNotNull()), [by], quota)
     n_chosen = counts.filter(F.col(by).isNotNull()).agg(F.sum(F.least(F.lit(quota), "count"))).first()[0] or 0
     marked = threshold.within(rows, cut, [by], F.col("_key"), F.col("_id"))
-    rest = marked.filter("not _taken").select(F.lit(0).alias(threshold.ALL), "_key", "_id")
-    more = threshold.cuts(rest, [threshold.ALL], n - n_chosen).drop(threshold.ALL).first() if n_chosen < n else None
+    more = None
+    if n_chosen < n:
+        rest = threshold._written(marked.filter("not _taken").select(F.lit(0).alias(threshold.ALL), "_key", "_id"), "rest")
+        more = threshold.cuts(rest, [threshold.ALL], n - n_chosen).first()  # one row
     out = threshold.within(df.withColumn(by, F.col(stratum_col)), cut, [by], own, ident)
     if more is None:
         taken = F.col("_taken")

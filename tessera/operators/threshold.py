@@ -85,6 +85,10 @@ def within(df: DataFrame, cut: DataFrame, groups: list[str], key: Column, ident:
 def smallest(df: DataFrame, n: int, key: Column, ident: Column) -> DataFrame:
     """The ``n`` rows with the smallest (key, id)."""
     rows = _written(df.select(F.lit(0).alias(ALL), key.cast("double").alias("_key"), ident.cast("bigint").alias("_id")), "keys")
-    cut = cuts(rows, [ALL], n)
-    out = within(df.withColumn(ALL, F.lit(0)), cut, [ALL], key.cast("double"), ident.cast("bigint"))
-    return out.filter("_taken").select([F.col(f"`{c}`") for c in df.columns])
+    cut = cuts(rows, [ALL], n).first()  # one row
+    if cut is None:
+        return df.limit(0)
+    if cut["cut_key"] is None:
+        return df
+    value, own = key.cast("double"), ident.cast("bigint")
+    return df.filter((value < cut["cut_key"]) | ((value == cut["cut_key"]) & (own <= cut["cut_id"])))

@@ -26,7 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.graphalgo import spanning_forest
+from tessera.operators import rips
+from tessera.operators.graphalgo import connected_components, spanning_forest
 from tessera.session import checked_broadcast, cut_lineage
 
 BLOCK_ROWS = 2048
@@ -167,6 +168,22 @@ def h0_diagram(points: DataFrame, eps: float, group_col: str = "grp", id_col: st
     return finite.unionByName(inf_bars), sig
 
 
+def rips_signature(points: DataFrame, eps: float, group_col: str = "grp", id_col: str = "id", vec_col: str = "vec",
+                   block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(grp, n_points, beta0, beta1) of the Rips complex at ε: beta1 counts its holes over Z2
+    (``operators.rips``), where ``h0_diagram`` reports the graph's cycle rank."""
+    pts = points.select(F.col(group_col).cast("bigint").alias("grp"), F.col(id_col).cast("bigint").alias("id"),
+                        F.col(vec_col).cast("array<double>").alias("vec"))
+    single = cut_lineage(rips.distinct_points(pts))
+    edges = cut_lineage(eps_edges(single, eps, block_rows=block_rows))
+    holes = rips.betti1(edges)
+    sizes = pts.filter("grp is not null and id is not null and vec is not null").groupBy("grp").agg(F.count("*").alias("n_points"))
+    of = lambda c: F.struct("grp", F.col(c).alias("id"))
+    comps = connected_components(single.select(of("id").alias("id")), edges.select(of("u").alias("src"), of("v").alias("dst")))
+    parts = comps.groupBy(F.col("id.grp").alias("grp")).agg(F.count_if(F.col("id") == F.col("comp")).alias("beta0"))
+    return sizes.join(parts, "grp").join(holes, "grp", "left").select("grp", "n_points", "beta0", F.coalesce("beta1", F.lit(0)).alias("beta1"))
+
+
 def triangle_counts(edges: DataFrame) -> DataFrame:
     """(grp, n_triangles) of the ε-graphs: 2-simplices of the flag complex at ε.
 

@@ -107,3 +107,9 @@ FROM np LEFT JOIN ne USING (grp) LEFT JOIN tri USING (grp)""")
 def q_euler_counts(spark, sf_dir):
     """V, E, triangles and Euler characteristic of each group's 2-skeleton at ε."""
     return topology.euler_counts(_points(spark, sf_dir), EPS)
+
+
+@register("rips_betti")
+def q_rips_betti(spark, sf_dir):
+    """Components and holes of each group's Rips complex at ε (rank over Z2 after collapses)."""
+    return topology.rips_signature(_points(spark, sf_dir), EPS)

@@ -7,6 +7,8 @@ search terms and many source nodes answered per job.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,7 @@ from pyspark.sql import types as T
 from tessera.functions.text import like_literal
 from tessera.operators import postings
 from tessera.operators.topk import smallest_n, top_k_per_group
+from tessera.operators.training import numbered
 from tessera.session import cut_lineage
 
 NODE_SCHEMA = T.StructType([
@@ -31,38 +34,66 @@ def empty_graph(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return spark.createDataFrame([], NODE_SCHEMA), spark.createDataFrame([], EDGE_SCHEMA)
 
 
+#: columns that tell nodes and edges apart
+NODE_KEY = ("type", "content", "metadata")
+EDGE_KEY = ("source_id", "target_id", "relation", "metadata")
+
+
+def _appended(table: DataFrame | None, rows: DataFrame, key: tuple[str, ...], with_ids: bool, new_only: bool) -> DataFrame:
+    """``table`` and ``rows`` below it.
+
+    Rows without ids are numbered from the table's largest id on, by the md5 of their ``key``
+    columns and then by time: the ids are dense, depend on the rows alone (not on how they are
+    partitioned), and are written once, so that recomputing a lost task gives the same ones.
+    With ``new_only`` a row whose ``key`` columns (nulls being equal) the table has already, or
+    an earlier row of the batch (the smallest in the rest), is not appended, so a batch may be
+    sent again.
+    """
+    if new_only:
+        by = [F.md5(F.col(c).cast("string")).alias(f"_k{i}") for i, c in enumerate(key)]
+        names = [f"_k{i}" for i in range(len(key))]
+        rest = [c for c in rows.columns if c not in key]
+        rows = rows.select("*", *by).groupBy(*names).agg(F.min(F.struct(*rest, *key)).alias("_row")).select(*names, "_row.*")
+        if table is not None:
+            known = table.select(*[c.alias(f"_t{i}") for i, c in enumerate(by)])
+            same = functools.reduce(Column.__and__, [F.col(n).eqNullSafe(F.col(f"_t{i}")) for i, n in enumerate(names)])
+            rows = rows.join(known, same, "left_anti")
+        rows = rows.drop(*names)
+    if not with_ids:
+        base = 0 if table is None else table.agg(F.max("id")).first()[0] or 0
+        order = [*[F.md5(F.col(c).cast("string")) for c in key], F.col("_time")]
+        rows = numbered(rows, [], order, "_rank").withColumn("id", F.lit(base) + F.col("_rank"))
+    rows = rows.select("id", *[c for c in rows.columns if c not in ("id", "_rank", "_time")])
+    return rows if table is None else table.unionByName(rows)
+
+
 def store_nodes(nodes: DataFrame | None, new: DataFrame, typ: str | Column, id_col: str | None = None,
                 content_col: str = "content", metadata: Column | None = None,
-                created_at: Column | None = None) -> DataFrame:
-    """G1 in batch: append rows as nodes.  Ids come from ``id_col`` or, if absent,
-    from max(existing id) + 1 + monotonically_increasing_id (unique, no single-task rank)."""
-    base = 0
-    if id_col is None and nodes is not None:
-        base = (nodes.agg(F.max("id")).first()[0] or 0) + 1
-    ident = F.col(id_col).cast("bigint") if id_col else (F.lit(base) + F.monotonically_increasing_id())
+                created_at: Column | None = None, new_only: bool = False) -> DataFrame:
+    """G1 in batch: append rows as nodes.  Ids come from ``id_col`` or, if absent, continue
+    densely after the largest id, the same in every run; ``new_only`` skips nodes already there."""
     rows = new.select(
-        ident.alias("id"), (typ if isinstance(typ, Column) else F.lit(typ)).alias("type"),
+        *([F.col(id_col).cast("bigint").alias("id")] if id_col else []), (typ if isinstance(typ, Column) else F.lit(typ)).alias("type"),
         F.col(content_col).cast("string").alias("content"),
         (metadata if metadata is not None else F.lit("{}")).alias("metadata"),
-        (created_at if created_at is not None else F.localtimestamp().cast("timestamp_ntz")).alias("created_at"))
-    return rows if nodes is None else nodes.unionByName(rows)
+        (created_at if created_at is not None else F.localtimestamp().cast("timestamp_ntz")).alias("created_at"),
+        *([] if id_col else [(created_at if created_at is not None else F.lit(None).cast("timestamp_ntz")).alias("_time")]))
+    return _appended(nodes, rows, NODE_KEY, id_col is not None, new_only)
 
 
 def link(edges: DataFrame | None, new: DataFrame, source_col: str, target_col: str, relation: str | Column,
-         id_col: str | None = None, metadata: Column | None = None, created_at: Column | None = None) -> DataFrame:
+         id_col: str | None = None, metadata: Column | None = None, created_at: Column | None = None,
+         new_only: bool = False) -> DataFrame:
     """G2 in batch: append edges (foreign keys are not enforced, as in SQLite's default).
-    Ids come from ``id_col`` or, if absent, continue after the existing edges' max id."""
-    base = 0
-    if id_col is None and edges is not None:
-        base = (edges.agg(F.max("id")).first()[0] or 0) + 1
-    ident = F.col(id_col).cast("bigint") if id_col else (F.lit(base) + F.monotonically_increasing_id())
+    Ids and ``new_only`` as for ``store_nodes``."""
     rows = new.select(
-        ident.alias("id"), F.col(source_col).cast("bigint").alias("source_id"),
+        *([F.col(id_col).cast("bigint").alias("id")] if id_col else []), F.col(source_col).cast("bigint").alias("source_id"),
         F.col(target_col).cast("bigint").alias("target_id"),
         (relation if isinstance(relation, Column) else F.lit(relation)).alias("relation"),
         (metadata if metadata is not None else F.lit("{}")).alias("metadata"),
-        (created_at if created_at is not None else F.localtimestamp().cast("timestamp_ntz")).alias("created_at"))
-    return rows if edges is None else edges.unionByName(rows)
+        (created_at if created_at is not None else F.localtimestamp().cast("timestamp_ntz")).alias("created_at"),
+        *([] if id_col else [(created_at if created_at is not None else F.lit(None).cast("timestamp_ntz")).alias("_time")]))
+    return _appended(edges, rows, EDGE_KEY, id_col is not None, new_only)
 
 
 def retrieve(nodes: DataFrame, query: str, k: int = 5) -> DataFrame:

@@ -26,7 +26,7 @@ def lookup_join(df: DataFrame, dim: DataFrame, fk: str, key: str, value: str, ou
     """J1 + P13: left lookup ``fk -> dim.key``, NULL/unmapped -> ``default``.
 
     Duplicate keys in ``dim``: with ``order_col`` the last row by it wins (as a
-    dict built in file order); otherwise one of them is kept.
+    dict built in file order: ``sources.files.source_position``); otherwise one of them is kept.
     """
     if order_col is not None:
         dim = dedupe_last(dim.select(key, value, order_col), key, order_col)

@@ -205,9 +205,11 @@ def validate_dataset(meta: DataFrame, notebooks: DataFrame, languages: DataFrame
                      sample_size: int | None = None, check_code: bool = True, seed: int = 42,
                      id_col: str = "Id", language_id_col: str = "ScriptLanguageId", language_col: str = "Language",
                      date_col: str | None = "CreationDate", notebook_id_col: str = "notebook_id",
-                     raw_col: str = "raw") -> DataFrame:
+                     raw_col: str = "raw", position_col: str = "_position") -> DataFrame:
     """V7: the whole-dataset report (metric, value), composed lazily.
 
+    Of languages with one id the last by ``position_col`` counts (``read_csv_typed`` gives it).
+
     language lookup (J1/P13) -> optional length-weighted or uniform sample
     (M2/M1) -> metadata checks on raw text (P5-P8, A2) -> notebook verdicts
     for the sampled ids only (S4, V1-V6, V4) -> one aggregate (A11).
@@ -218,7 +220,7 @@ def validate_dataset(meta: DataFrame, notebooks: DataFrame, languages: DataFrame
 
     m = meta
     if languages is not None and language_id_col in m.columns:
-        m = lookup_join(m, languages, language_id_col, "Id", "Name", language_col)
+        m = lookup_join(m, languages, language_id_col, "Id", "Name", language_col, order_col=position_col if position_col in languages.columns else None)
     elif language_col not in m.columns:
         m = m.withColumn(language_col, F.lit("unknown"))
     dcol = date_col if date_col and date_col in m.columns else None

@@ -15,7 +15,7 @@ from tessera.operators.rules_check import rule_report
 from tessera.plans.catalog import r6, register
 from tessera.plans.fixtures import META_SQL, doc_metadata
 from tessera.session import TABLES, read_table
-from tessera.sources.files import id_path
+from tessera.sources.files import id_path, source_position
 from tessera.sources.rules import parse_rules, rules_dict
 
 RULES_PATH = os.path.join(os.path.dirname(__file__), "testdata_rules.txt")
@@ -165,6 +165,16 @@ def q_language_lookup(spark, sf_dir):
     return out.select("c_custkey", "nation")
 
 
+@register("lookup_last_wins", """
+SELECT c_custkey, coalesce(last_type, 'unknown') AS last_type
+FROM customer LEFT JOIN (SELECT user_id, arg_max(event_type, event_id) AS last_type FROM events GROUP BY user_id) ON c_custkey = user_id""")
+def q_lookup_last_wins(spark, sf_dir):
+    """A lookup with many rows of one key, of which the last in the file wins (its rows are in order of event_id)."""
+    events = read_table(spark, sf_dir, "events").select("user_id", "event_type", source_position().alias("_position"))
+    cust = read_table(spark, sf_dir, "customer").select("c_custkey")
+    return joins.lookup_join(cust, events, "c_custkey", "user_id", "event_type", "last_type", order_col="_position").select("c_custkey", "last_type")
+
+
 @register("missing_notebooks", """
 SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)""")
 def q_missing_notebooks(spark, sf_dir):

@@ -9,7 +9,7 @@ per-row open.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,11 +22,20 @@ CELL_SCHEMA = T.StructType([
 ])
 
 
-def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType, corrupt_col: str = "_corrupt") -> DataFrame:
+def source_position() -> Column:
+    """Where a row stands in its files, for a column of a plain scan (before any shuffle): the file's
+    path, where the part of it that a task reads starts, and the row's place in the task.  Of two
+    rows of a source the later one has the larger value, however the scan is split; files count
+    in the order of their paths."""
+    return F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+
+
+def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType, corrupt_col: str = "_corrupt", position: str | None = None) -> DataFrame:
     """S1 + S2: CSV read as text, missing tokens -> NULL, then ``try_cast`` to the rule types.
 
     Values that do not fit their type become NULL and are flagged per row in
-    ``bad_<column>`` so they can be counted rather than failing the job.
+    ``bad_<column>`` so they can be counted rather than failing the job.  ``position`` names a
+    column for ``source_position``, by which ``joins.lookup_join`` lets the last duplicate win.
     """
     text_schema = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields])
     raw = (spark.read.option("header", True).option("mode", "PERMISSIVE").option("multiLine", False)
@@ -41,7 +50,7 @@ def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType, corrupt
             typed = txt.try_cast(f.dataType)
         cols.append(typed.alias(f.name))
         cols.append((txt.isNotNull() & typed.isNull()).alias(f"bad_{f.name}"))
-    return raw.select(*cols)
+    return raw.select(*cols, *([source_position().alias(position)] if position else []))
 
 
 def require_columns(df: DataFrame, required) -> None:

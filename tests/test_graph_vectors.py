@@ -177,3 +177,27 @@ def test_knn_skips_null_and_odd_vectors(spark):
     queries = spark.createDataFrame([(0, [0.0, 0.1]), (9, None)], "qid bigint, qvec array<double>")
     got = [(r["qid"], r["vec_id"], r["rank"]) for r in knn.knn_exact(corpus, queries, k=5).orderBy("rank").collect()]
     assert got == [(0, 1, 1), (0, 4, 2)]
+
+
+def test_ids_are_dense_and_the_same_in_every_run(spark):
+    batch = spark.createDataFrame([(f"text {i % 40}", str(i % 3)) for i in range(60)] + [(None, "0")], "content string, m string")
+    more = batch.unionByName(spark.createDataFrame([("new", "0"), ("new", "0")], batch.schema))
+    runs = []
+    for parts in (1, 3, 7):
+        n, _ = graph.empty_graph(spark)
+        n = graph.store_nodes(n, batch.repartition(parts), "fact", metadata=F.col("m"))
+        n = graph.store_nodes(n, more.repartition(parts, "m"), "note", metadata=F.col("m"), new_only=True)
+        again = graph.store_nodes(n, more.repartition(parts), "note", metadata=F.col("m"), new_only=True)
+        rows = [(x.id, x.type, x.content, x.metadata) for x in again.collect()]
+        assert sorted(x[0] for x in rows) == list(range(1, len(rows) + 1))
+        assert sorted(map(str, rows)) == sorted(str((x.id, x.type, x.content, x.metadata)) for x in again.collect())  # made anew
+        assert sum(x[1] == "fact" for x in rows) == 61 and sum(x[1] == "note" for x in rows) == len({(x.content, x.m) for x in more.collect()})
+        runs.append(sorted(map(str, rows)))
+    assert runs[0] == runs[1] == runs[2]
+    _, e = graph.empty_graph(spark)
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (1, 2), (3, None)], "s bigint, t bigint")
+    e = graph.link(e, pairs, "s", "t", "next", new_only=True)
+    e = graph.link(e, pairs.repartition(4), "s", "t", "next", new_only=True)
+    assert sorted(x.id for x in e.collect()) == [1, 2, 3]
+    e = graph.link(e, pairs.withColumn("k", F.col("s") + 100), "s", "t", "prev", id_col="k", new_only=True)
+    assert sorted(x.id for x in e.collect()) == [1, 2, 3, 101, 102, 103]

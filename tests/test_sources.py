@@ -63,3 +63,26 @@ def test_id_path_exact_for_large_ids(spark):
     df = spark.createDataFrame([(9007199254740993,), (123456789,), (5,)], "id bigint")
     assert [r[0] for r in df.select(id_path("id")).collect()] == [
         "9007199254/740/9007199254740993.json", "123/456/123456789.json", "0/0/5.json"]
+
+
+def test_last_duplicate_wins_by_source_position(spark, tmp_path):
+    """Several files, split into many parts: the last row of a key in path and line order wins."""
+    from pyspark.sql import types as T
+
+    from tessera.operators.joins import lookup_join
+    want = {}
+    for f in range(3):
+        rows = [(i * 7 % 50 if f < 2 else i % 20, f"name {f} {i}") for i in range(400)]
+        (tmp_path / f"{f}.csv").write_text("Id,Name\n" + "".join(f"{k},{v}\n" for k, v in rows))
+        want |= dict(rows)
+    schema = T.StructType([T.StructField("Id", T.LongType()), T.StructField("Name", T.StringType())])
+    keys = spark.range(55).withColumnRenamed("id", "k")
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("1000", split):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            dim = files.read_csv_typed(spark, str(tmp_path), schema, position="_position")
+            got = {x.k: x.Language for x in lookup_join(keys, dim, "k", "Id", "Name", "Language", order_col="_position").collect()}
+            assert got == {k: want.get(k, "unknown") for k in range(55)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)

@@ -8,7 +8,8 @@
    they leave is exact at any point.
 2. Rank: on what is left, beta1 = (E - V + components) - rank of the triangles' boundaries.
    Edges are numbered by (group, length, ends); a triangle is the column of its three numbers
-   and its pivot the largest.  Columns are reduced where the block of their pivot is: a task
+   and its pivot the largest; triangles that others of shorter edges span are left out
+   (``spanning_columns``).  Columns are reduced where the block of their pivot is: a task
    keeps one column for each pivot of a block and adds it to the others with that pivot, until
    they vanish, get a new pivot of the block, or a pivot of a lower block, which the next round
    takes on.  After i rounds the highest i blocks of a group are final.  A group whose rank has
@@ -118,6 +119,24 @@ def _reduce(block: int):
     return run
 
 
+def spanning_columns(edges: DataFrame) -> DataFrame:
+    """(grp, col): boundaries of triangles of the numbered edges (grp, u, v, e) that span all of them.
+
+    Of the triangles with one longest edge, one is the first (by its second longest edge).  Where
+    another's third corner and the first's are joined by an edge that is shorter too, both differ
+    by the other two sides of their tetrahedron, whose longest edges are shorter, so it is left out.
+    """
+    t = F.array_sort(F.array("e1", "e2", "e3"))
+    sides = triangles(edges.select("grp", "u", "v", F.struct("e", "u", "v").alias("x")), "x").select("grp", t.alias("t"))
+    low, top = F.col("t")[0], F.col("t")[2]
+    third = F.when(low["u"].isin(top["u"], top["v"]), low["v"]).otherwise(low["u"])
+    each = cut_lineage(sides.select("grp", top["e"].alias("top"), third.alias("w"), F.col("t.e").alias("col")))
+    first = each.groupBy("grp", "top").agg(F.min(F.struct(F.col("col")[1], F.col("w"))).alias("f")).select("grp", "top", F.col("f.w").alias("w0"))
+    beside = each.join(first, ["grp", "top"]).withColumn("u", F.least("w", "w0")).withColumn("v", F.greatest("w", "w0"))
+    met = beside.join(edges.select("grp", "u", "v", F.col("e").alias("between")), ["grp", "u", "v"], "left")
+    return met.filter((F.col("w") == F.col("w0")) | F.col("between").isNull() | (F.col("between") > F.col("top"))).select("grp", "col")
+
+
 def boundary_rank(columns: DataFrame, most: DataFrame, block: int = BLOCK) -> DataFrame:
     """(grp, rank): rank over Z2 of the columns (grp, col: edge numbers in ascending order) of
     each group, which is no more than its ``most`` (grp, most)."""
@@ -143,6 +162,5 @@ def betti1(edges: DataFrame, block: int = BLOCK, worth: float = WORTH) -> DataFr
     labels = connected_components(vertices, ends)
     counted = labels.groupBy(F.col("id.grp").alias("grp")).agg((F.count_if(F.col("id") == F.col("comp")) - F.count("*")).alias("less"))
     most = cut_lineage(core.groupBy("grp").agg(F.count("*").alias("n_edges")).join(counted, "grp").select("grp", (F.col("n_edges") + F.col("less")).alias("most")))
-    columns = triangles(core, "e").select("grp", F.array_sort(F.array("e1", "e2", "e3")).alias("col"))
-    left = most.join(boundary_rank(columns, most, block), "grp", "left").select("grp", (F.col("most") - F.coalesce("rank", F.lit(0))).alias("beta1"))
+    left = most.join(boundary_rank(spanning_columns(core), most, block), "grp", "left").select("grp", (F.col("most") - F.coalesce("rank", F.lit(0))).alias("beta1"))
     return left.filter("beta1 > 0")

@@ -11,10 +11,11 @@ Euclidean distance:
                  beta0 bars alive past ε reported with death ``inf_death``
                  (1.0, as the reference replaces infinity).
 
-ε-edges are found by blocked pair tasks: a group of n points is cut into
-ceil(n / block_rows) blocks, every pair of blocks of the same group meets in
-one task (rows replicated once per block of their group), and each task
-emits only the pairs within ε.  No task sees more than 2 * block_rows points.
+ε-edges are found by pair tasks: a group of more than ``block_rows`` points is
+cut into blocks by its distances to pivots (``operators.near_blocks``), and
+only blocks that the triangle inequality leaves open for each other meet in a
+task, which emits only the pairs within ε.  No task sees more than about
+2 * block_rows points.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import rips
 from tessera.operators.graphalgo import connected_components, spanning_forest
+from tessera.operators.near_blocks import blocked
 from tessera.session import checked_broadcast, cut_lineage
 
 BLOCK_ROWS = 2048
@@ -103,24 +105,16 @@ def _pairs_within(eps: float, forest_only: bool = False):
     return fn
 
 
-def _blocked(points: DataFrame, group_col: str, id_col: str, vec_col: str, block_rows: int):
-    pts = points.select(F.col(group_col).cast("bigint").alias("grp"), F.col(id_col).cast("bigint").alias("id"),
-                        F.col(vec_col).cast("array<double>").alias("vec"))
-    sizes = pts.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).withColumn(
-        "nb", F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(block_rows))).cast("int"))
-    tagged = pts.join(checked_broadcast(sizes.select("grp", "nb")), "grp").withColumn(
-        "blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    # Each point joins every block pair (min(blk, j), max(blk, j)) of its group.
-    rep = tagged.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
-        "grp", "id", "vec", "blk", F.least("blk", "j").alias("bi"), F.greatest("blk", "j").alias("bj"))
-    return rep, sizes
+def _points(points: DataFrame, group_col: str, id_col: str, vec_col: str) -> DataFrame:
+    return points.select(F.col(group_col).cast("bigint").alias("grp"), F.col(id_col).cast("bigint").alias("id"),
+                         F.col(vec_col).cast("array<double>").alias("vec"))
 
 
 def eps_edges(points: DataFrame, eps: float, group_col: str = "grp", id_col: str = "id", vec_col: str = "vec",
               block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(grp, u, v, w): pairs u < v of the same group at Euclidean distance <= eps."""
     points = points.filter(F.col(vec_col).isNotNull())       # a point without coordinates has no distances
-    rep, _ = _blocked(points, group_col, id_col, vec_col, block_rows)
+    rep, _ = blocked(_points(points, group_col, id_col, vec_col), eps, block_rows)
     return rep.groupBy("grp", "bi", "bj").applyInPandas(_pairs_within(eps), EDGE_SCHEMA).drop("cnt")
 
 
@@ -137,7 +131,7 @@ def h0_diagram(points: DataFrame, eps: float, group_col: str = "grp", id_col: st
     several blocks go through the distributed Borůvka rounds.
     """
     points = points.filter(F.col(vec_col).isNotNull())       # a point without coordinates has no distances
-    rep, sizes = _blocked(points, group_col, id_col, vec_col, block_rows)
+    rep, sizes = blocked(_points(points, group_col, id_col, vec_col), eps, block_rows)
     pruned = rep.groupBy("grp", "bi", "bj").applyInPandas(_pairs_within(eps, forest_only=True), EDGE_SCHEMA)
     pruned = cut_lineage(pruned)
     n_edges = pruned.groupBy("grp").agg(F.sum("cnt").alias("n_edges"))
@@ -172,8 +166,7 @@ def rips_signature(points: DataFrame, eps: float, group_col: str = "grp", id_col
                    block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(grp, n_points, beta0, beta1) of the Rips complex at ε: beta1 counts its holes over Z2
     (``operators.rips``), where ``h0_diagram`` reports the graph's cycle rank."""
-    pts = points.select(F.col(group_col).cast("bigint").alias("grp"), F.col(id_col).cast("bigint").alias("id"),
-                        F.col(vec_col).cast("array<double>").alias("vec"))
+    pts = _points(points, group_col, id_col, vec_col)
     single = cut_lineage(rips.distinct_points(pts))
     edges = cut_lineage(eps_edges(single, eps, block_rows=block_rows))
     holes = rips.betti1(edges)

@@ -9,6 +9,8 @@ from tessera.plans.catalog import r6, register
 from tessera.session import read_table
 
 EPS = 1.25
+# Pairs over the whole table: few lie this near; blocks small enough that every scale has several.
+NEAR_EPS, NEAR_BLOCK_ROWS = 1.1, 256
 # Test mapping of labels to domains (ranges of the label value).
 DOMAIN_SQL = "CASE WHEN label < 3 THEN 'cv' WHEN label < 5 THEN 'nlp' WHEN label < 8 THEN 'rl' ELSE 'tabular' END"
 
@@ -37,6 +39,16 @@ def q_eps_edges(spark, sf_dir):
     return e.select("grp", "u", "v", r6("w").alias("w"))
 
 
+@register("near_pairs", f"""
+SELECT a.vec_id AS u, b.vec_id AS v, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS w
+FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
+WHERE list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) <= {NEAR_EPS}""")
+def q_near_pairs(spark, sf_dir):
+    """Pairs within ε whatever the label; the whole table is one group of several blocks."""
+    points = _points(spark, sf_dir).withColumn("grp", F.lit(0).cast("bigint"))
+    return topology.eps_edges(points, NEAR_EPS, block_rows=NEAR_BLOCK_ROWS).select("u", "v", r6("w").alias("w"))
+
+
 @register("betti_at_scale", f"""
 WITH RECURSIVE {SIG_SQL}
 SELECT grp, n_points, n_edges, beta0, n_edges - n_points + beta0 AS beta1 FROM sig""")

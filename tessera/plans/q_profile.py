@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import os
 import re
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import jsonfn
 from tessera.functions.temporal import coerce_timestamp, invalid_timestamp
 from tessera.functions.text import invalid_language
-from tessera.operators import joins, profile
+from tessera.operators import column_profile, joins, profile
 from tessera.operators.rules_check import rule_report
 from tessera.plans.catalog import r6, register
 from tessera.plans.fixtures import META_SQL, doc_metadata
@@ -280,6 +282,52 @@ FROM information_schema.columns i LEFT JOIN c ON c.table_name = i.table_name AND
 WHERE i.table_name IN ({", ".join(f"'{t}'" for t in tables)})"""
 
 
+def _profile_sql(tables=TABLES) -> str:
+    values = " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, column_name, v FROM "
+        f"(UNPIVOT (SELECT COLUMNS(*)::VARCHAR FROM {t}) ON COLUMNS(*) INTO NAME column_name VALUE v)" for t in tables)
+    sizes = " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in tables)
+    return f"""
+WITH vals AS ({values}), sizes AS ({sizes}),
+kinds AS (SELECT table_name, column_name, CASE f WHEN 'int64' THEN 'numeric' WHEN 'float64' THEN 'numeric' WHEN 'datetime' THEN 'datetime'
+                 WHEN 'string' THEN 'text' WHEN 'bool' THEN 'text' ELSE 'other' END AS kind
+          FROM (SELECT table_name, column_name, {FAMILY_CASE_SQL} AS f FROM information_schema.columns
+                WHERE table_name IN ({", ".join(f"'{t}'" for t in tables)}))),
+typed AS (SELECT v.*, k.kind FROM vals v JOIN kinds k USING (table_name, column_name)),
+counted AS (SELECT table_name, column_name, count(*) AS n FROM vals GROUP BY ALL),
+num AS (SELECT table_name, column_name, avg(x) AS mean, stddev_samp(x) AS std, min(x) AS lo, max(x) AS hi
+        FROM (SELECT table_name, column_name, TRY_CAST(v AS DOUBLE) AS x FROM typed WHERE kind = 'numeric') GROUP BY ALL),
+tim AS (SELECT table_name, column_name, min(x) AS first, max(x) AS last
+        FROM (SELECT table_name, column_name, TRY_CAST(v AS TIMESTAMP) AS x FROM typed WHERE kind = 'datetime') GROUP BY ALL),
+per AS (SELECT table_name, column_name, v, count(*) AS c FROM typed WHERE kind = 'text' GROUP BY ALL),
+txt AS (SELECT table_name, column_name, count(*) AS n_distinct, max(c) AS freq, arg_min(v, (-c, md5(v))) AS top FROM per GROUP BY ALL)
+SELECT k.table_name, k.column_name, k.kind, coalesce(c.n, 0) AS count, s.n_rows - coalesce(c.n, 0) AS n_missing,
+       num.mean::FLOAT::DOUBLE AS mean, num.std::FLOAT::DOUBLE AS std, num.lo AS min, num.hi AS max,
+       tim.first, tim.last, txt.n_distinct, txt.freq, txt.top
+FROM kinds k JOIN sizes s USING (table_name) LEFT JOIN counted c USING (table_name, column_name) LEFT JOIN num USING (table_name, column_name)
+LEFT JOIN tim USING (table_name, column_name) LEFT JOIN txt USING (table_name, column_name)"""
+
+
+def _all_tables(spark, sf_dir):
+    return {t: read_table(spark, sf_dir, t) for t in TABLES}
+
+
+@register("profile_all_tables", _profile_sql())
+def q_profile_all_tables(spark, sf_dir):
+    """S5 + A4-A6: every column of every table in the folder (quartiles: `quartiles_all_tables`);
+    means and deviations to the seven digits that do not hang on the order of sums."""
+    p = column_profile.profile_tables(_all_tables(spark, sf_dir))
+    return p.select("table_name", "column_name", "kind", "count", "n_missing", *[F.col(c).cast("float").cast("double").alias(c) for c in ("mean", "std")],
+                    "min", "max", "first", "last", "n_distinct", "freq", "top")
+
+
+@register("quartiles_all_tables")
+def q_quartiles_all_tables(spark, sf_dir):
+    """S5 + A4, A6: quartiles of every numeric and time column, within the sketches' rank error."""
+    rows = reduce(DataFrame.unionByName, [column_profile.measures(df, t) for t, df in _all_tables(spark, sf_dir).items()])
+    return rows.filter("kind in ('numeric', 'datetime')").select("table_name", "column_name", "kind", "count", "p25", "p50", "p75", "t25", "t50", "t75")
+
+
 def schema_rows(spark, sf_dir, tables=TABLES):
     """(table_name, column_name, type_family, n_non_null): one aggregate per table, unioned."""
     from tessera.sources.rules import type_family

@@ -1,4 +1,5 @@
-"""Exact and approximate k-nearest-neighbour search.
+"""Exact k-nearest-neighbour search and what is built on it (J6, R3, D7-D9); approximate search
+is in ``operators.multiprobe``.
 
 Exact search never shuffles the corpus and never materialises query x corpus
 pairs.  The query set is cut into blocks of at most ``query_block_rows``
@@ -19,7 +20,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.topk import top_k_per_group
-from tessera.session import cut_lineage
 
 QUERY_BLOCK_ROWS = 20_000
 #: bytes of one matrix of distances in a task
@@ -151,26 +151,6 @@ def dual_search(session: DataFrame, long_term: DataFrame, queries: DataFrame, k:
     return top_k_per_group(cand, ["qid"], ["dist", "vec_id"], k, rows_per_group=2 * k)
 
 
-def knn_lsh(corpus: DataFrame, queries: DataFrame, k: int = 5, threshold: float = 2.0,
-            bucket_length: float = 1.0, num_tables: int = 4, seed: int = 42,
-            corpus_id: str = "vec_id", corpus_vec: str = "embedding",
-            query_id: str = "qid", query_vec: str = "qvec") -> DataFrame:
-    """Approximate L2 kNN: random-projection LSH candidates within ``threshold``,
-    exact re-rank, top-k per query (the scale path; recall measured by D7)."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-    c = corpus.select(F.col(corpus_id).alias("id"), array_to_vector(F.col(corpus_vec).cast("array<double>")).alias("features"))
-    q = queries.select(F.col(query_id).alias("id"), array_to_vector(F.col(query_vec).cast("array<double>")).alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length,
-                                        numHashTables=num_tables, seed=seed).fit(c)
-    pairs = model.approxSimilarityJoin(q, c, threshold, distCol="dist")
-    cand = pairs.select(F.col("datasetA.id").cast("bigint").alias("qid"), F.col("datasetB.id").cast("bigint").alias("vec_id"), "dist")
-    # Candidates are written once: the ranking reads them twice (largest
-    # candidate set, then the salted levels sized from it).
-    cand = cut_lineage(cand)
-    return top_k_per_group(cand, ["qid"], ["dist", "vec_id"], k, rows_per_group="auto")
-
-
 def recall_at_k(approx: DataFrame, exact: DataFrame, k: int) -> DataFrame:
     """Per query |approx ∩ exact| / k, and the mean over queries."""
     a = approx.groupBy("qid").agg(F.collect_set("vec_id").alias("a"))

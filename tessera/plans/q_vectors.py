@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import norm
-from tessera.operators import collapse, knn, vector_index
+from tessera.operators import collapse, knn, multiprobe, vector_index
 from tessera.plans.catalog import r6, register
 from tessera.session import read_table, scratch_path
 
@@ -90,12 +90,15 @@ def q_knn_cosine(spark, sf_dir):
 
 @register("recall_at_k")
 def q_recall_at_k(spark, sf_dir):
-    """LSH candidates + exact re-rank vs exact search, recall@10 per centroid query."""
+    """Multi-probe candidates + exact re-rank vs exact search, recall@10 per centroid query and
+    the number of rows it was compared with."""
     emb = read_table(spark, sf_dir, "embeddings")
     qs = _centroid_queries(spark, sf_dir)
     exact = knn.knn_exact(emb, qs, k=10)
-    approx = knn.knn_lsh(emb, qs, k=10, threshold=2.0, bucket_length=2.0, num_tables=8)
-    return knn.recall_at_k(approx, exact, 10)
+    found = multiprobe.search(emb, qs, k=10)
+    compared = found.groupBy("qid").agg(F.count("*").alias("candidates"))
+    return knn.recall_at_k(multiprobe.nearest(found, 10), exact, 10).join(compared, "qid", "left").select(
+        "qid", "recall", F.coalesce("candidates", F.lit(0)).alias("candidates"))
 
 
 @register("augment_prompts", f"""

@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.operators import collapse, graph, knn
+from tessera.operators import collapse, graph, knn, multiprobe
 
 
 def _graph(spark):
@@ -131,7 +131,7 @@ def test_recall_at_k_exact_is_one_and_lsh_bounded(spark):
     queries = spark.createDataFrame([(q, rows[q][1]) for q in range(4)], "qid bigint, qvec array<double>")
     exact = knn.knn_exact(corpus, queries, k=5)
     assert all(r["recall"] == 1.0 for r in knn.recall_at_k(exact, exact, 5).collect())
-    approx = knn.knn_lsh(corpus, queries, k=5, threshold=10.0, bucket_length=4.0, num_tables=4)
+    approx = multiprobe.knn_lsh(corpus, queries, k=5, threshold=10.0, num_tables=4)
     got = knn.recall_at_k(approx, exact, 5).collect()
     assert len(got) == 4 and all(0.0 <= r["recall"] <= 1.0 for r in got)
     assert all(r["recall"] >= 0.2 for r in got)                 # each query finds itself (distance 0)

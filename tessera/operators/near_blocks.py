@@ -12,8 +12,8 @@ if their ranges of distances come within ε of each other for every pivot.  Bloc
 equi-join on (group, ring), which holds one row a block, not the points; a point is copied once
 for each pair of blocks that its own block is left in.  Rounding never closes a pair.
 
-Points with a null id, a null vector, or a null or non-finite component have no distances: in a
-group of several blocks they are left out, in a group of one they pair with nothing.
+Points with a null id, a null vector, or a null or non-finite component have no distances: they
+are in no block, but count in a group's size.
 """
 
 from __future__ import annotations
@@ -39,6 +39,11 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _usable(points: DataFrame) -> DataFrame:
+    finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return points.filter(F.col("id").isNotNull() & F.col("vec").isNotNull() & finite)
+
+
 def _reach(eps: float, *sizes: Column) -> Column:
     """ε and what rounding may add to it at distances of that size."""
     return F.lit(eps * (1 + SLACK)) + F.lit(SLACK) * (1 + reduce(F.greatest, sizes))
@@ -55,8 +60,7 @@ def _pivots(points: DataFrame) -> DataFrame:
 def placed(points: DataFrame, sizes: DataFrame, eps: float, block_rows: int) -> DataFrame:
     """(grp, id, vec, d, ring, blk): ``points`` (grp, id, vec) of the groups of ``sizes`` (grp, n, nb),
     their distances ``d`` to the group's pivots, and their block's number, which grows with the ring."""
-    finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    own = points.filter(F.col("id").isNotNull() & F.col("vec").isNotNull() & finite).join(checked_broadcast(sizes), "grp")
+    own = _usable(points).join(checked_broadcast(sizes), "grp")
     pivots = checked_broadcast(_written(_pivots(own), "pivots"), STATE_ROWS)
     none = F.array().cast("array<array<double>>")
     d = F.transform(F.coalesce("pivots", none), lambda p: l2_distance("vec", p))
@@ -101,7 +105,7 @@ def blocked(points: DataFrame, eps: float, block_rows: int) -> tuple[DataFrame,
     sizes = points.groupBy("grp").agg(F.count("*").alias("n"))
     sizes = _written(sizes.withColumn("nb", F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(block_rows))).cast("int")), "sizes")
     zero = F.lit(0).cast("bigint")
-    copies = points.filter("id is not null").join(checked_broadcast(sizes.filter("nb = 1").select("grp")), "grp").select(
+    copies = _usable(points).join(checked_broadcast(sizes.filter("nb = 1").select("grp")), "grp").select(
         "grp", "id", "vec", zero.alias("blk"), zero.alias("bi"), zero.alias("bj"))
     large = sizes.filter("nb > 1")
     if large.isEmpty():

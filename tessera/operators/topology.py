@@ -118,6 +118,64 @@ def eps_edges(points: DataFrame, eps: float, group_col: str = "grp", id_col: str
     return rep.groupBy("grp", "bi", "bj").applyInPandas(_pairs_within(eps), EDGE_SCHEMA).drop("cnt")
 
 
+def _links_within(eps: float):
+    """Pair task of ``eps_links``: for each point with a link in the task, how many it has there and
+    the smallest id that it reaches there."""
+    def fn(key, pdf):
+        bi, bj = int(key[1]), int(key[2])
+        pdf = pdf.sort_values("id", kind="stable")
+        X, ids, blk = np.stack(pdf["vec"].to_numpy()).astype(np.float64), pdf["id"].to_numpy(np.int64), pdf["blk"].to_numpy(np.int64)
+        at = np.arange(len(ids))
+        left, right = at[blk == bi], at[blk == bj]
+        found = [np.empty((2, 0), np.int64)]
+        for start in range(0, len(left), 256):
+            rows = left[start:start + 256]
+            near = (X[rows] ** 2).sum(1)[:, None] + (X[right] ** 2).sum(1)[None, :]
+            near = near - 2.0 * (X[rows] @ X[right].T) <= eps * eps + 1e-9 * (1.0 + near.max(initial=0.0))
+            i, j = np.nonzero(near)
+            i, j = rows[i], right[j]
+            if bi == bj:
+                i, j = i[i < j], j[i < j]
+            exact = np.sqrt(((X[i] - X[j]) ** 2).sum(axis=1)) <= eps
+            found.append(np.stack([i[exact], j[exact]]))
+        i, j = np.concatenate(found, axis=1)
+        links = np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
+        root = at.copy()
+        while True:
+            low = np.minimum(root[i], root[j])
+            new = root.copy()
+            np.minimum.at(new, i, low)
+            np.minimum.at(new, j, low)
+            np.minimum.at(new, root[i], low)
+            np.minimum.at(new, root[j], low)
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        on = links > 0
+        return pd.DataFrame({"grp": np.full(on.sum(), int(key[0])), "u": ids[on], "v": ids[root[on]], "cnt": links[on]})
+    return fn
+
+
+def eps_links(points: DataFrame, eps: float, group_col: str = "grp", id_col: str = "id", vec_col: str = "vec",
+              block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(grp, id, n_links, component_id): for every point with a group and an id, how many points of its
+    group lie within eps, and the smallest id that it reaches by such links (its own included).
+
+    A task emits a row a point, never the pairs; ids are unique within a group.  Points without
+    distances (see ``near_blocks``) have no links.
+    """
+    pts = _points(points, group_col, id_col, vec_col).filter("grp is not null and id is not null")
+    copies, _ = blocked(pts.filter("vec is not null"), eps, block_rows)
+    stars = cut_lineage(copies.groupBy("grp", "bi", "bj").applyInPandas(_links_within(eps), "grp bigint, u bigint, v bigint, cnt bigint"))
+    links = stars.groupBy("grp", F.col("u").alias("id")).agg(F.sum("cnt").alias("n_links"))
+    of = lambda c: F.struct("grp", F.col(c).alias("id"))
+    comps = connected_components(links.select(of("id").alias("id")), stars.filter("u != v").select(of("u").alias("src"), of("v").alias("dst")))
+    found = comps.select(F.col("id.grp").alias("grp"), F.col("id.id").alias("id"), F.col("comp.id").alias("component_id")).join(links, ["grp", "id"])
+    return pts.select("grp", "id").join(found, ["grp", "id"], "left").select(
+        "grp", "id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+
+
 def h0_diagram(points: DataFrame, eps: float, group_col: str = "grp", id_col: str = "id", vec_col: str = "vec",
                inf_death: float = 1.0, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
     """(bars, signature).

@@ -9,8 +9,8 @@ from tessera.plans.catalog import r6, register
 from tessera.session import read_table
 
 EPS = 1.25
-# Pairs over the whole table: few lie this near; blocks small enough that every scale has several.
-NEAR_EPS, NEAR_BLOCK_ROWS = 1.1, 256
+# Links over the whole table: few lie this near.
+NEAR_EPS, NEAR_BLOCK_ROWS = 1.1, 1024
 # Test mapping of labels to domains (ranges of the label value).
 DOMAIN_SQL = "CASE WHEN label < 3 THEN 'cv' WHEN label < 5 THEN 'nlp' WHEN label < 8 THEN 'rl' ELSE 'tabular' END"
 
@@ -39,14 +39,18 @@ def q_eps_edges(spark, sf_dir):
     return e.select("grp", "u", "v", r6("w").alias("w"))
 
 
-@register("near_pairs", f"""
-SELECT a.vec_id AS u, b.vec_id AS v, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS w
-FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
-WHERE list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) <= {NEAR_EPS}""")
-def q_near_pairs(spark, sf_dir):
-    """Pairs within ε whatever the label; the whole table is one group of several blocks."""
+@register("near_links", f"""
+WITH RECURSIVE e AS (SELECT a.vec_id AS u, b.vec_id AS v FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
+                     WHERE list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) <= {NEAR_EPS}),
+reach(src, dst) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.src, e.v FROM reach r JOIN e ON r.dst = e.u),
+deg AS (SELECT u, count(*) AS n FROM e GROUP BY u)
+SELECT src AS vec_id, coalesce(any_value(deg.n), 0) AS n_links, min(dst) AS component_id
+FROM reach LEFT JOIN deg ON deg.u = src GROUP BY src""")
+def q_near_links(spark, sf_dir):
+    """Links within ε whatever the label; the whole table is one group of blocks."""
     points = _points(spark, sf_dir).withColumn("grp", F.lit(0).cast("bigint"))
-    return topology.eps_edges(points, NEAR_EPS, block_rows=NEAR_BLOCK_ROWS).select("u", "v", r6("w").alias("w"))
+    found = topology.eps_links(points, NEAR_EPS, block_rows=NEAR_BLOCK_ROWS)
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id")
 
 
 @register("betti_at_scale", f"""

@@ -54,6 +54,7 @@ def test_points_without_distances(spark):
     odd = [(0, 900, None), (0, 901, [float("nan"), 0.0, 0.0]), (0, 902, [None, 0.0, 0.0]), (0, 903, [float("inf"), 0.0, 0.0]),
            (0, None, [0.0, 0.0, 0.0]), (None, 904, [0.0, 0.0, 0.0])]
     assert edges(spark, rows + odd, 0.5, 8) == brute(rows, 0.5)
+    assert edges(spark, rows + odd, 0.5, 4096) == brute(rows, 0.5)           # one block
     assert edges(spark, [], 0.5, 8) == set()
 
 
@@ -61,3 +62,34 @@ def test_a_group_without_pivots_loses_no_pair(spark, monkeypatch):
     monkeypatch.setattr(near_blocks, "LOOKED_AT", 0)
     rows = clustered(60, 2, 3, 9)
     assert edges(spark, rows, 0.5, 8) == brute(rows, 0.5)
+
+
+def linked(rows, eps):
+    """(grp, id) -> (links, smallest id reached), by trying all pairs."""
+    comp = {(g, i): i for g, i, _ in rows}
+    pairs = brute(rows, eps)
+    for _ in rows:
+        for g, u, v in pairs:
+            comp[g, u] = comp[g, v] = min(comp[g, u], comp[g, v])
+    return {(g, i): (sum(g == p[0] and i in p[1:] for p in pairs), comp[g, i]) for g, i, _ in rows}
+
+
+def links(spark, rows, eps, block_rows):
+    got = topology.eps_links(frame(spark, rows), eps, block_rows=block_rows).collect()
+    assert len(got) == len({(r["grp"], r["id"]) for r in got})
+    return {(r["grp"], r["id"]): (r["n_links"], r["component_id"]) for r in got}
+
+
+def test_links_and_components_equal_brute(spark):
+    rows = clustered(120, 6, 3, 4) + [(1, i, [0.4 * (i * 37 % 60), 0.0, 0.0]) for i in range(60)]   # a chain over many blocks
+    assert links(spark, rows, 0.5, 16) == linked(rows, 0.5)
+    assert links(spark, rows, 0.5, 4096) == linked(rows, 0.5)
+
+
+def test_links_of_copies_and_points_without_distances(spark):
+    rows = [(0, i, [1.0, 2.0]) for i in range(40)] + [(0, 50, [5.0, 5.0])]
+    odd = [(0, 60, None), (0, 61, [float("nan"), 0.0])]
+    want = linked(rows, 0.0) | {(0, 60): (0, 60), (0, 61): (0, 61)}
+    assert links(spark, rows + odd, 0.0, 8) == want
+    assert links(spark, rows + odd, 0.0, 4096) == want
+    assert links(spark, [], 0.5, 8) == {}

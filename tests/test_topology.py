@@ -139,3 +139,12 @@ def test_connected_components_long_path_converges(spark):
     comp = {r["id"]: r["comp"] for r in connected_components(verts, edges).collect()}
     assert {comp[int(i)] for i in ids} == {1}
     assert comp[1000] == comp[1001] == 1000 and comp[2000] == 2000
+
+
+def test_size_estimates_stay_small_over_rounds(spark):
+    verts = spark.range(64).select("id")
+    edges = spark.range(63).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"), F.pmod(F.xxhash64("id"), F.lit(1000)).cast("double").alias("w"))
+    forest = spanning_forest(verts, edges)
+    assert forest.count() == 63
+    # a kept estimate is the product of all joins before it: thousands of digits after a few rounds
+    assert len(str(forest._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 12

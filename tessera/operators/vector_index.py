@@ -41,6 +41,8 @@ SAMPLE_ROWS, CELL_ROWS, MAX_CELLS = 50_000, 2_000, 4_096
 BLOCK_ROWS = 1_024
 #: queries that meet a block in one kernel
 GROUP = 1_024
+#: pairs of a block and a group of queries that come to a task at once
+BATCH_ROWS = 16
 #: terms in the filter on ranges of distances
 RANGES = 64
 #: rounding never closes a block
@@ -293,7 +295,13 @@ def _round(spark: SparkSession, path: str, probes: DataFrame, catalog: DataFrame
     ranges = probes.groupBy("cell").agg(F.min(F.col("at") - F.col("within") - SLACK * (1 + F.col("at"))).alias("lo"),
                                         F.max(F.col("at") + F.col("within") + SLACK * (1 + F.col("at"))).alias("hi")).collect()  # a row a cell
     index = _open_blocks(spark.read.parquet(f"{path}/blocks"), [tuple(r) for r in ranges])
-    return _kept(_hits(index.join(asked, "block"), dims, k), "hits")
+    # a row holds a block and a group of queries, megabytes: a batch takes few of them
+    batch, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    spark.conf.set(batch, str(BATCH_ROWS))
+    try:
+        return _kept(_hits(index.join(asked, "block"), dims, k), "hits")
+    finally:
+        spark.conf.set(batch, before)
 
 
 def _kept(df: DataFrame, name: str) -> DataFrame:

@@ -87,3 +87,16 @@ def test_cells_and_row_groups_are_pruned(spark, small_blocks):
     assert 0 < len(set(r.f for r in some.select(F.input_file_name().alias("f")).collect())) < len(index.inputFiles())
     wide = vector_index._open_blocks(index, [(c, 0.0, 1e9) for c in cells])
     assert wide.count() == index.count()
+
+
+def test_a_batch_takes_few_blocks(spark, small_blocks, monkeypatch):
+    taken = []
+    kept = vector_index._kept
+    monkeypatch.setattr(vector_index, "_kept", lambda df, name: (taken.append((name, spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))), kept(df, name))[1])
+    emb = table(spark, clustered(4, 500, 4, 3, 1.0))
+    path = scratch_path(spark, "vi")
+    vector_index.build(emb, path)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert vector_index.search(spark, path, asked(emb, 50), k=2).count() == 20
+    assert {n for name, n in taken if name == "hits"} == {str(vector_index.BATCH_ROWS)}
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before

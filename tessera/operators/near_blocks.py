@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import l2_distance
@@ -28,6 +28,8 @@ from tessera.session import checked_broadcast, scratch_path
 
 #: pivots of a group (three bits of a block's number), and rows among which each is looked for
 PIVOTS, LOOKED_AT = 8, 64
+#: rows of a block that grows with its group
+LARGEST = 32_768
 #: groups whose pivots are sent to every task: at most PIVOTS vectors each
 STATE_ROWS = 1_000
 SLACK = 1e-9
@@ -96,14 +98,56 @@ def block_pairs(points: DataFrame, eps: float) -> DataFrame:
     return open_pairs.select("grp", "bi", "bj")
 
 
-def blocked(points: DataFrame, eps: float, block_rows: int) -> tuple[DataFrame, DataFrame]:
+def folded(rows: DataFrame, block_rows: int) -> DataFrame:
+    """(grp, blk, fold): neighbouring blocks of ``placed`` rows put together to about ``block_rows`` rows
+    (never twice as many), for work on triples of blocks, which few blocks hold down."""
+    n = rows.groupBy("grp", "blk").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("grp").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return n.select("grp", "blk", F.floor(before / F.lit(block_rows)).alias("fold"))
+
+
+def in_triples(points: DataFrame, eps: float, block_rows: int) -> DataFrame:
+    """(grp, id, vec, blk, bi, bj, bk): a copy of each of ``points`` (grp, id, vec) for every triple of
+    folded blocks bi <= bj <= bk that it is in and whose pairs can all hold two points within ε."""
+    sizes = _sizes(points, block_rows)
+    zero = F.lit(0).cast("bigint")
+    copies = _usable(points).join(checked_broadcast(sizes.filter("nb = 1").select("grp")), "grp").select(
+        "grp", "id", "vec", *[zero.alias(c) for c in ("blk", "bi", "bj", "bk")])
+    large = sizes.filter("nb > 1")
+    if large.isEmpty():
+        return copies
+    rows = _written(placed(points, large, eps, block_rows), "placed")
+    fold = _written(folded(rows, block_rows), "folds")
+    open_pairs = block_pairs(rows, eps)
+    for at in ("bi", "bj"):
+        open_pairs = open_pairs.join(fold.select("grp", F.col("blk").alias(at), F.col("fold").alias(f"{at}_to")), ["grp", at])
+    pairs = open_pairs.select("grp", F.least("bi_to", "bj_to").alias("bi"), F.greatest("bi_to", "bj_to").alias("bj")).distinct()
+    pairs = _written(pairs, "pairs")
+    ij, ik, jk = pairs, pairs.withColumnRenamed("bj", "bk"), pairs.select("grp", F.col("bi").alias("bj"), F.col("bj").alias("bk"))
+    triples = ij.join(ik, ["grp", "bi"]).filter("bj <= bk").join(jk, ["grp", "bj", "bk"], "left_semi")
+    meets = triples.select("grp", F.explode(F.array_distinct(F.array("bi", "bj", "bk"))).alias("blk"), "bi", "bj", "bk")
+    own = rows.join(fold, ["grp", "blk"]).select("grp", "id", "vec", F.col("fold").alias("blk"))
+    return copies.unionByName(own.join(meets, ["grp", "blk"]).select(copies.columns))
+
+
+def _sizes(points: DataFrame, block_rows: int) -> DataFrame:
+    sizes = points.groupBy("grp").agg(F.count("*").alias("n"))
+    return _written(sizes.withColumn("nb", F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(block_rows))).cast("int")), "sizes")
+
+
+def blocked(points: DataFrame, eps: float, block_rows: int, blocks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(copies, sizes) of ``points`` (grp, id, vec).
 
     copies: (grp, id, vec, blk, bi, bj), a row for each open pair of blocks (bi, bj) that the
     point's block ``blk`` is in.  sizes: (grp, n, nb), nb = 1 for a group of one block.
+
+    With ``blocks`` the blocks of a large group grow up to LARGEST rows so that it has about
+    that many: where no pair of blocks is closed, a point is copied once for each of them.
     """
-    sizes = points.groupBy("grp").agg(F.count("*").alias("n"))
-    sizes = _written(sizes.withColumn("nb", F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(block_rows))).cast("int")), "sizes")
+    if blocks:
+        most = points.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
+        block_rows = max(block_rows, min(LARGEST, -(-most // blocks)))
+    sizes = _sizes(points, block_rows)
     zero = F.lit(0).cast("bigint")
     copies = _usable(points).join(checked_broadcast(sizes.filter("nb = 1").select("grp")), "grp").select(
         "grp", "id", "vec", zero.alias("blk"), zero.alias("bi"), zero.alias("bj"))

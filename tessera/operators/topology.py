@@ -29,10 +29,12 @@ from pyspark.sql import functions as F
 
 from tessera.operators import rips
 from tessera.operators.graphalgo import connected_components, spanning_forest
-from tessera.operators.near_blocks import blocked
+from tessera.operators.near_blocks import blocked, in_triples
 from tessera.session import checked_broadcast, cut_lineage
 
 BLOCK_ROWS = 2048
+#: rows of the blocks that meet by threes, and blocks that ``eps_links`` cuts a large group into
+TRIPLE_ROWS, LINK_BLOCKS = 8192, 32
 EDGE_SCHEMA = "grp bigint, u bigint, v bigint, w double, cnt bigint"
 
 # Beta-1 limits per domain (default 1 for others).
@@ -118,40 +120,46 @@ def eps_edges(points: DataFrame, eps: float, group_col: str = "grp", id_col: str
     return rep.groupBy("grp", "bi", "bj").applyInPandas(_pairs_within(eps), EDGE_SCHEMA).drop("cnt")
 
 
+def _near(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
+    """Which rows of ``a`` and ``b`` are within eps; distances that rounding could turn are taken exactly."""
+    centre = b.mean(axis=0)
+    x, y = a - centre, b - centre
+    sx, sy = (x * x).sum(1), (y * y).sum(1)
+    rough = sx[:, None] + sy[None, :] - 2.0 * (x @ y.T)
+    far = np.sqrt(max(sx.max(initial=0.0), sy.max(initial=0.0)))
+    slack = 1e-9 * (1.0 + far * far) + 1e-14 * far * a.shape[1] * np.abs(centre).max(initial=0.0)
+    near = rough <= eps * eps - slack
+    i, j = np.nonzero((rough <= eps * eps + slack) & ~near)
+    for k in range(0, len(i), 1 << 15):
+        p, q = i[k:k + (1 << 15)], j[k:k + (1 << 15)]
+        d = a[p] - b[q]
+        near[p, q] = np.sqrt(np.einsum("ij,ij->i", d, d)) <= eps
+    return near
+
+
 def _links_within(eps: float):
     """Pair task of ``eps_links``: for each point with a link in the task, how many it has there and
-    the smallest id that it reaches there."""
+    the smallest id that it reaches there.  It holds the pairs of a few rows at a time."""
     def fn(key, pdf):
         bi, bj = int(key[1]), int(key[2])
         pdf = pdf.sort_values("id", kind="stable")
         X, ids, blk = np.stack(pdf["vec"].to_numpy()).astype(np.float64), pdf["id"].to_numpy(np.int64), pdf["blk"].to_numpy(np.int64)
         at = np.arange(len(ids))
         left, right = at[blk == bi], at[blk == bj]
-        found = [np.empty((2, 0), np.int64)]
-        for start in range(0, len(left), 256):
-            rows = left[start:start + 256]
-            near = (X[rows] ** 2).sum(1)[:, None] + (X[right] ** 2).sum(1)[None, :]
-            near = near - 2.0 * (X[rows] @ X[right].T) <= eps * eps + 1e-9 * (1.0 + near.max(initial=0.0))
-            i, j = np.nonzero(near)
+        to = X[right]
+        links, root = np.zeros(len(ids), np.int64), at.copy()
+        step = max(16, (1 << 21) // max(1, len(right)))
+        for start in range(0, len(left) if len(right) else 0, step):
+            rows = left[start:start + step]
+            i, j = np.nonzero(_near(X[rows], to, eps))
             i, j = rows[i], right[j]
             if bi == bj:
                 i, j = i[i < j], j[i < j]
-            exact = np.sqrt(((X[i] - X[j]) ** 2).sum(axis=1)) <= eps
-            found.append(np.stack([i[exact], j[exact]]))
-        i, j = np.concatenate(found, axis=1)
-        links = np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
-        root = at.copy()
-        while True:
-            low = np.minimum(root[i], root[j])
-            new = root.copy()
-            np.minimum.at(new, i, low)
-            np.minimum.at(new, j, low)
-            np.minimum.at(new, root[i], low)
-            np.minimum.at(new, root[j], low)
-            new = new[new]
-            if (new == root).all():
-                break
-            root = new
+            links += np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
+            while (root[i] != root[j]).any():
+                np.minimum.at(root, np.maximum(root[i], root[j]), np.minimum(root[i], root[j]))
+                while (root[root] != root).any():
+                    root = root[root]
         on = links > 0
         return pd.DataFrame({"grp": np.full(on.sum(), int(key[0])), "u": ids[on], "v": ids[root[on]], "cnt": links[on]})
     return fn
@@ -259,21 +267,59 @@ def triangle_counts(edges: DataFrame) -> DataFrame:
     return closed.groupBy("grp").agg(F.count(F.lit(1)).alias("n_triangles"))
 
 
+def _near_bits(a: np.ndarray, b: np.ndarray, eps: float, later: bool) -> np.ndarray:
+    """A row of bits (64 a word) for each row of ``a``: the rows of ``b`` within eps; ``later``: only those after it."""
+    out = np.zeros((len(a), -(-len(b) // 64) * 8), np.uint8)
+    for start in range(0, len(a), 256):
+        near = _near(a[start:start + 256], b, eps)
+        bits = np.packbits(np.triu(near, start + 1) if later else near, axis=1)
+        out[start:start + 256, :bits.shape[1]] = bits
+    return out.view(np.uint64)
+
+
+def _simplices(eps: float):
+    """Task of a triple of blocks: its triangles with one corner in each (corners of one block in its
+    order), and its pair's edges where the last two blocks are one."""
+    def fn(key, pdf):
+        grp, bi, bj, bk = (int(k) for k in key)
+        own = {b: pdf[pdf["blk"] == b].sort_values("id", kind="stable")["vec"].to_list() for b in {bi, bj, bk}}
+        if not all(own.values()):
+            return pd.DataFrame({"grp": [grp], "n_edges": [0], "n_triangles": [0]})
+        x, y, z = (np.array(own[b], dtype=np.float64) for b in (bi, bj, bk))
+        to_z, from_y = _near_bits(x, z, eps, False), _near_bits(y, z, eps, bj == bk)
+        n_edges = n_triangles = 0
+        for start in range(0, len(x), 256):
+            near = _near(x[start:start + 256], y, eps)
+            i, j = np.nonzero(np.triu(near, start + 1) if bi == bj else near)
+            n_edges += len(i)
+            for k in range(0, len(i), 8192):
+                both = to_z[start + i[k:k + 8192]]
+                both &= from_y[j[k:k + 8192]]
+                n_triangles += int(np.bitwise_count(both).sum(dtype=np.int64))
+        return pd.DataFrame({"grp": [grp], "n_edges": [n_edges if bj == bk else 0], "n_triangles": [n_triangles]})
+    return fn
+
+
 def euler_counts(points: DataFrame, eps: float, group_col: str = "grp", id_col: str = "id", vec_col: str = "vec",
-                 block_rows: int = BLOCK_ROWS) -> DataFrame:
+                 block_rows: int = TRIPLE_ROWS) -> DataFrame:
     """(grp, n_points, n_edges, n_triangles, euler) of the 2-skeleton at ε.
 
-    The ε-edges feed the edge count, the degrees and both sides of the wedge
-    join; they are written once (reliable checkpoint) so the pair tasks run
-    once instead of once per use.
+    Blocks meet by threes and a task gives two numbers, so neither edges nor open wedges are ever
+    shuffled: a triangle is a bit that two ends of an edge have in common.  Groups in which an id
+    comes again have repeated edges; they are counted from the edges (``triangle_counts``).
     """
     points = points.filter(F.col(vec_col).isNotNull())
-    edges = cut_lineage(eps_edges(points, eps, group_col, id_col, vec_col, block_rows))
-    n_pts = points.groupBy(F.col(group_col).cast("bigint").alias("grp")).agg(F.count(F.lit(1)).alias("n_points"))
-    n_e = edges.groupBy("grp").agg(F.count(F.lit(1)).alias("n_edges"))
-    out = (n_pts.join(n_e, "grp", "left").join(triangle_counts(edges), "grp", "left")
-           .select("grp", "n_points", F.coalesce("n_edges", F.lit(0)).alias("n_edges"),
-                   F.coalesce("n_triangles", F.lit(0)).alias("n_triangles")))
+    pts = _points(points, group_col, id_col, vec_col)
+    repeated = cut_lineage(pts.filter("id is not null").groupBy("grp", "id").count().filter("count > 1").select("grp").distinct())
+    once = in_triples(pts.join(repeated, "grp", "left_anti"), eps, block_rows)
+    tasks = once.groupBy("grp", "bi", "bj", "bk").applyInPandas(_simplices(eps), "grp bigint, n_edges bigint, n_triangles bigint")
+    found = cut_lineage(tasks.groupBy("grp").agg(F.sum("n_edges").alias("n_edges"), F.sum("n_triangles").alias("n_triangles")))
+    if not repeated.isEmpty():
+        edges = cut_lineage(eps_edges(pts.join(repeated, "grp", "left_semi"), eps, block_rows=min(block_rows, BLOCK_ROWS)))
+        found = found.unionByName(edges.groupBy("grp").agg(F.count(F.lit(1)).alias("n_edges")).join(triangle_counts(edges), "grp", "left"))
+    n_pts = pts.groupBy("grp").agg(F.count(F.lit(1)).alias("n_points"))
+    out = n_pts.join(found, "grp", "left").select("grp", "n_points", F.coalesce("n_edges", F.lit(0)).alias("n_edges"),
+                                                  F.coalesce("n_triangles", F.lit(0)).alias("n_triangles"))
     return out.withColumn("euler", F.col("n_points") - F.col("n_edges") + F.col("n_triangles"))
 
 

@@ -148,3 +148,23 @@ def test_size_estimates_stay_small_over_rounds(spark):
     assert forest.count() == 63
     # a kept estimate is the product of all joins before it: thousands of digits after a few rounds
     assert len(str(forest._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 12
+
+
+def test_triangles_by_triples_of_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    X = np.concatenate([rng.normal(size=(70, 3)), rng.normal(size=(50, 3)) + 30, np.ones((5, 3))]) + 1e3
+    rows = [(i % 2, i, X[i].tolist()) for i in range(len(X))] + [(0, 500, None), (0, None, [0.0] * 3), (1, 501, [float("nan")] * 3)]
+    monkeypatch.setattr(topology, "triangle_counts", None)                 # no edge is needed
+    for block_rows in (8, 40, 4096):
+        got = {r["grp"]: r for r in topology.euler_counts(pts(spark, rows), 1.1, block_rows=block_rows).collect()}
+        for g in (0, 1):
+            adj = (np.linalg.norm(X[g::2, None] - X[None, g::2], axis=2) <= 1.1).astype(np.int64)
+            np.fill_diagonal(adj, 0)
+            assert (got[g]["n_edges"], got[g]["n_triangles"]) == (adj.sum() // 2, np.trace(adj @ adj @ adj) // 6)
+
+
+def test_triangles_of_repeated_ids(spark):
+    rows = [(0, 1, [0.0]), (0, 1, [0.0]), (0, 2, [0.5]), (0, 3, [0.7]), (1, 1, [0.0]), (1, 2, [0.1]), (1, 3, [0.2])]
+    got = {r["grp"]: (r["n_points"], r["n_edges"], r["n_triangles"]) for r in topology.euler_counts(pts(spark, rows), 1.0).collect()}
+    assert got[1] == (3, 3, 1)
+    assert got[0][:2] == (4, 5) and got[0][2] == topology.triangle_counts(topology.eps_edges(pts(spark, rows), 1.0)).filter("grp = 0").first()[1]

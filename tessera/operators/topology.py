@@ -174,7 +174,7 @@ def eps_links(points: DataFrame, eps: float, group_col: str = "grp", id_col: str
     distances (see ``near_blocks``) have no links.
     """
     pts = _points(points, group_col, id_col, vec_col).filter("grp is not null and id is not null")
-    copies, _ = blocked(pts.filter("vec is not null"), eps, block_rows)
+    copies, _ = blocked(pts.filter("vec is not null"), eps, block_rows, LINK_BLOCKS)
     stars = cut_lineage(copies.groupBy("grp", "bi", "bj").applyInPandas(_links_within(eps), "grp bigint, u bigint, v bigint, cnt bigint"))
     links = stars.groupBy("grp", F.col("u").alias("id")).agg(F.sum("cnt").alias("n_links"))
     of = lambda c: F.struct("grp", F.col(c).alias("id"))

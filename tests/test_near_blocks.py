@@ -93,3 +93,11 @@ def test_links_of_copies_and_points_without_distances(spark):
     assert links(spark, rows + odd, 0.0, 8) == want
     assert links(spark, rows + odd, 0.0, 4096) == want
     assert links(spark, [], 0.5, 8) == {}
+
+
+def test_blocks_grow_with_the_group(spark):
+    rng = np.random.default_rng(12)
+    rows = [(0, i, rng.normal(size=8).tolist()) for i in range(900)]
+    few, _ = near_blocks.blocked(frame(spark, rows), 3.0, 8, 4)            # no pair of blocks is closed
+    many, _ = near_blocks.blocked(frame(spark, rows), 3.0, 8)
+    assert few.count() < 25 * 900 < many.count()

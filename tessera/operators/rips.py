@@ -17,14 +17,16 @@
 
 A task holds the kept columns of one block, at most ``block`` of them, and one batch of rows.
 Equal points of a group have the same neighbours, so one of them stands for all
-(``distinct_points``).  Triangles are found from each vertex's later neighbours by (degree, id),
-at most sqrt(2 E) of them.
+(``distinct_points``).  Triangles are never listed: a task holds a matrix of the edges that end in
+one block of vertices (``corners``), counts an edge's common neighbours there, and gives only
+the spanning triangles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +37,11 @@ from tessera.session import cut_lineage
 
 #: edges whose columns one task keeps
 BLOCK = 20_000
+#: cells of the matrix of numbers that a task looks for third corners in, and comparisons of one task
+CELLS = 1 << 25
+WORK = 1 << 33
+#: no edge there
+NONE = (1 << 31) - 1
 #: a round of collapses that takes less than this part of the edges is the last one
 WORTH = 0.05
 
@@ -48,27 +55,97 @@ def distinct_points(points: DataFrame) -> DataFrame:
     return known.groupBy("grp", "vec").agg(F.min("id").alias("id")).select("grp", "id", "vec")
 
 
-def triangles(edges: DataFrame, name: str) -> DataFrame:
-    """(grp, e1, e2, e3): the column ``name`` of the edges (grp, u, v, ``name``) of each triangle, once."""
+def corners(edges: DataFrame, cells: int = CELLS, work: int = WORK) -> DataFrame:
+    """The edges (grp, u, v, e) dealt to tasks (grp, c, part) that find the third corners of triangles.
+
+    A group's vertices have places from 0, and those of block ``c`` are the corners of its tasks.  A task
+    gets as its matrix the edges that end there (not ``top``: x place of the other end, y place in
+    the block), at most ``cells`` of them, and after them, as ``top``, its share of all edges of the group (x, y
+    places of the ends).  So an edge is copied for its blocks and the parts of their work, a triangle never.
+    """
     ends = edges.select("grp", F.col("u").alias("id")).unionByName(edges.select("grp", F.col("v").alias("id")))
-    degree = ends.groupBy("grp", "id").agg(F.count("*").alias("d"))
-    both = (edges.join(degree.select("grp", F.col("id").alias("u"), F.col("d").alias("du")), ["grp", "u"])
-            .join(degree.select("grp", F.col("id").alias("v"), F.col("d").alias("dv")), ["grp", "v"]))
-    forward = F.struct("du", "u") < F.struct(F.col("dv").alias("du"), F.col("v").alias("u"))
-    out = both.select("grp", F.when(forward, F.col("u")).otherwise(F.col("v")).alias("s"), F.when(forward, F.col("v")).otherwise(F.col("u")).alias("t"), F.col(name).alias("e"))
-    one, two = out.select("grp", "s", F.col("t").alias("x"), F.col("e").alias("e1")), out.select("grp", "s", F.col("t").alias("y"), F.col("e").alias("e2"))
-    open_ = one.join(two, ["grp", "s"]).filter("x < y").select("grp", F.col("x").alias("u"), F.col("y").alias("v"), "e1", "e2")
-    return open_.join(edges.select("grp", "u", "v", F.col(name).alias("e3")), ["grp", "u", "v"]).select("grp", "e1", "e2", "e3")
+    vertices = cut_lineage(numbered(ends.distinct(), [], [F.col("grp"), F.col("id")], "p"))
+    sizes = (vertices.groupBy("grp").agg(F.min("p").alias("p0"), F.count("*").alias("n"))
+             .withColumn("width", F.greatest(F.lit(1), F.least("n", F.floor(F.lit(cells) / F.col("n"))))))
+    sizes = (sizes.join(edges.groupBy("grp").agg(F.count("*").alias("m")), "grp")
+             .select("grp", "p0", "n", "width", F.ceil(F.col("n") / F.col("width")).alias("blocks"), F.ceil(F.col("m") * F.col("width") / work).alias("parts")))
+    placed = edges.select("grp", "u", "v", "e").join(sizes, "grp")
+    for end, place in (("u", "x"), ("v", "y")):
+        placed = placed.join(vertices.select("grp", F.col("id").alias(end), F.col("p").alias(place)), ["grp", end]).withColumn(place, F.col(place) - F.col("p0"))
+    placed = cut_lineage(placed)
+    sides = F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))
+    nobody = F.lit(None).cast("bigint")
+    matrix = (placed.select("grp", "n", "width", "parts", "e", F.explode(sides).alias("s"))
+              .select("grp", F.floor(F.col("s.y") / F.col("width")).alias("c"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"),
+                      F.lit(False).alias("top"), "s.x", (F.col("s.y") % F.col("width")).alias("y"), "e", nobody.alias("u"), nobody.alias("v"), "n", "width"))
+    tops = placed.select("grp", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("c"), F.pmod(F.xxhash64("x", "y"), F.col("parts")).alias("part"),
+                         F.lit(True).alias("top"), "x", "y", "e", "u", "v", "n", "width")
+    return matrix.unionByName(tops).repartition("grp", "c", "part").sortWithinPartitions("grp", "c", "part", "top")
+
+
+def _in_tasks(step):
+    """Arrow batches of ``corners`` -> those that ``step`` makes of a task's matrix (the edges' numbers less
+    ``base``, ``NONE`` where there is none), its block's first place and its top edges."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, matrix, base = None, None, 0
+        for batch in batches:
+            col = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("grp", "c", "part", "top", "x", "y", "e", "n", "width")}
+            new = np.flatnonzero(np.diff(col["grp"]) | np.diff(col["c"]) | np.diff(col["part"])) + 1
+            for start, end in zip([0, *new], [*new, batch.num_rows]):
+                key = tuple(int(col[n][start]) for n in ("grp", "c", "part"))
+                if key != here:
+                    here, base = key, int(col["e"][start])
+                    matrix = np.full((int(col["n"][start]), int(col["width"][start])), NONE, np.int32)
+                first = start + int(np.count_nonzero(~col["top"][start:end]))
+                number = col["e"][start:end] - base
+                if np.abs(number).max() >= NONE:
+                    raise ValueError("a group has too many edges")
+                matrix[col["x"][start:first], col["y"][start:first]] = number[:first - start]
+                if first < end:
+                    yield from step(batch.slice(first, end - first), matrix, base, key[1] * matrix.shape[1],
+                                    col["x"][first:end], col["y"][first:end], number[first - start:].astype(np.int32))
+    return run
+
+
+def _common(batch: pa.RecordBatch, matrix: np.ndarray, base: int, start: int, x: np.ndarray, y: np.ndarray, e: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(grp, u, v, n): how many vertices of the block are neighbours of both ends."""
+    step = max(1, (1 << 22) // matrix.shape[1])
+    for at in range(0, len(x), step):
+        n = np.count_nonzero((matrix[x[at:at + step]] != NONE) & (matrix[y[at:at + step]] != NONE), axis=1)
+        some = batch.slice(at, len(n))
+        yield pa.RecordBatch.from_arrays([some.column("grp"), some.column("u"), some.column("v"), pa.array(n, pa.int64())], names=["grp", "u", "v", "n"])
+
+
+def _columns(batch: pa.RecordBatch, matrix: np.ndarray, base: int, start: int, x: np.ndarray, y: np.ndarray, e: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(grp, col) of triangles whose longest edge is a top edge and third corner in the block."""
+    grp = batch.column("grp")[0].as_py()
+    step = max(1, (1 << 18) // matrix.shape[1])
+    found = []
+    for at in range(0, len(x), step):
+        xs, ys, top = x[at:at + step], y[at:at + step], e[at:at + step]
+        second = np.maximum(matrix[xs], matrix[ys])
+        second[second >= top[:, None]] = NONE
+        while len(top):
+            w = second.argmin(axis=1)
+            mid = second[np.arange(len(w)), w]
+            left = np.flatnonzero(mid != NONE)
+            xs, ys, top, w, mid, second = xs[left], ys[left], top[left], w[left], mid[left], second[left]
+            found.append(np.stack([np.minimum(matrix[xs, w], matrix[ys, w]), mid, top], axis=1).astype(np.int64) + base)
+            second[matrix[start + w] < top[:, None]] = NONE
+            second[np.arange(len(w)), w] = NONE
+    cols = np.concatenate(found)
+    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cols), grp), pa.int64()),
+                                      pa.ListArray.from_arrays(pa.array(np.arange(0, cols.size + 1, 3), pa.int32()), pa.array(cols.ravel()))], names=["grp", "col"])
 
 
 def dominated(edges: DataFrame) -> DataFrame:
     """(grp, id): vertices of (grp, u, v) with a dominator after them by (degree, id)."""
-    named = edges.withColumn("e", F.struct("u", "v"))
-    shared = triangles(named, "e").select("grp", F.explode(F.array("e1", "e2", "e3")).alias("e")).groupBy("grp", "e").agg(F.count("*").alias("n"))
+    tasks = corners(edges.withColumn("e", F.lit(0).cast("bigint"))).mapInArrow(_in_tasks(_common), "grp bigint, u bigint, v bigint, n bigint")
+    shared = tasks.groupBy("grp", "u", "v").agg(F.sum("n").alias("n"))
     each = edges.select("grp", F.col("u").alias("id"), F.col("v").alias("other")).unionByName(edges.select("grp", F.col("v").alias("id"), F.col("u").alias("other")))
     degree = each.groupBy("grp", "id").agg(F.count("*").alias("d"))
-    sided = (each.withColumn("e", F.struct(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v")))
-             .join(shared, ["grp", "e"], "left").join(degree, ["grp", "id"])
+    sided = (each.withColumn("u", F.least("id", "other")).withColumn("v", F.greatest("id", "other"))
+             .join(shared, ["grp", "u", "v"], "left").join(degree, ["grp", "id"])
              .filter(F.coalesce("n", F.lit(0)) == F.col("d") - 1))
     with_other = sided.join(degree.select("grp", F.col("id").alias("other"), F.col("d").alias("od")), ["grp", "other"])
     return with_other.filter((F.col("od") > F.col("d")) | ((F.col("od") == F.col("d")) & (F.col("other") > F.col("id")))).select("grp", "id").distinct()
@@ -90,28 +167,71 @@ def collapsed(edges: DataFrame, worth: float = WORTH) -> DataFrame:
     return edges
 
 
+def _bits(x: int) -> np.ndarray:
+    """The places of the ones of ``x``."""
+    return np.flatnonzero(np.unpackbits(np.frombuffer(x.to_bytes(-(-x.bit_length() // 8), "little"), np.uint8), bitorder="little"))
+
+
+class _Block:
+    """The columns kept for the edges from ``base`` on.  A column is two integers of bits, the block's edges
+    in their order and edges below it in the order in which they came; kept ones hold no
+    pivot of those kept before them, so that a column of three edges is reduced in a few steps."""
+
+    def __init__(self, base: int):
+        self.base, self.kept, self.pivots, self.passed = base, {}, 0, {}
+        self.place: dict[int, int] = {}
+        self.below: list[int] = []
+
+    def reduced(self, col: list[int], own: int = 0) -> tuple[int, int]:
+        """``col`` less the kept columns of its edges other than ``own``."""
+        high = low = 0
+        for e in col:
+            if e >= self.base:
+                high |= 1 << (e - self.base)
+                continue
+            if (at := self.place.setdefault(e, len(self.below))) == len(self.below):
+                self.below.append(e)
+            low |= 1 << at
+        while some := high & self.pivots & ~own:
+            x, y = self.kept[some.bit_length()]
+            high, low = high ^ x, low ^ y
+        return high, low
+
+    def keep(self, high: int, low: int) -> None:
+        self.kept[high.bit_length()] = high, low
+        self.pivots |= 1 << (high.bit_length() - 1)
+
+    def add(self, col: list[int], settled: bool) -> list[int] | None:
+        """What is left of ``col``: kept where it has edges of the block, else to be passed on; None if it
+        depends on the columns before it."""
+        if settled:
+            self.keep(*self.reduced(col, 1 << (col[-1] - self.base)))
+            return None
+        high, low = self.reduced(col)
+        if high:
+            self.keep(high, low)
+            if high.bit_length() - 1 == col[-1] - self.base:
+                return col
+        else:
+            while low and (other := self.passed.get(low.bit_length())):
+                low ^= other
+            if not low:
+                return None
+            self.passed[low.bit_length()] = low
+        return sorted(self.below[i] for i in _bits(low)) + [int(i) + self.base for i in _bits(high)]
+
+
 def _reduce(block: int):
-    """Arrow batches of columns, of each (grp, block) the settled ones first -> the same, reduced."""
+    """Arrow batches of columns, of each (grp, block) the settled ones first, by their pivots -> the others, reduced."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, kept = None, {}
+        here, held = None, None
         for batch in batches:
             rows: list[tuple[int, int, bool, list[int]]] = []
             for grp, at, settled, col in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if here != (grp, at):
-                    here, kept = (grp, at), {}
-                if settled:
-                    kept[col[-1]] = frozenset(col)
-                    rows.append((grp, at, True, col))
-                    continue
-                now, pivot = set(col), col[-1]
-                while now and (pivot := max(now)) // block == at and pivot in kept:
-                    now ^= kept[pivot]
-                if not now:
-                    continue
-                lower = pivot // block
-                if lower == at:
-                    kept[pivot] = frozenset(now)
-                rows.append((grp, lower, lower == at, sorted(now)))
+                    here, held = (grp, at), _Block(at * block)
+                if left := held.add(col, settled):
+                    rows.append((grp, left[-1] // block, left[-1] // block == at, left))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
                                                   pa.array([r[2] for r in rows], pa.bool_()), pa.array([r[3] for r in rows], pa.list_(pa.int64()))],
@@ -119,35 +239,31 @@ def _reduce(block: int):
     return run
 
 
-def spanning_columns(edges: DataFrame) -> DataFrame:
+def spanning_columns(edges: DataFrame, cells: int = CELLS, work: int = WORK) -> DataFrame:
     """(grp, col): boundaries of triangles of the numbered edges (grp, u, v, e) that span all of them.
 
-    Of the triangles with one longest edge, one is the first (by its second longest edge).  Where
-    another's third corner and the first's are joined by an edge that is shorter too, both differ
-    by the other two sides of their tetrahedron, whose longest edges are shorter, so it is left out.
+    Of the triangles with one longest edge and a third corner in one block, the first (by its second
+    longest edge) is taken.  Where another's third corner and the first's are joined by an edge that is shorter
+    too, both differ by the other two sides of their tetrahedron, whose longest edges are shorter, so it
+    is left out; of the others again the first is taken, until none is left.
     """
-    t = F.array_sort(F.array("e1", "e2", "e3"))
-    sides = triangles(edges.select("grp", "u", "v", F.struct("e", "u", "v").alias("x")), "x").select("grp", t.alias("t"))
-    low, top = F.col("t")[0], F.col("t")[2]
-    third = F.when(low["u"].isin(top["u"], top["v"]), low["v"]).otherwise(low["u"])
-    each = cut_lineage(sides.select("grp", top["e"].alias("top"), third.alias("w"), F.col("t.e").alias("col")))
-    first = each.groupBy("grp", "top").agg(F.min(F.struct(F.col("col")[1], F.col("w"))).alias("f")).select("grp", "top", F.col("f.w").alias("w0"))
-    beside = each.join(first, ["grp", "top"]).withColumn("u", F.least("w", "w0")).withColumn("v", F.greatest("w", "w0"))
-    met = beside.join(edges.select("grp", "u", "v", F.col("e").alias("between")), ["grp", "u", "v"], "left")
-    return met.filter((F.col("w") == F.col("w0")) | F.col("between").isNull() | (F.col("between") > F.col("top"))).select("grp", "col")
+    return corners(edges, cells, work).mapInArrow(_in_tasks(_columns), "grp bigint, col array<bigint>")
 
 
 def boundary_rank(columns: DataFrame, most: DataFrame, block: int = BLOCK) -> DataFrame:
     """(grp, rank): rank over Z2 of the columns (grp, col: edge numbers in ascending order) of
     each group, which is no more than its ``most`` (grp, most)."""
-    now = columns.select("grp", F.floor(F.element_at("col", -1) / block).cast("bigint").alias("block"), F.lit(False).alias("settled"), "col")
+    open_ = columns.select("grp", F.floor(F.element_at("col", -1) / block).cast("bigint").alias("block"), F.lit(False).alias("settled"), "col")
+    settled = open_.limit(0)
     while True:
-        dealt = now.repartition("grp", "block").sortWithinPartitions("grp", "block", F.desc("settled"), F.size("col"))
+        kept = settled.join(open_.select("grp", "block").distinct(), ["grp", "block"], "left_semi")
+        dealt = kept.unionByName(open_).repartition("grp", "block").sortWithinPartitions("grp", "block", F.desc("settled"), F.element_at("col", -1), F.size("col"))
         now = cut_lineage(dealt.mapInArrow(_reduce(block), COLUMN_SCHEMA))
-        rank = now.filter("settled").groupBy("grp").agg(F.count("*").alias("rank"))
+        settled = settled.unionByName(now.filter("settled"))
+        rank = settled.groupBy("grp").agg(F.count("*").alias("rank"))
         complete = rank.join(most, "grp").filter("rank >= most").select("grp")
-        now = now.filter("settled").unionByName(now.filter("not settled").join(complete, "grp", "left_anti"))
-        if now.filter("not settled").isEmpty():
+        open_ = cut_lineage(now.filter("not settled").join(complete, "grp", "left_anti"))
+        if open_.isEmpty():
             return rank
 
 

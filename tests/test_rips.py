@@ -128,3 +128,36 @@ def test_whole_table_against_brute_force(spark):
         want[g] = brute({(a, b) for i, (a, x) in enumerate(members) for b, y in members[i + 1:] if np.linalg.norm(x - y) <= 1.25})
     assert max(want.values()) > 10
     assert {x.grp: x.beta1 for x in topology.rips_signature(points, 1.25).collect()} == want
+
+
+def test_triangles_are_not_listed(spark, monkeypatch):
+    """No table written on the way has many more rows than there are edges: 766 of them, 9,120 triangles, no dominated vertex."""
+    rows, real = [], rips.cut_lineage
+
+    def counting(df):
+        out = real(df)
+        rows.append(out.count())
+        return out
+    monkeypatch.setattr(rips, "cut_lineage", counting)
+    sphere = [(u, v) for u, v in itertools.combinations(range(40), 2) if u % 2 or v != u + 1]
+    edges = frame(spark, {1: sphere + cycle(list(range(100, 106)))}, lambda g, u, v: (u * 31 + v * 17) % 101)
+    assert found(betti1(edges, worth=2.0)) == {1: 1}
+    assert max(rows) <= 2 * 766
+
+
+@pytest.mark.parametrize(("cells", "work"), [(1 << 25, 1 << 33), (60, 50), (1, 7)])
+def test_spanning_columns_in_blocks(spark, cells, work):
+    """However the corners are dealt, the columns have the rank of all triangles."""
+    r = random.Random(5)
+    shapes = {g: [e for e in itertools.combinations(range(n), 2) if r.random() < p] for g, (n, p) in enumerate([(9, .5), (20, .4), (14, .9)])}
+    numbers = {g: r.sample(range(100, 100 + len(edges)), len(edges)) for g, edges in shapes.items()}
+    numbered = [(g, u, v, e) for g, edges in shapes.items() for (u, v), e in zip(edges, numbers[g])]
+    got = {g: [] for g in shapes}
+    for x in rips.spanning_columns(spark.createDataFrame(numbered, "grp long, u long, v long, e long"), cells, work).collect():
+        got[x.grp].append(x.col)
+    for g, edges in shapes.items():
+        at = dict(zip(edges, numbers[g]))
+        every = {tuple(sorted((at[a, b], at[a, c], at[b, c]))) for a, b, c in itertools.combinations(range(20), 3) if {(a, b), (a, c), (b, c)} <= at.keys()}
+        assert {tuple(c) for c in got[g]} <= every
+        rank = lambda cols: z2_rank([sum(1 << e for e in c) for c in cols])
+        assert rank(got[g]) == rank(every)

@@ -238,7 +238,8 @@ def rips_signature(points: DataFrame, eps: float, group_col: str = "grp", id_col
     holes = rips.betti1(edges)
     sizes = pts.filter("grp is not null and id is not null and vec is not null").groupBy("grp").agg(F.count("*").alias("n_points"))
     of = lambda c: F.struct("grp", F.col(c).alias("id"))
-    comps = connected_components(single.select(of("id").alias("id")), edges.select(of("u").alias("src"), of("v").alias("dst")))
+    links = cut_lineage(rips.forest(edges.filter("grp is not null")))
+    comps = connected_components(single.select(of("id").alias("id")), links.select(of("u").alias("src"), of("v").alias("dst")))
     parts = comps.groupBy(F.col("id.grp").alias("grp")).agg(F.count_if(F.col("id") == F.col("comp")).alias("beta0"))
     return sizes.join(parts, "grp").join(holes, "grp", "left").select("grp", "n_points", "beta0", F.coalesce("beta1", F.lit(0)).alias("beta1"))
 

@@ -161,3 +161,55 @@ def test_spanning_columns_in_blocks(spark, cells, work):
         assert {tuple(c) for c in got[g]} <= every
         rank = lambda cols: z2_rank([sum(1 << e for e in c) for c in cols])
         assert rank(got[g]) == rank(every)
+
+
+def closure(edges, null):
+    """The edges left when an edge of a triangle with two null edges is null too."""
+    near, edges = {}, set(edges)
+    for u, v in edges:
+        near.setdefault(u, set()).add(v)
+        near.setdefault(v, set()).add(u)
+    null, is_null = set(null), lambda a, b: (min(a, b), max(a, b)) in null
+    while more := {(u, v) for u, v in edges - null if any(is_null(u, w) and is_null(v, w) for w in near[u] & near[v])}:
+        null |= more
+    return edges - null
+
+
+@pytest.mark.parametrize(("cells", "work"), [(1 << 29, 1 << 36), (300, 900)])
+def test_null_edges_in_blocks(spark, cells, work):
+    """Forests span and open edges are those of the whole group, whatever the tasks hold; so are dominated vertices."""
+    r = random.Random(11)
+    shapes = {g: [e for e in itertools.combinations(range(n), 2) if r.random() < p] for g, (n, p) in enumerate([(30, .15), (40, .2), (25, .5)])}
+    at, vertices = rips.placed(frame(spark, shapes))
+    grown = {(x.grp, x.u, x.v) for x in rips.forest(at.select("grp", F.col("x").alias("u"), F.col("y").alias("v"))).collect()}
+    left = {(x.grp, x.x, x.y) for x in rips.open_edges(at, cells, work).collect()}
+    gone = {(x.grp, x.id) for x in rips.dominated(frame(spark, shapes).select("grp", "u", "v"), cells, work).collect()}
+    rows = at.collect()
+    for g, edges in shapes.items():
+        own = [(x.x, x.y) for x in rows if x.grp == g]
+        tree = [(u, v) for h, u, v in grown if h == g]
+        assert len(tree) == len(edges) - brute_circles(edges) and set(tree) <= set(own)
+        assert {(x, y) for h, x, y in left if h == g} == closure(own, tree)
+        near = {p: {q for e in edges if p in e for q in e} for e in edges for p in e}
+        assert {i for h, i in gone if h == g} == {p for p in near if any(near[p] <= near[q] and (len(near[q]), q) > (len(near[p]), p) for q in near[p] - {p})}
+    assert any(h == 0 for h, _, _ in left) and not any(h == 2 for h, _, _ in left)
+
+
+def brute_circles(edges):
+    """Edges less a spanning forest."""
+    place = {p: i for i, p in enumerate(sorted({p for e in edges for p in e}))}
+    return len(edges) - z2_rank([1 << place[u] | 1 << place[v] for u, v in edges])
+
+
+def test_columns_of_open_edges_only(spark, monkeypatch):
+    """Edges that triangles join to the forest one by one give no columns: here all but those of a square that hangs on."""
+    seen, real = [], rips.boundary_rank
+
+    def counting(columns, most, block):
+        seen.append(columns.count())
+        return real(columns, most, block)
+    monkeypatch.setattr(rips, "boundary_rank", counting)
+    r = random.Random(3)
+    dense = [e for e in itertools.combinations(range(40), 2) if r.random() < .6] + cycle([0, 100, 101, 102])
+    assert found(betti1(frame(spark, {1: dense, 2: cycle(list(range(9)))}, lambda g, u, v: (u * 31 + v * 17) % 101), worth=2.0)) == {1: 1, 2: 1} and brute(set(dense)) == 1
+    assert seen == [0]
